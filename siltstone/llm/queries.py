@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import bpe
+from siltstone.llm import bpe, lookalike, packing
 from siltstone.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,3 +23,13 @@ def query(f: Query) -> Query:
 @query
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))
+
+
+@query
+def p9_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.look_alike_pairs(table(spark, sf_dir, "documents"))
