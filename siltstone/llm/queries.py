@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import bpe, lookalike, packing
+from siltstone.llm import bpe, lookalike, neardup, packing
 from siltstone.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,11 @@ def query(f: Query) -> Query:
     return f
 
 
+@query
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_pairs(table(spark, sf_dir, "sections")).toDF("section_a", "section_b")
+
+
 @query
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))
