@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import bpe, lookalike, neardup, packing
+from siltstone.llm import bpe, defects, lookalike, neardup, packing, truncation
 from siltstone.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,22 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_pairs(table(spark, sf_dir, "sections")).toDF("section_a", "section_b")
 
 
+@query
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return defects.truncated(table(spark, sf_dir, "responses"))
+
+
+@query
+def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    responses = table(spark, sf_dir, "responses")
+    return truncation.rates(defects.truncated(responses), responses, "response_id", "model")
+
+
+@query
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return defects.broken_pairs(table(spark, sf_dir, "responses"))
+
+
 @query
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))
