@@ -30,11 +30,11 @@ from siltstone.session import written
 
 # Frequent words of the languages, names of languages, phrases that decline.
 FREQUENT = {
-    "en": "the of and to in is that for with as was by on are it this be which not from has have after before when until who most them no longer its state only so",
-    "de": "der die das und ist nicht von zu den mit dem des im für auf ein eine wird werden wurden wurde haben hat noch vor nach während weil wer wir wie was sich jetzt auch dieser diese diesen ich bei aus",
-    "fr": "le la les des et est un une du dans que qui pour pas sur au avec ce cette ne plus par nous avons être sont dès après avant même à il reste où rien fois encore",
-    "es": "el la los las de y que en un una es por con no se para del al lo como más su está porque también ahora antes después quién según todavía esta este hemos tras",
-    "pt": "o a os as de e que em um uma é por com não se para do da ao como mais sua está porque também agora antes depois quem ainda esta este foi nenhuma nos na no",
+    "en": "the of and to in is that for with as was by on are it this be which not from has have after before when until who most them no longer its state only so an what would if around given list describe explain write use keep under text happened other files each",
+    "de": "der die das und ist nicht von zu den mit dem des im für auf ein eine wird werden wurden wurde haben hat noch vor nach während weil wer wir wie was sich jetzt auch dieser diese diesen ich bei aus welche lässt offen fasse kurz beschreibe hat haben",
+    "fr": "le la les des et est un une du dans que qui pour pas sur au avec ce cette ne plus par nous avons être sont dès après avant même à il reste où rien fois encore quels quelles cas après résume rédige laisse elle a",
+    "es": "el la los las de y que en un una es por con no se para del al lo como más su está porque también ahora antes después quién según todavía esta este hemos tras qué casos deja escribe resume cambió",
+    "pt": "o a os as de e que em um uma é por com não se para do da ao como mais sua está porque também agora antes depois quem ainda esta este foi nenhuma nos na no quais escreva resuma após",
     "it": "il lo la gli le di e che in un una è per con non si del della al come più sua perché anche ora prima dopo chi ancora questo questa sono stato nel",
     "nl": "de het een en van is dat niet in op te voor met zijn die er aan ook als maar om nog wordt worden deze dit naar bij door wij heeft",
 }
@@ -80,6 +80,8 @@ REFUSAL = re.compile("|".join(REFUSALS))
 REFUSAL_LENGTH = 420
 SPAN = re.compile(r"```.*?(?:```|\Z)|`[^`]*`|https?://\S+", re.S)
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
+#: Letters and marks of one of the languages only.
+LETTERS = {"de": "äöüßÄÖÜ", "es": "ñ¿¡", "pt": "ãõ"}
 _words = {k: frozenset(v.split()) for k, v in FREQUENT.items()}
 _names = {n: k for k, v in NAMES.items() for n in v.split()}
 ASKS = re.compile(
@@ -91,7 +93,7 @@ LOOSE = re.compile(r"[\W_]+")
 FRAMING, COPIED = 48, 0.5
 
 
-def language(text: str, least: int = 2) -> str | None:
+def language(text: str, least: int = 1) -> str | None:
     """The language of prose, None if it can't be told. Code spans, headings, table rows and front matter don't count."""
     text = SPAN.sub(" ", terminal.FRONT.sub("", text, count=1))
     text = "\n".join(x for x in text.split("\n") if not terminal.HEADING.match(x) and not x.lstrip().startswith(("|", "*Phase", "//")))
@@ -111,6 +113,8 @@ def language(text: str, least: int = 2) -> str | None:
     if counts["ru"] > 8 and counts["ru"] * 2 > sum(map(len, ws)):
         return "ru"
     score = {k: sum(w in v for w in ws) for k, v in _words.items()}
+    for k, letters in LETTERS.items():
+        score[k] += min(2, sum(c in letters for c in text))
     best = max(score, key=score.__getitem__)
     rest = max((v for k, v in score.items() if k != best), default=0)
     return best if score[best] >= least and score[best] > rest else None
@@ -149,7 +153,7 @@ def declines(content: str) -> bool:
 
 
 def judge(prompt: str | None, content: str | None) -> tuple[str, str]:
-    """(defect or "" or "line", unit): "line" leaves it to the longer lines of the collection; an empty text may have a unit, too."""
+    """(defect or "" or "line", unit): "line" leaves it to the other lines of the collection; an empty text may have a unit, too."""
     end, unit = terminal.state(content)
     if end == terminal.EMPTY:
         return "empty", unit
@@ -162,7 +166,7 @@ def judge(prompt: str | None, content: str | None) -> tuple[str, str]:
         return "truncated", unit
     if end == terminal.LINE:
         return "line", unit
-    return other(prompt, content), ""
+    return other(prompt, content), unit
 
 
 def other(prompt: str | None, content: str) -> str:
@@ -174,7 +178,7 @@ def other(prompt: str | None, content: str) -> str:
 
 
 def judged(responses: DataFrame, key: str = "response_id", prompt: str = "prompt", content: str = "content", at: str = "loaded_at") -> DataFrame:
-    """(key, defect, beside, unit), one row for each key; beside is the defect if the unit isn't cut.
+    """(key, defect, beside, unit, done), one row for each key; beside is the defect if the unit isn't cut, done says that it isn't.
 
     Texts are judged where they are read; only the judgements are shuffled.
     """
@@ -194,7 +198,8 @@ def judged(responses: DataFrame, key: str = "response_id", prompt: str = "prompt
     kind = src.schema
     rows = map_batches(src, make, f"{key} {kind[key].dataType.simpleString()}, {at} {kind[at].dataType.simpleString()}, defect string, beside string, unit string")
     last = rows.groupBy(key).agg(F.max_by(F.struct("defect", "beside", "unit"), F.struct(at, "defect", "unit")).alias("_r"))
-    return written(last.select(key, "_r.*"), "judged")
+    done = F.col("_r.defect").isin("", "other_language")
+    return written(last.select(key, "_r.*", done.alias("done")), "judged")
 
 
 def broken_pairs(responses: DataFrame, key: str = "response_id", prompt: str = "prompt", content: str = "content", at: str = "loaded_at") -> DataFrame:

@@ -26,8 +26,9 @@ CLOSING = [
     re.compile(p)
     for p in (
         r"(?://|--|#|;|%) ?\S.*",
-        r"[A-Z][\w'-]*(?:[ -][\w'-]+){0,3}: ?\S.*",
-        r"(?:Signed off|Signed|Reviewed|Approved|Written|Prepared|Next|Last|Revision|Version|Page|Total|TOTAL|Kind regards|Regards|Best|End of)\b.*",
+        r"[A-Z][\w'-]*(?:[ -][\w'-]+){0,3}: ?\S+(?: \S+){0,4}",
+        r"(?:Signed(?: off)?|Reviewed|Approved|Written|Prepared|Revision|Version|Page|Total|TOTAL|Kind regards|Regards|Best|End of)\b.*",
+        r"(?:Next|Last) [a-z]+\b[^,]*",
         r"\d{4}-\d\d-\d\d(?:[T ]\d\d:\d\d.*)?",
         r"(?:\*\*?|__?)[^*_].*(?:\*\*?|__?)",
     )
@@ -49,7 +50,7 @@ def bare(text: str) -> str:
 
 
 def state(text: str | None) -> tuple[str, str]:
-    """(state, unit): the unit is the line that another line may continue, "" if the state needs none.
+    """(state, unit): the unit is the last line, "" where no other line may continue it.
 
     A text without content is empty; if it is a lone heading, the heading is its unit.
     """
@@ -88,7 +89,7 @@ def state(text: str | None) -> tuple[str, str]:
     if FINISHED.search(text):
         if re.match(r"(\*\*?|__?)[^\s*_]", words) and not re.search(r"[*_]\Z", words) and words.count("*") % 2:
             return OPEN, masked(last)
-        return DONE, ""
+        return DONE, masked(last)
     if not LIST.match(last) and len(last) <= 100 and any(p.fullmatch(last.strip()) for p in CLOSING):
         return LINE, masked(last)
     return OPEN, masked(last)

@@ -48,10 +48,10 @@ def strict_prefixes(values: DataFrame) -> DataFrame:
             yield _rows([before], "last", part)
 
     found = order.mapInArrow(run, "v string, kind string, p int")
-    ends = found.where("kind <> 'in'")
-    last, first = ends.where("kind = 'last'").select("v", "p"), ends.where("kind = 'first'").select(F.col("v").alias("w"), F.col("p").alias("q"))
-    # Two rows a partition: the border is a join of as many rows as there are partitions.
-    border = last.join(first, F.col("q") > F.col("p")).groupBy("v", "p").agg(F.min_by("w", "q").alias("w")).where(F.expr("startswith(w, v) and length(w) > length(v)"))
+    # Two rows a partition, "first" before "last": one array of them holds every border.
+    ends = found.where("kind <> 'in'").agg(F.array_sort(F.collect_list(F.struct("p", "kind", "v"))).alias("e"))
+    border = ends.select(F.explode(F.expr("zip_with(e, slice(e, 2, greatest(size(e) - 1, 0)), (x, y) -> struct(x, y))")).alias("z")).select("z.x", "z.y")
+    border = border.where("x.kind = 'last' and y.kind = 'first' and startswith(y.v, x.v)").select("x.v")
     return found.where("kind = 'in'").select("v").union(border.select("v")).toDF("value")
 
 
@@ -60,9 +60,18 @@ def _rows(values: list, kind: str, part: int = -1) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(values, pa.string()), pa.array([kind] * n, pa.string()), pa.array([part] * n, pa.int32())], names=["v", "kind", "p"])
 
 
+#: Length of the prefixes by which forms of lines are told apart.
+FORM = 8
+
+
 def cut_units(judged: DataFrame) -> DataFrame:
-    """(unit): of the units of judged (see defects.judged) those that a longer unit continues."""
-    return strict_prefixes(judged.select("unit").where("unit <> ''")).withColumnRenamed("value", "unit")
+    """(unit): of the unfinished units of judged (see defects.judged) those that a longer unit
+    continues, or whose form, the first FORM characters, belongs to lines that end with a sentence mark."""
+    units = judged.select("unit", F.col("done").cast("int").alias("done")).where("unit <> ''").groupBy("unit").agg(F.max("done").alias("done"), F.count("*").alias("n"))
+    form = F.xxhash64(F.substring("unit", 1, FORM)).alias("form")
+    forms = units.select(form, "done", "n").groupBy("form").agg(F.sum(F.col("done") * F.col("n")).alias("done"), F.sum("n").alias("n")).where("2 * done >= n").select("form")
+    open_ = units.where("done = 0").select("unit", form)
+    return strict_prefixes(units.select("unit")).withColumnRenamed("value", "unit").union(open_.join(forms, "form", "left_semi").select("unit")).distinct()
 
 
 def rates(found: DataFrame, responses: DataFrame, key: str, group: str) -> DataFrame:
