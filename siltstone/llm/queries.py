@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import bpe, defects, lookalike, neardup, packing, syntax, truncation
+from siltstone.llm import bpe, defects, docpairs, lookalike, neardup, packing, syntax, truncation
 from siltstone.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,16 @@ def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.rates(defects.truncated(responses), responses, "response_id", "model")
 
 
+@query
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docpairs.documented(table(spark, sf_dir, "files"))
+
+
+@query
+def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docpairs.pairs(table(spark, sf_dir, "files"))
+
+
 @query
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syntax.invalid(table(spark, sf_dir, "files"))
