@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import bpe, defects, docpairs, lookalike, neardup, packing, syntax, truncation
+from siltstone.llm import bpe, defects, docpairs, handwritten, lookalike, neardup, packing, syntax, truncation
 from siltstone.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,16 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_pairs(table(spark, sf_dir, "sections")).toDF("section_a", "section_b")
 
 
+@query
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return handwritten.not_handwritten(table(spark, sf_dir, "files"))
+
+
+@query
+def p2_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return handwritten.measures(table(spark, sf_dir, "files"))
+
+
 @query
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return defects.truncated(table(spark, sf_dir, "responses"))
