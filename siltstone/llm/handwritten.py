@@ -44,6 +44,7 @@ GRAMS = (3, 5)
 CONTENT_SCALE, PATH_SCALE = 40.0, 1.0
 LANGUAGES = frozenset("python javascript typescript java go rust c".split())
 PENALTY = 1e-3
+PIECE = 1 << 20
 #: The threshold: the least margin at which so many of the held-out files found are of the sort, but LEAST at least.
 PRECISE, LEAST = 0.97, 0.5
 PRIMES = np.array([2654435761, 2246822519, 3266489917, 668265263, 374761393], np.uint32)
@@ -138,7 +139,16 @@ class Model:
     threshold: float = 0.0
 
     def scores(self, bodies: list[bytes], paths: list[str | None]) -> np.ndarray:
-        """The margins of a batch, over whole bodies."""
+        """The margins of a batch, over whole bodies; PIECE bytes or one body at a time, to bound the memory."""
+        out, start, size = [], 0, 0
+        for i, b in enumerate(bodies):
+            if i > start and size + len(b) > PIECE:
+                out.append(self._scores(bodies[start:i], paths[start:i]))
+                start, size = i, 0
+            size += len(b)
+        return np.concatenate([*out, self._scores(bodies[start:], paths[start:])])
+
+    def _scores(self, bodies: list[bytes], paths: list[str | None]) -> np.ndarray:
         out = np.full(len(bodies), self.bias)
         sizes = np.fromiter(map(len, bodies), np.int64, len(bodies))
         data = np.frombuffer(b"".join(bodies), np.uint8)
