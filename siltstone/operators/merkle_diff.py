@@ -36,7 +36,7 @@ def leaf_bits_for(rows: int, snapshots: int, rows_per_leaf: int = 8) -> int:
 def consecutive(headers: DataFrame, checkout: str = "checkout_id", snapshot: str = "snapshot_id", taken: str = "taken_at") -> DataFrame:
     """(snapshot_id, as_new, as_old): the comparisons that a snapshot takes part in, named by their newer snapshot."""
     w = Window.partitionBy("_c").orderBy(F.col("_t").asc_nulls_first(), "_s")
-    h = headers.select(F.col(checkout).alias("_c"), F.col(taken).alias("_t"), F.col(snapshot).alias("_s")).where("_s is not null").groupBy("_s").agg(F.max_by("_c", "_t").alias("_c"), F.max("_t").alias("_t"))
+    h = headers.select(F.col(checkout).alias("_c"), F.col(taken).alias("_t"), F.col(snapshot).alias("_s")).where("_s is not null").groupBy("_s").agg(F.max(F.struct("_t", "_c")).alias("_h")).select("_s", "_h.*")
     return h.select(
         F.col("_s").alias("snapshot_id"),
         F.when(F.lag("_s").over(w).isNotNull(), F.col("_s")).alias("as_new"),

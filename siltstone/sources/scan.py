@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,10 @@ def scan_project(spark: SparkSession, root: str, include: Sequence[str] = (), ex
         raise NotADirectoryError(root)
     ignore = [p for f in IGNORE_FILES for p in P.read_ignore_file(os.path.join(local, f))]
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    # The source gives no row for an empty file; the list of files, which the driver has anyway, names it.
+    listed = spark.createDataFrame([(unquote(x),) for x in raw.inputFiles()], "path string").select(F.regexp_replace("path", "^file:/+", "file:/").alias("path"))
+    empty = listed.join(raw.select("path"), "path", "left_anti").select("path", F.lit(b"").alias("content"))
+    raw = raw.select("path", "content").unionByName(empty)
     base = root.rstrip("/").split("://")[-1].rstrip("/")
     path = F.expr(f"substring_index(path, '{base.replace(chr(39), chr(92) + chr(39))}/', -1)")
     return described(raw.select(F.lit(project).alias("project"), path.alias("path"), "content").where(P.selected(path, include, [*ignore, *exclude])))

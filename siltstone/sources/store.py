@@ -80,9 +80,9 @@ class Store:
         return self.docs().where((F.col("project") == project) & (F.col("doc_id") == doc_id))
 
 
-def numbered(docs: DataFrame, order: str, by: str = "project") -> DataFrame:
+def numbered(docs: DataFrame, order: list[str], by: str = "project") -> DataFrame:
     """docs with doc_ord from 1, doc_id and the state of merging after each: pending for the first, then stale."""
-    w = Window.partitionBy(by).orderBy(order)
+    w = Window.partitionBy(by).orderBy(*order)
     n = F.row_number().over(w).cast("long")
     return docs.withColumn("doc_ord", n).withColumn("doc_id", F.format_string("pd_%03d", "doc_ord")).withColumn("merge_state", F.when(F.col("doc_ord") > 1, "stale").otherwise("pending"))
 
