@@ -33,7 +33,7 @@ class Node:
 
     def __init__(self, call: tuple) -> None:
         self.calls = [call]
-        self.ends: list[int] = []
+        self.ends: dict[int, None] = {}
 
 
 class Grammar:
@@ -171,7 +171,7 @@ class Grammar:
             while True:
                 if dot == len(alt):
                     if at not in node.ends:
-                        node.ends.append(at)
+                        node.ends[at] = None
                         if node is root and at == n:
                             return True
                         for a, d, caller in node.calls:

@@ -150,7 +150,7 @@ Decl = Func | 'declare'? Class | 'declare'? 'interface' ID TParams? ('extends' T
   | 'declare'? ('namespace' | 'module') (ID ('.' ID)* | STR) c.Stmts | 'declare' 'global' c.Stmts ;
 Enum = ((EnumItem ',')* EnumItem ','?)? ;
 EnumItem = (ANY | STR) ('=' A)? ;
-ClassBody = Member* Field? ;
+ClassBody = Member* (Field | Deco* (Mod | '*')* Key '?'? TParams? p.Params (':' Type)?)? ;
 Member = T | Field T+ | Deco* (Mod | '*')* Key '?'? TParams? p.Params (':' Type)? (c.Stmts | T+) | 'static' c.Stmts ;
 Field = Deco* Mod* Key ('?' | '!')? (':' Type)? ('=' A)? | Mod* b.Index ':' Type ;
 Index = ID ':' Type ;

@@ -84,30 +84,58 @@ def one_form(cps: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     after = np.concatenate([[0], np.cumsum(n)])
     out = flat[np.arange(after[-1]) - np.repeat(after[:-1], n) + np.repeat(start[cps], n)]
     ends = after[ends]
-    # Order: marks between two letters by their class, stably; letters have class 0.
+    # Order: marks between two letters, within a text, by their class, stably; letters have class 0.
     cls = ccc[out]
     if cls.any():
-        wrong = np.flatnonzero((cls[1:] > 0) & (cls[:-1] > cls[1:]))
-        if wrong.size:
-            run = np.cumsum(cls == 0)
-            order = np.lexsort((np.arange(len(out)), cls, run))
-            out, cls = out[order], cls[order]
-        # Compose: a letter and the mark behind it become one, until none are left.
         text = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+        first = np.ones(len(out), bool)
+        first[1:] = text[1:] != text[:-1]
+        if ((cls[1:] > 0) & (cls[:-1] > cls[1:])).any():
+            order = np.lexsort((cls, np.cumsum((cls == 0) | first)))  # lexsort is stable
+            out, cls = out[order], cls[order]
+        # Compose: a letter and the first mark behind it that isn't blocked by another of its class become one, until none are left.
+        at = np.arange(len(out))
         while True:
-            at = np.flatnonzero((cls[1:] > 0) & (cls[:-1] == 0) & (text[1:] == text[:-1]))
-            key = out[at].astype(np.uint64) << np.uint64(32) | out[at + 1].astype(np.uint64)
+            base = np.maximum.accumulate(np.where(cls == 0, at, -1))
+            i = np.flatnonzero((cls > 0) & (base >= 0))
+            i = i[text[base[i]] == text[i]]
+            i = i[(base[i] == i - 1) | (cls[i - 1] < cls[i])]
+            key = out[base[i]].astype(np.uint64) << np.uint64(32) | out[i].astype(np.uint64)
             where = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
             hit = keys[where] == key
             if not hit.any():
                 break
-            at, where = at[hit], where[hit]
-            out[at] = values[where]
+            i, where = i[hit], where[hit]
+            _, one = np.unique(base[i], return_index=True)
+            i, where = i[one], where[one]
+            out[base[i]] = values[where]
             keep = np.ones(len(out), bool)
-            keep[at + 1] = False
+            keep[i] = False
             out, text, cls = out[keep], text[keep], cls[keep]
+            at = at[: len(out)]
         ends = np.searchsorted(text, np.arange(len(ends)))
-    return out, ends
+    return _syllables(out, ends)
+
+
+def _syllables(out: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Conjoining jamo as syllables: two or three in a row become one."""
+    lead = (out >= 0x1100) & (out <= 0x1112)
+    if not lead.any():
+        return out, ends
+    text = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+    for low, high, base in ((0x1161, 0x1175, True), (0x11A8, 0x11C2, False)):
+        i = np.flatnonzero((out[1:] >= low) & (out[1:] <= high) & (text[1:] == text[:-1]))
+        first = out[i].astype(np.int64)
+        if base:
+            i = i[(first >= 0x1100) & (first <= 0x1112)]
+            out[i] = 0xAC00 + ((out[i] - 0x1100) * 21 + (out[i + 1] - low)) * 28
+        else:
+            i = i[(first >= 0xAC00) & (first <= 0xD7A3) & ((first - 0xAC00) % 28 == 0)]
+            out[i] += out[i + 1] - (low - 1)
+        keep = np.ones(len(out), bool)
+        keep[i + 1] = False
+        out, text = out[keep], text[keep]
+    return out, np.searchsorted(text, np.arange(len(ends)))
 
 
 def texts(cps: np.ndarray, ends: np.ndarray, null: pa.Array | None) -> pa.Array:

@@ -101,7 +101,7 @@ def _lines(name: str) -> tuple[re.Pattern, re.Pattern | None]:
 
 
 def parses(lang: grammars.Language, text: str) -> bool:
-    s = kinds(lang, text)
+    s = kinds(lang, "\n" + text if lang.newlines == "py" else text)
     if BAD in s:
         return False
     if lang.newlines == "py":
