@@ -206,3 +206,15 @@ def look_alike_pairs(documents: DataFrame, key: str = "doc_id", text: str = "tex
     m = marks.join(several, "form", "left_semi")
     a, b = m.select("form", F.col(key).alias("doc_a"), F.col("raw").alias("ra")), m.select("form", F.col(key).alias("doc_b"), F.col("raw").alias("rb"))
     return a.join(b, "form").where("doc_a < doc_b and ra <> rb").select("doc_a", "doc_b").distinct()
+
+
+def pairs_sql() -> str:
+    """The same pairs in SQL: composed, translated and composed again. The lists follow from tables()."""
+    cps = [cp for cp in range(0x80, TOP) if tables()[0][cp] != 1 or tables()[2][tables()[1][cp]] != cp]
+    forms = normalise(pa.array([chr(cp) for cp in cps])).to_pylist()
+    one = [(chr(cp), f) for cp, f in zip(cps, forms) if len(f) == 1 and f != chr(cp)]
+    none = [chr(cp) for cp, f in zip(cps, forms) if not f]
+    old, new = "".join(a for a, _ in one) + "".join(none), "".join(b for _, b in one)
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    return f"""WITH d AS (SELECT doc_id, text, nfc_normalize(translate(nfc_normalize(text), {quoted(old)}, {quoted(new)})) AS form FROM documents WHERE length(text) > 0)
+SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM d a JOIN d b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text"""

@@ -84,3 +84,6 @@ def p9_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.look_alike_pairs(table(spark, sf_dir, "documents"))
+
+
+SQL["p10_found"] = lookalike.pairs_sql()
