@@ -149,9 +149,12 @@ def signed(df: DataFrame, key: str, texts: list[str], at: str) -> DataFrame:
     return map_batches(src, make, f"{key} {kind[key].dataType.simpleString()}, {at} {kind[at].dataType.simpleString()}, cid long, one long, two long, buckets array<long>")
 
 
-def candidates(signs: DataFrame) -> DataFrame:
-    """(a, b): class ids, the smaller first, that share a bucket and whose sketches allow the similarity."""
-    places = signs.select("cid", "one", F.explode("buckets").alias("bucket")).groupBy("bucket", "cid", "one").agg(F.lit(1).alias("_"))
+def candidates(classes: DataFrame) -> DataFrame:
+    """(a, b): class ids, the smaller first, that share a bucket and whose sketches allow the similarity.
+
+    classes (cid, one, buckets) has each class once, so copies of a text are in no bucket twice.
+    """
+    places = classes.select("cid", "one", F.explode("buckets").alias("bucket"))
     x = places.select("bucket", F.col("cid").alias("a"), F.col("one").alias("x"))
     y = places.select("bucket", F.col("cid").alias("b"), F.col("one").alias("y"))
     near = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= FIRST_BITS
@@ -165,8 +168,10 @@ def near_classes(df: DataFrame, key: str, texts: list[str], at: str, threshold:
     """
     signs = written(signed(df, key, texts, at), "signed")
     member = signs.groupBy(key).agg(F.max_by("cid", F.struct(F.col(at), F.col("cid"))).alias("cid"))
-    pairs = candidates(signs)
-    both = signs.groupBy("cid").agg(F.first("one").alias("one"), F.first("two").alias("two"), F.min(key).alias("key"))
+    # Rows of a class have equal sketches and buckets: any row of it will do, the one of the least key here.
+    classes = signs.groupBy("cid").agg(F.min(F.struct(F.col(key).alias("key"), "one", "two", "buckets")).alias("_c")).select("cid", "_c.*")
+    pairs = candidates(classes)
+    both = classes.select("cid", "one", "two", "key")
     for side in ("a", "b"):
         pairs = pairs.join(both.select(F.col("cid").alias(side), F.struct("one", "two", "key").alias(f"s{side}")), side)
     bits = F.bit_count(F.col("sa.one").bitwiseXOR(F.col("sb.one"))) + F.bit_count(F.col("sa.two").bitwiseXOR(F.col("sb.two")))
