@@ -22,7 +22,8 @@ from __future__ import annotations
 import re
 
 GROUPS = {"(": "p", "[": "b", "{": "c"}
-KEPT = 200_000
+#: So many results are kept for each grammar, of texts up to so many tokens; then they are made anew.
+KEPT, KEPT_LENGTH = 60_000, 2000
 #: Characters of groups in () and [], and of groups in {}.
 FIRST_GROUP = {"p": 0xF0000, "b": 0xF8000, "c": 0x100000}
 TOKEN = re.compile(r"'(?:[^'\\]|\\.)+'|[A-Za-z_][\w.]*|[|*+?()=;]")
@@ -237,14 +238,18 @@ class Recogniser:
                 units = set(parts[0].findall(text))
                 units.discard("")
                 ok = len(units) > 1 and all(self._unit(parts[1], u) for u in units)
-            ok = known[key] = ok or self.g.accepts(rule, text)
+            ok = ok or self.g.accepts(rule, text)
+            if len(text) <= KEPT_LENGTH:
+                known[key] = ok
         return ok
 
     def _unit(self, rule: str, text: str) -> bool:
         key = (rule, text)
         ok = self.known.get(key)
         if ok is None:
-            ok = self.known[key] = self.g.accepts(rule, text)
+            ok = self.g.accepts(rule, text)
+            if len(text) <= KEPT_LENGTH:
+                self.known[key] = ok
         return ok
 
     def _close(self, m: re.Match) -> str:
@@ -259,7 +264,9 @@ class Recogniser:
                 text = re.sub(self.left_out, "", text)
             text = text.strip("\n")
             found = frozenset(r for r in self.g.wants[kind] if self.derives(r, text))
-            c = self.groups[whole] = self.g.group(kind, found) if found else "\x01"
+            c = self.g.group(kind, found) if found else "\x01"
+            if len(whole) <= KEPT_LENGTH:
+                self.groups[whole] = c
         return c
 
     def collapse(self, text: str) -> str | None:

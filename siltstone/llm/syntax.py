@@ -34,7 +34,7 @@ DIALECTS = {
     ".ts": ("typescript",), ".mts": ("typescript",), ".cts": ("typescript",), ".java": ("java",), ".go": ("go",), ".rs": ("rust",), ".c": ("c",), ".h": ("c",), ".json": ("json",),
 }
 LANGUAGE = {e: d[0] for e, d in DIALECTS.items()}
-KEPT_TOKENS = 300_000
+KEPT_TOKENS = 100_000
 SUFFIX = {"javascript": "n", "typescript": "n", "java": "lLfFdD", "go": "ip", "rust": "", "c": "uUlLfFjJ", "json": "", "python": "jJ"}
 _number_end = {k: re.compile(rf"(?:0[xX][0-9a-fA-F_.]*(?:[pP][+-]?\d+)?|0[bB][01_]+|0[oO][0-7_]+|[\d_.]+(?:[eE][+-]?\d[\d_]*)?)[{v}]*\Z" if v else r"[\s\S]*") for k, v in SUFFIX.items()}
 
