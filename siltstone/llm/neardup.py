@@ -3,15 +3,16 @@
 A record is the multiset of its words: the first, second, ... occurrence of a word are
 different elements, so the Jaccard similarity of two sets of elements is the sum of the
 smaller counts over the sum of the larger counts. Records with equal multisets form a class
-and are handled once. A class has HASHES minimum hashes; each band of them, hashed to one
+and are handled once. A class has a number of minimum hashes; each band of them, hashed to one
 number, is a bucket, and classes that share a bucket are compared by sketches of one bit a
 minimum hash, which tell 0.8 from the 0.3 of unrelated records. What remains is verified on
 the full multisets.
 
-Numbers. With 16 bands of 6 rows a pair of similarity 0.8 shares a bucket with probability
+Numbers. Up to a million records there are 16 bands of 6 rows. With them of 6 rows a pair of similarity 0.8 shares a bucket with probability
 0.992, one of 0.85 with 0.9995, one of 0.9 with 1 - 4e-6; a pair of similarity 0.25 with
 0.004. bands_for() gives the numbers for other thresholds and sizes. The sketches drop a pair
-of similarity 0.8 with a probability of about 1e-4.
+of similarity 0.8 with a probability of about 1e-4. banding() takes more rows, and bands for the same recall,
+for more records, so the number of unrelated pairs compared stays in proportion to them.
 
 Skew. Equal records collapse in the partial aggregate of each task, so copies of one text
 don't make a hot bucket. Different texts that share a bucket are joined by sort-merge, which
@@ -26,6 +27,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,20 +39,45 @@ from siltstone.llm.common import map_batches
 from siltstone.session import written
 
 WORD = re.compile(r"[^\W_]+")
-ROWS, BANDS, HASHES = 6, 16, 128
+#: The similarity and the probability for which bands are chosen, and what is taken for that of unrelated records.
+TARGET, RECALL, UNRELATED = 0.8, 0.99, 0.22
 #: Bits of 64 in which the first sketches of a pair may differ, and of 128 of both sketches.
 FIRST_BITS, BOTH_BITS = 15, 28
 #: Up to so many rows the keys of candidates are broadcast (24 bytes each); beyond, both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 KEPT_WORDS = 500_000
 
-_rng = np.random.default_rng(20240229)
-MULTIPLY = (_rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
-ADD = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
-FOLD = _rng.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
-#: The first sketch takes the hashes that are in no band and two of each band; the second takes the others.
-FIRST = np.array([*range(BANDS * ROWS, HASHES), *[b * ROWS + i for b in range(BANDS) for i in (0, 1)]])
-SECOND = np.array([i for i in range(HASHES) if i not in set(FIRST.tolist())])
+
+@dataclass(frozen=True)
+class Banding:
+    """Bands of rows minimum hashes, and the hashes of the two sketches of 64 bits."""
+
+    rows: int
+    bands: int
+
+    @property
+    def hashes(self) -> int:
+        return max(128, self.rows * self.bands + 32)
+
+    def constants(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rng = np.random.default_rng(20240229)
+        multiply = (rng.integers(0, 1 << 31, self.hashes, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
+        add = rng.integers(0, 1 << 32, self.hashes, dtype=np.uint32)
+        return multiply, add, rng.integers(0, 1 << 63, (self.bands, self.rows), dtype=np.uint64) | np.uint64(1)
+
+    def sketches(self) -> tuple[np.ndarray, np.ndarray]:
+        """The first takes the hashes that are in no band and some of the bands, the second others of the bands."""
+        used = self.rows * self.bands
+        spread = np.linspace(0, used - 1, 96).astype(int)
+        first = np.concatenate([np.arange(used, used + 32), spread[::3]])
+        return first, np.setdiff1d(spread, spread[::3])
+
+
+def banding(n: int) -> Banding:
+    """For n records: as many rows as keep the unrelated partners of a record at about a thousand, but 6 at
+    least, and bands for RECALL at TARGET. More records make buckets finer, never smaller."""
+    rows = max(6, math.ceil(math.log(max(1, 16 * n / 2000)) / -math.log(UNRELATED)))
+    return Banding(rows, max(16, bands_for(TARGET, RECALL, rows)))
 
 
 def bands_for(threshold: float, recall: float, rows: int) -> int:
@@ -78,7 +105,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Signer:
     """Class id, sketches and buckets of a batch of texts. A text without words has the class id 0."""
 
-    def __init__(self) -> None:
+    def __init__(self, b: Banding = Banding(6, 16)) -> None:
+        self.b = b
+        self.multiply, self.add, self.fold = b.constants()
+        self.sketches = b.sketches()
         self.kept: dict[str, int] = {}
 
     def hashes(self, ws: list[str]) -> list[int]:
@@ -99,7 +129,8 @@ class Signer:
         sizes = np.fromiter(map(len, per), np.int64, n)
         flat = np.fromiter((h for x in per for h in x), np.uint64, int(sizes.sum()))
         cid, one, two = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-        buckets = np.zeros((n, BANDS), np.uint64)
+        rows, bands = self.b.rows, self.b.bands
+        buckets = np.zeros((n, bands), np.uint64)
         some = np.flatnonzero(sizes)
         if not some.size:
             return cid, one, two, buckets
@@ -115,31 +146,32 @@ class Signer:
         starts = (np.cumsum(sizes) - sizes)[some]
         cid[some] = _mix(np.add.reduceat(_mix(element ^ np.uint64(0x5851F42D4C957F2D)), starts)) | np.uint64(1)
         small = element.astype(np.uint32)
-        least = np.empty((HASHES, len(some)), np.uint32)
-        for k in range(HASHES):
-            least[k] = np.minimum.reduceat(small * MULTIPLY[k] + ADD[k], starts)
+        least = np.empty((self.b.hashes, len(some)), np.uint32)
+        for k in range(self.b.hashes):
+            least[k] = np.minimum.reduceat(small * self.multiply[k] + self.add[k], starts)
         bit = (least & np.uint32(1)).astype(np.uint64)
-        for out, which in ((one, FIRST), (two, SECOND)):
+        for out, which in zip((one, two), self.sketches):
             for i, k in enumerate(which):
                 out[some] |= bit[k] << np.uint64(i)
-        for b in range(BANDS):
-            folded = (_mix(least[b * ROWS : (b + 1) * ROWS].astype(np.uint64) * FOLD[b][:, None])).sum(axis=0, dtype=np.uint64)
-            buckets[some, b] = (_mix(folded) >> np.uint64(24)) << np.uint64(4) | np.uint64(b)
+        for b in range(bands):
+            folded = (_mix(least[b * rows : (b + 1) * rows].astype(np.uint64) * self.fold[b][:, None])).sum(axis=0, dtype=np.uint64)
+            # 40 bits: narrow keys make a smaller shuffle, and two unrelated hashes of a band rarely fall together.
+            buckets[some, b] = (_mix(folded) >> np.uint64(24)) * np.uint64(bands) + np.uint64(b)
         return cid, one, two, buckets
 
 
-def signed(df: DataFrame, key: str, texts: list[str], at: str) -> DataFrame:
+def signed(df: DataFrame, key: str, texts: list[str], at: str, shape: Banding) -> DataFrame:
     """(key, at, cid, one, two, buckets) of each row that has a word."""
     src = df.where(F.col(key).isNotNull()).select(key, at, F.concat_ws("\n", *texts).alias("_t"))
 
     def make():  # noqa: ANN202
-        sign = Signer()
+        sign = Signer(shape)
 
         def batch(b: pa.RecordBatch) -> pa.RecordBatch:
             cid, one, two, buckets = sign(b.column(2).to_pylist())
             keep = np.flatnonzero(cid)
             some = pa.array(keep)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1, dtype=np.int32) * BANDS), pa.array(buckets[keep].ravel().view(np.int64)))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1, dtype=np.int32) * shape.bands), pa.array(buckets[keep].ravel().view(np.int64)))
             cols = [b.column(0).take(some), b.column(1).take(some), *[pa.array(x[keep].view(np.int64)) for x in (cid, one, two)], lists]
             return pa.RecordBatch.from_arrays(cols, names=[key, at, "cid", "one", "two", "buckets"])
 
@@ -161,12 +193,12 @@ def candidates(classes: DataFrame) -> DataFrame:
     return x.join(y, "bucket").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
 
 
-def near_classes(df: DataFrame, key: str, texts: list[str], at: str, threshold: float = 0.75) -> tuple[DataFrame, DataFrame]:
+def near_classes(df: DataFrame, key: str, texts: list[str], at: str, threshold: float = 0.75, shape: Banding | None = None) -> tuple[DataFrame, DataFrame]:
     """((key, cid), (a, b, similarity)): the class of each record, and the pairs of classes.
 
     Both are written tables of the shared folder, read as often as one likes.
     """
-    signs = written(signed(df, key, texts, at), "signed")
+    signs = written(signed(df, key, texts, at, shape or banding(df.count())), "signed")
     member = signs.groupBy(key).agg(F.max_by("cid", F.struct(F.col(at), F.col("cid"))).alias("cid"))
     # Rows of a class have equal sketches and buckets: any row of it will do, the one of the least key here.
     classes = signs.groupBy("cid").agg(F.min(F.struct(F.col(key).alias("key"), "one", "two", "buckets")).alias("_c")).select("cid", "_c.*")

@@ -61,5 +61,18 @@ def test_empty_table_and_long_text(spark):
 
 
 def test_bands():
-    assert N.bands_for(0.8, 0.99, N.ROWS) <= N.BANDS
+    for n in (0, 1000, 300_000, 10**7, 10**10):
+        b = N.banding(n)
+        assert 1 - (1 - 0.8**b.rows) ** b.bands >= 0.99 and b.bands * n * 0.22**b.rows <= 20_000
+        assert len(set(b.sketches()[0]) | set(b.sketches()[1])) == 128
+    assert (N.banding(200_000).rows, N.banding(200_000).bands) == (6, 16)
     assert abs(N.similarity("a a b", "a b b") - 0.5) < 1e-9 and N.similarity("", "") == 0
+
+
+def test_finer_bands_find_the_same(spark):
+    d = spark.createDataFrame(rows_of(random.Random(5), 120), SCHEMA)
+    a = {tuple(r) for r in N.near_pairs(d).collect()}
+    _, near = N.near_classes(d, "section_key", ["heading", "content"], "loaded_at", shape=N.banding(10**8))
+    _, base = N.near_classes(d, "section_key", ["heading", "content"], "loaded_at")
+    x, y = ({(r.a, r.b) for r in t.where("similarity > 0.87").collect()} for t in (near, base))
+    assert x == y and a
