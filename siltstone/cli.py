@@ -17,6 +17,7 @@ from siltstone.operators.budget import prefix
 from siltstone.session import local_session
 from siltstone.sources import scan
 from siltstone.sources.store import Store
+from siltstone.streaming import deferral
 
 
 class Pipeline:
@@ -52,22 +53,52 @@ class Pipeline:
         limits = classify.Limits(c.trivial_max_files, c.trivial_max_lines, c.minor_max_files, c.minor_max_lines, c.standard_max_files, c.standard_max_lines)
         return classify.or_standard(classify.classify(diff.metrics(nodes, ["project"]), limits), keys, ["project"], m.max_input_tokens, m.max_output_tokens)
 
-    def prompts(self, classified: DataFrame) -> DataFrame:
-        parsed = structure.parse(scan.code_files(self.files))
-        payloads = compress.json_sizes(compress.files(parsed, skip_trivial=self.conf.focus.skip_trivial))
+    def prompts(self, classified: DataFrame, scope: DataFrame | None = None, deferred: list[str] | None = None) -> DataFrame:
+        """One prompt for each project; scope (path) narrows the payload to some files."""
+        files = scan.code_files(self.files)
+        if scope is not None:
+            files = files.join(scope.select("path").distinct(), "path", "left_semi")
+        payloads = compress.json_sizes(compress.files(structure.parse(files), skip_trivial=self.conf.focus.skip_trivial))
         first = classified.select("project", "session_type", "input_token_budget")
         sized = payloads.join(F.broadcast(first), "project")
         kept = prefix(sized, ["project"], ["path"], "json_size", F.col("input_token_budget"), F.lit(len(self.conf.template_sections))).where("kept")
         body = prompt.payload_json(kept, ["project"], ["path"])
         body = first.join(body, "project", "left").withColumn("payload", F.coalesce("payload", F.lit("[]"))).withColumn("n_files", F.coalesce("n_files", F.lit(0)))
-        high = F.array(*[F.lit(h) for h in self.conf.focus.highlight]).cast("array<string>")
-        return prompt.generation_prompt(body, self.conf.template_sections, F.col("project"), F.col("payload"), F.col("session_type"), high)
-
-    def generate(self, call: model.Call | None = None) -> str:
-        """Writes a document and the snapshot it describes; gives the document's id."""
-        kind = self.classified(self.changes())
-        answers = model.generate_all(self.prompts(kind), self.conf.model, call)
-        row = answers.first()
+        texts = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
+        return prompt.generation_prompt(body, self.conf.template_sections, F.col("project"), F.col("payload"), F.col("session_type"), texts(self.conf.focus.highlight), texts(deferred or []))
+
+    def generate(self, call: model.Call | None = None, force: bool = False, dry_run: bool = False, auto_flush: bool = False, only_changed: bool = False) -> str | None:
+        """Writes a document and the snapshot it describes; gives the document's id.
+
+        None if nothing has changed, on a dry run, or if the session is trivial: it is then held
+        back, unless forced. auto_flush gives out what is held back when its limits are reached;
+        only_changed narrows the payload to changed and affected files.
+        """
+        changes = self.changes()
+        if changes is not None and not force and diff.is_empty(changes):
+            return None
+        kind = self.classified(changes)
+        first = kind.first()
+        sid, snap = self.snapshot()
+        c = self.conf.classifier
+        deferred: list[str] = []
+        if changes is not None and first["should_defer"] and not force:
+            m = diff.metrics(changes, ["project"]).withColumn("s", deferral.summary(F.col("files_changed"), F.col("lines_added"), F.col("lines_removed"))).first()
+            paths = [r["path"] for r in changes.select("path").limit(c.trivial_max_files + 1).collect()]  # a trivial session has no more
+            self.store.save_pending(self.project, f"deferred_{sid}", self.now, paths, m["s"], m["total_magnitude"])
+            held = self.store.load_pending(self.project).agg(F.count("*").alias("n"), F.sum("magnitude").alias("m")).first()
+            if not (auto_flush and (held["n"] >= c.max_deferred_sessions or held["m"] >= c.flush_threshold)):
+                self.store.save_snapshot(snap, self.project, sid, self.now)
+                return None
+        if dry_run:
+            return None
+        if auto_flush:
+            deferred = self.store.flush(self.project, self.now)
+        scope = None
+        if only_changed and changes is not None:
+            edges = graph.resolve(structure.imports(structure.parse(self.files)), self.files)
+            scope = graph.subgraph(self.files, edges, changes)
+        row = model.generate_all(self.prompts(kind, scope, deferred), self.conf.model, call).first()
         docs = self.spark.createDataFrame([(self.project, row["content"])], "project string, text string")
         heads = self.spark.createDataFrame(
             [(self.project, row["model"], row["session_type"], row["n_files"], row["input_tokens"], row["output_tokens"], self.now)],
@@ -75,7 +106,6 @@ class Pipeline:
         )
         text = prompt.formatted(sections.for_output(docs, ["project"]), ["project"], heads).first()["document"]
         doc_id = self.store.save_doc(self.project, text, self.now, row["session_type"], row["model"], row["n_files"])
-        sid, snap = self.snapshot()
         self.store.save_snapshot(snap, self.project, sid, self.now, doc_id)
         return doc_id
 
@@ -88,6 +118,20 @@ class Pipeline:
         row = merge.merged_document(found).first()
         return row["document"] if row else "# No documentation found\n"
 
+    def merge_with_model(self, call: model.Call | None = None) -> str:
+        """The documents' summaries merged by a model call."""
+        docs = self.store.load_all_docs(self.project)
+        keys = ["project", "doc_ord", "doc_id"]
+        parts = sections.summaries(sections.extract(docs, keys, "content"), keys)
+        item = F.struct("sec_ord", "heading", "words", "content")
+        body = parts.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(x["heading"].alias("heading"), x["words"].alias("words"), x["content"].alias("content"))).alias("sections"))
+        front = sections.front_matter(docs, keys, "content").withColumnRenamed("generated", "timestamp")
+        whole = front.join(body, keys, "left").select("project", "doc_ord", F.to_json(F.struct("doc_id", "session_type", "timestamp", "sections")).alias("summary"))
+        prompts = prompt.merge_prompt(whole, ["project"], ["doc_ord"], F.col("project"))
+        out = model.generate_all(prompts, self.conf.model, call)
+        n = docs.groupBy("project").agg(F.count("*").alias("n_docs"))
+        return prompt.formatted_merge(out.join(n, "project").withColumn("saved_at", F.lit(self.now)), ["project"], self.conf.model.model_name).first()["document"]
+
 
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="siltstone")
@@ -97,9 +141,14 @@ def main(argv: list[str] | None = None) -> int:
     a.add_argument("--preset")
     a.add_argument("--name")
     a.add_argument("--language")
-    for name in ("generate", "status", "diff", "version"):
+    for name in ("status", "diff", "version"):
         sub.add_parser(name)
-    sub.add_parser("merge").add_argument("--output")
+    a = sub.add_parser("generate")
+    for flag in ("--force", "--dry-run", "--auto-flush", "--only-changed"):
+        a.add_argument(flag, action="store_true")
+    a = sub.add_parser("merge")
+    a.add_argument("--output")
+    a.add_argument("--local", action="store_true")
     sub.add_parser("explain").add_argument("doc_id")
     args = p.parse_args(argv)
     try:
@@ -112,9 +161,9 @@ def main(argv: list[str] | None = None) -> int:
         conf = config.load_config(args.root)
         run = Pipeline(local_session(), str(Path(args.root).resolve()), conf)
         if args.command == "generate":
-            print(run.generate())
+            print(run.generate(force=args.force, dry_run=args.dry_run, auto_flush=args.auto_flush, only_changed=args.only_changed) or "nothing written")
         elif args.command == "merge":
-            text = run.merge_local()
+            text = run.merge_local() if args.local else run.merge_with_model()
             Path(args.output).write_text(text, encoding="utf-8") if args.output else print(text)
         elif args.command == "status":
             from siltstone.sources.store import manifest

@@ -18,6 +18,7 @@ from siltstone.functions import text as T
 
 SNAPSHOT = "project string, path string, hash string, size bigint, lines bigint, snapshot_id string"
 HEADER = "project string, snapshot_id string, taken_at timestamp, doc_id string"
+PENDING = "project string, session_id string, at timestamp, files_changed array<string>, summary string, magnitude double, flushed_at timestamp"
 DOC = "project string, doc_id string, doc_ord bigint, path string, saved_at timestamp, session_type string, model string, files_analyzed bigint, content_hash string, content string"
 
 
@@ -57,6 +58,24 @@ class Store:
         s = self.latest(project)
         return None if s is None else self.load_snapshot(s).where(F.col("project") == project)
 
+    # sessions held back
+
+    def save_pending(self, project: str, session_id: str, at: datetime, files_changed: list[str], summary: str, magnitude: float) -> None:
+        row = [(project, session_id, at, files_changed, summary, float(magnitude), None)]
+        self.spark.createDataFrame(row, PENDING).coalesce(1).write.mode("append").parquet(f"{self.root}/pending")
+
+    def load_pending(self, project: str) -> DataFrame:
+        """The sessions held back since the last flush."""
+        own = _read(self.spark, f"{self.root}/pending", PENDING).where(F.col("project") == project)
+        flushed = own.agg(F.max("flushed_at").alias("_f"))
+        return own.where("flushed_at is null").join(F.broadcast(flushed)).where(F.col("_f").isNull() | (F.col("at") > F.col("_f"))).drop("_f", "flushed_at")
+
+    def flush(self, project: str, at: datetime) -> list[str]:
+        """The summaries of the sessions held back, oldest first; they are held no more."""
+        out = [r["summary"] for r in self.load_pending(project).orderBy("at", "session_id").select("summary").collect()]  # at most the limit of sessions
+        self.spark.createDataFrame([(project, "flush", at, [], "", 0.0, at)], PENDING).coalesce(1).write.mode("append").parquet(f"{self.root}/pending")
+        return out
+
     # documents
 
     def docs(self) -> DataFrame:
