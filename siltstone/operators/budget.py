@@ -10,9 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.operators.running import GROUP_ROWS, running
+
 SECTION_TOKENS = 50
 
 
@@ -21,11 +23,11 @@ def list_tokens(total: Column, n: Column) -> Column:
     return F.floor(F.when(n > 0, total + 2 * n + 2).otherwise(2) / 4).cast("long")
 
 
-def prefix(sized: DataFrame, by: Sequence[str], order: Sequence[str], size: str, budget: Column, sections: Column) -> DataFrame:
+def prefix(sized: DataFrame, by: Sequence[str], order: Sequence[str], size: str, budget: Column, sections: Column, group_rows: int = GROUP_ROWS) -> DataFrame:
     """sized with running_tokens and kept: the longest prefix that fits, sections' tokens included."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    running = list_tokens(F.sum(size).over(w), F.count(F.lit(1)).over(w)) + SECTION_TOKENS * sections
-    return sized.withColumn("running_tokens", running.cast("long")).withColumn("kept", F.col("running_tokens") <= budget)
+    r = running(sized, by, order, size, group_rows)
+    tokens = list_tokens(F.col("running_sum"), F.col("row_number")) + SECTION_TOKENS * sections
+    return r.withColumn("running_tokens", tokens.cast("long")).withColumn("kept", F.col("running_tokens") <= budget).drop("row_number", "running_sum")
 
 
 def stages(sized: DataFrame, by: Sequence[str], size: str, bare_size: str, sections: DataFrame, budget: Column) -> DataFrame:

@@ -10,11 +10,12 @@ from __future__ import annotations
 import json
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from siltstone.functions import text as T
+from siltstone.operators.running import running
 
 SNAPSHOT = "project string, path string, hash string, size bigint, lines bigint, snapshot_id string"
 HEADER = "project string, snapshot_id string, taken_at timestamp, doc_id string"
@@ -101,9 +102,7 @@ class Store:
 
 def numbered(docs: DataFrame, order: list[str], by: str = "project") -> DataFrame:
     """docs with doc_ord from 1, doc_id and the state of merging after each: pending for the first, then stale."""
-    w = Window.partitionBy(by).orderBy(*order)
-    n = F.row_number().over(w).cast("long")
-    return docs.withColumn("doc_ord", n).withColumn("doc_id", F.format_string("pd_%03d", "doc_ord")).withColumn("merge_state", F.when(F.col("doc_ord") > 1, "stale").otherwise("pending"))
+    return running(docs, [by], order).withColumnRenamed("row_number", "doc_ord").withColumn("doc_id", F.format_string("pd_%03d", "doc_ord")).withColumn("merge_state", F.when(F.col("doc_ord") > 1, "stale").otherwise("pending"))
 
 
 def manifest(docs: DataFrame, by: str = "project") -> DataFrame:

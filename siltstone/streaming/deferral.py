@@ -2,8 +2,8 @@
 
 Sessions of a key are added up in order. When their number or the sum of their magnitudes
 reaches its limit, all that are held are given out together and the sums start anew. The
-batch form folds an ordered array in the JVM, the streaming form keeps the same sums as
-state; both give the same rows for the same order.
+batch form goes through sorted rows, the streaming form keeps the same sums as state; both
+give the same rows for the same order.
 """
 
 from __future__ import annotations
@@ -12,10 +12,13 @@ from collections.abc import Iterator, Sequence
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from siltstone.session import ship
+
 MAX_DEFERRED, THRESHOLD = 5, 0.40
 
 
@@ -26,28 +29,33 @@ def summary(files: Column, added: Column, removed: Column) -> Column:
 def fold(sessions: DataFrame, by: Sequence[str], order: Sequence[str], magnitude: str, max_deferred: int = MAX_DEFERRED, threshold: float = THRESHOLD) -> DataFrame:
     """sessions with batch (from 0 for each key), accumulated (up to and with the session) and flushed.
 
-    A key's sessions are folded in one row, as a state would be: order per key is the point.
+    Keys are hashed over tasks and sorted there; a task goes through its rows once and holds the
+    sums of one key, so a key with very many sessions costs time but no memory. A null magnitude
+    adds nothing.
     """
-    item = F.struct(*order, F.coalesce(F.col(magnitude), F.lit(0.0)).cast("double").alias("_m"), F.struct(*sessions.columns).alias("_row"))
-    start = F.struct(
-        F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("batch"),
-        F.array().cast("array<struct<batch:bigint,accumulated:double,flushed:boolean>>").alias("out"),
-    )
-
-    def step(acc: Column, x: Column) -> Column:
-        n, total = acc["n"] + 1, acc["sum"] + x["_m"]
-        full = (n >= max_deferred) | (total >= threshold)
-        row = F.struct(acc["batch"].alias("batch"), total.alias("accumulated"), full.alias("flushed"))
-        return F.struct(
-            F.when(full, F.lit(0).cast("long")).otherwise(n).alias("n"),
-            F.when(full, F.lit(0.0)).otherwise(total).alias("sum"),
-            F.when(full, acc["batch"] + 1).otherwise(acc["batch"]).alias("batch"),
-            F.concat(acc["out"], F.array(row)).alias("out"),
-        )
-
-    g = sessions.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("_s"))
-    zipped = F.arrays_zip(F.transform("_s", lambda x: x["_row"]).alias("r"), F.aggregate("_s", start, step, lambda a: a["out"]).alias("o"))
-    return g.select(F.explode(zipped).alias("_z")).select("_z.r.*", "_z.o.*")
+    ship(sessions.sparkSession)
+    n_by, cols = len(by), sessions.columns
+    keyed = sessions.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.coalesce(F.col(magnitude), F.lit(0.0)).cast("double").alias("_m"), *cols)
+    keys = [f"_k{i}" for i in range(n_by)]
+    rows = keyed.repartition(*keys).sortWithinPartitions(*keys, *order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, n, total, batch = None, 0, 0.0, 0
+        for b in batches:
+            out: list[tuple[int, float, bool]] = []
+            for *key, m in zip(*[b.column(i).to_pylist() for i in range(n_by + 1)]):
+                if key != now:
+                    now, n, total, batch = key, 0, 0.0, 0
+                n, total = n + 1, total + m
+                full = n >= max_deferred or total >= threshold
+                out.append((batch, total, full))
+                if full:
+                    n, total, batch = 0, 0.0, batch + 1
+            new = [pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.float64(), pa.bool_()))] if out else [pa.array([], t) for t in (pa.int64(), pa.float64(), pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*b.columns[n_by + 1 :], *new], names=[*cols, "batch", "accumulated", "flushed"])
+
+    have = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sessions.schema)
+    return rows.mapInArrow(run, f"{have}, batch bigint, accumulated double, flushed boolean")
 
 
 def pending(folded: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from siltstone import config, model
 from siltstone.functions import text as T
+from siltstone.operators.running import running
 from siltstone.operators import budget, classify, compress, diff, graph, merge, prompt, sections, structure, validate
 from siltstone.sources import patterns, scan
 from siltstone.sources.store import Store, from_json_rows, manifest, numbered, to_json_rows
@@ -314,3 +315,17 @@ def test_text_functions(spark):
     d = spark.createDataFrame([("a/b.PY", " x\x1c "), (".env", " w w ")], "p string, t string")
     r = d.select(T.language(F.col("p")).alias("l"), T.strip(F.col("t")).alias("s"), T.word_count(F.col("t")).alias("n")).collect()
     assert [(x.l, x.s, x.n) for x in r] == [("python", "x", 1), (None, "w w", 2)]
+
+
+def test_large_groups_are_split_without_a_difference(spark):
+    rnd = random.Random(7)
+    rows = [(rnd.choice(["hot", "hot", "hot", "a", None]), i, rnd.choice([None, 1, 5])) for i in range(400)]
+    d = spark.createDataFrame(rows, "k string, i int, v int").repartition(5)
+    x, y = ({tuple(r) for r in running(d, ["k"], ["i"], "v", n).collect()} for n in (10**6, 20))
+    assert x == y and len(x) == 400
+    total = {}
+    for k, i, v in sorted(rows, key=lambda r: r[1]):
+        n, t = total.get(k, (0, 0))
+        total[k] = n, t = n + 1, t + (v or 0)
+        assert (k, i, v, n, t) in x
+    assert running(d.where("false"), ["k"], ["i"], "v").collect() == []
