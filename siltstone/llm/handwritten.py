@@ -67,6 +67,8 @@ _HEX = re.compile(rb"(?:0x[0-9a-fA-F]{1,8}|-?\b\d{1,10}(?:\.\d+)?)\s*,|[\"'][A-Z
 
 
 _NAME = re.compile(rb"[A-Za-z0-9_]+")
+_LITERAL = re.compile(rb"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|\b0[xX][0-9a-fA-F]+\b|\b\d[\d.]*(?:[eE][+-]?\d+)?\b")
+_NO_LETTERS = bytes(c for c in range(256) if not chr(c).isascii() or not chr(c).isalpha())
 
 
 def shape(body: bytes) -> str:
@@ -85,8 +87,12 @@ def shape(body: bytes) -> str:
         if most >= 8 and most > 0.3 * len(forms):
             return "list"
     blanks = body.count(b" ") + body.count(b"\t") + lines
-    literal = sum(len(m) for m in _HEX.findall(body))
-    if literal > 0.6 * (n - blanks):
+    if body.count(b",") > n / 80:
+        # Words outside of strings are what code is made of.
+        rest, count = _LITERAL.subn(b"", body)
+        if count >= 20 and len(rest.translate(None, _NO_LETTERS)) < 0.06 * n:
+            return "data"
+    if sum(len(m) for m in _HEX.findall(body)) > 0.6 * (n - blanks):
         return "data"
     return "min" if n / lines > 200 and blanks < 0.09 * n and body.count(b";") + body.count(b",") > n / 80 else ""
 

@@ -23,6 +23,8 @@ def test_heads(text, sort):
 def test_shapes():
     assert H.shape(b"var a=function(e,t){return e.x+t*2};" * 30) == "min"
     assert H.shape(b"X = [\n" + b"    0x1f, 0x2a, 0x3c, 0x4d,\n" * 30 + b"]\n") == "data"
+    assert H.shape(b"T = [\n" + b'    ["tariff", 3019, 23.15], ["tide", 1, 2.5],\n' * 12 + b"];\n") == "data"
+    assert H.shape(b'"""' + b"One, two, three and so on, and on. " * 20 + b'"""\n') == ""
     assert H.shape(b"".join(b'F_%d = field("abc_%d", number=%d)\n' % (i, i, i) for i in range(20))) == "list"
     assert H.shape(BODY) == "" and H.shape(b"") == ""
     assert H.shape(BODY + b'labels = ["' + b'", "'.join(b"the label of %d" % i for i in range(40)) + b'"]\n') == ""
