@@ -64,11 +64,18 @@ def test_empty_tables_and_no_header(spark):
 
 def test_only_differing_ranges_are_named(spark):
     rows = [(s, f"p{i}", f"h{i}" if s == "a" or i != 7 else "new", 1, 1, T0, "") for s in "ab" for i in range(200)]
-    live = M.live_rows(spark.createDataFrame(rows, ROWS), 6)
-    pairs = M.consecutive(spark.createDataFrame([("a", 1, T0, ""), ("b", 1, T0 + timedelta(days=1), "")], HEADS))
-    assert len(M.changed_leaves(live, pairs, 6).collect()) == 1
+    order = M.ordered(spark.createDataFrame([("a", 1, T0, ""), ("b", 1, T0 + timedelta(days=1), "")], HEADS))
+    live = M._placed(spark.createDataFrame(rows, ROWS), order, 6, True)
+    assert len(M.changed_leaves(live, order, 6, True).collect()) == 1
+
+
+def test_headers_that_are_not_broadcast(spark):
+    rows = [(f"s{i}", f"p{j}", str(i // 2), 1, 1, T0, "") for i in range(5) for j in range(3)]
+    heads = [(f"s{i}", 1, T0 + timedelta(days=i), "") for i in range(5)]
+    got = M.snapshot_changes(spark.createDataFrame(rows, ROWS), spark.createDataFrame(heads, HEADS), 2, broadcast_headers=0).collect()
+    assert {tuple(r) for r in got} == brute(rows, heads)
 
 
 def test_depth():
-    assert [M.leaf_bits_for(n, 1) for n in (0, 8, 16, 8000)] == [0, 1, 2, 10]
-    assert M.leaf_bits_for(10**12, 1) == 16
+    assert [M.leaf_bits_for(n, 1) for n in (0, 4, 8, 4096)] == [0, 0, 1, 10]
+    assert M.leaf_bits_for(10**12, 10**9) == 20
