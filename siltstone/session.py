@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -66,7 +68,9 @@ def ship(spark: SparkSession) -> None:
     if done:
         return
     root = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="siltstone-ship-")) / "siltstone_src.zip"
+    folder = tempfile.mkdtemp(prefix="siltstone-ship-")  # the driver's; executors get the file from Spark
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = Path(folder) / "siltstone_src.zip"
     with zipfile.ZipFile(target, "w") as z:
         for p in sorted(root.rglob("*")):
             if p.suffix in (".py", ".txt", ".yaml") and "__pycache__" not in p.parts:
