@@ -1,23 +1,31 @@
 """Merging the versions of a section over documents: the latest if all are alike, else all that differ.
 
 Pairs are only formed within a group of versions and only between different texts; equal
-texts are handled as one by their hash. A pair goes to Python only if the bound of the ratio
-by lengths allows the threshold. The earlier text is the first argument of the ratio.
+texts are handled as one by their hash. The ratio of a pair is computed only if lossless bounds
+by lengths and shared q-grams allow the threshold. The earlier text is the first argument of the ratio.
 """
 
 from __future__ import annotations
 
 import difflib
-from collections.abc import Sequence
+import functools
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.operators.sections import group_key
+from siltstone.session import ship, written
 
 THRESHOLD = 0.85
 RULE = "\n\n---\n\n"
+#: Length of the grams and places of their counts; what rounding may take from a bound.
+GRAM, WIDTH, SLACK = 4, 8192, 1e-4
+#: Texts and characters of a block, about.
+BLOCK, BLOCK_CHARS = 1000, 8_000_000
 
 
 def ratio(a: str, b: str, threshold: float = 0.0) -> float:
@@ -32,26 +40,98 @@ def ratio(a: str, b: str, threshold: float = 0.0) -> float:
     return quick if quick <= threshold else m.ratio()
 
 
-def similar_pairs(versions: DataFrame, by: Sequence[str], threshold: float = THRESHOLD) -> DataFrame:
-    """(by, h1, h2): hashes of different texts of a group whose similarity, earlier first, is over the threshold.
+def grams(text: str) -> np.ndarray:
+    """Counts of the 4-grams of a text, the repeats of one told apart, in WIDTH places.
 
-    Both orders are judged where a text is earlier in one place and later in another.
+    The product of two texts' counts is at least the number of 4-grams that they share.
     """
-    texts = versions.groupBy(*by, "h").agg(F.min("o").alias("first"), F.max("o").alias("last"), F.first("content").alias("c"))
-    a = texts.select(*by, F.col("h").alias("h1"), F.col("first").alias("f1"), F.col("c").alias("c1"))
-    b = texts.select(*by, F.col("h").alias("h2"), F.col("last").alias("l2"), F.col("c").alias("c2"))
-    la, lb = F.length("c1"), F.length("c2")
-    bound = F.when(la + lb > 0, 2 * F.least(la, lb) / (la + lb)).otherwise(1.0)
-    pairs = a.join(b, list(by)).where((F.col("h1") != F.col("h2")) & (F.col("f1") < F.col("l2")) & (bound > threshold))
-
-    @F.pandas_udf("double")
-    def judged(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([ratio(p, q, threshold) for p, q in zip(x, y)], dtype="float64")
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = len(c) - GRAM + 1
+    if n <= 0:
+        return np.zeros(WIDTH, np.float32)
+    k = np.zeros(n, np.uint64)
+    for i in range(GRAM):
+        k = k * np.uint64(1000003) + c[i : i + n]
+    k.sort()
+    at = np.arange(n)
+    first = np.maximum.accumulate(np.where(np.r_[True, k[1:] != k[:-1]], at, 0))
+    k = (k + (at - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xFF51AFD7ED558CCD)
+    return np.bincount((k >> np.uint64(40)).astype(np.int64) % WIDTH, minlength=WIDTH).astype(np.float32)
+
+
+def anchors(text: str) -> int:
+    """How many characters of a second text SequenceMatcher looks up: from 200 characters on it leaves out frequent ones."""
+    if len(text) < 200:
+        return len(text)
+    n = Counter(text).values()
+    return sum(x for x in n if x <= len(text) // 100 + 1)
+
+
+def similar(texts: Sequence[str], pairs: Sequence[tuple[np.ndarray, np.ndarray]], before: Callable[[int, int], bool], threshold: float) -> Iterator[tuple[int, int, float]]:
+    """(i, j, ratio) over the threshold, i of the first and j of the second numbers of each of the pairs.
+
+    Lossless bounds come first. A ratio over the threshold needs more than m = threshold * (la + lb) / 2
+    characters in matching blocks. Each block but a common beginning has an anchor of the second
+    text, and there are at most la + lb - 2 m gaps, so there are at most k = 1 + min(anchors, la + lb - 2 m)
+    blocks, and the texts share at least m - (q - 1) k of their q-grams.
+    """
+    size = np.array([len(x) for x in texts], np.float64)
+    found = np.array([anchors(x) for x in texts], np.float64)
+    counts = np.stack([grams(x) for x in texts])
+    thirds = functools.lru_cache(maxsize=256)(lambda i: Counter(texts[i][k : k + 3] for k in range(len(texts[i]) - 2)))
+    for left, right in pairs:
+        for at in range(0, len(right), 256):
+            part = right[at : at + 256]
+            total = size[left][:, None] + size[part][None]
+            m = threshold * total / 2
+            k = np.minimum(found[part][None], total - 2 * m) + 1
+            shared = counts[left] @ counts[part].T
+            maybe = (np.minimum(size[left][:, None], size[part][None]) > m - SLACK) & (shared * (1 + SLACK) + SLACK >= m - (GRAM - 1) * k)
+            match, last = difflib.SequenceMatcher(None), -1
+            for y, x in zip(*np.nonzero(maybe.T)):
+                i, j = int(left[x]), int(part[y])
+                if i == j or not before(i, j) or (thirds(i) & thirds(j)).total() + SLACK < m[x, y] - 2 * k[x, y]:
+                    continue
+                if j != last:
+                    match.set_seq2(texts[j])
+                    last = j
+                match.set_seq1(texts[i])
+                if match.quick_ratio() > threshold and (r := match.ratio()) > threshold:
+                    yield i, j, r
 
-    return pairs.select(*by, "h1", "h2", judged("c1", "c2").alias("s")).where(F.col("s") > threshold).select(*by, "h1", "h2")
 
+def similar_pairs(versions: DataFrame, by: Sequence[str], threshold: float = THRESHOLD) -> DataFrame:
+    """(by, h1, h2, first1, last2, similarity): different texts of a group whose similarity, earlier first, is over the threshold.
 
-def _versions(sections: DataFrame, by: Sequence[str]) -> DataFrame:
+    first1 is the first place of the earlier text, last2 the last one of the later. Both orders are
+    judged where a text is earlier in one place and later in another. Groups are split into blocks
+    of bounded size, and each pair of blocks is judged by itself.
+    """
+    ship(versions.sparkSession)
+    texts = versions.where(F.col("content").isNotNull()).groupBy(*by, "h").agg(F.min("o").alias("first"), F.max("o").alias("last"), F.first("content").alias("c"))
+    lengths = versions.where(F.col("content").isNotNull()).groupBy(*by, "h").agg(F.max(F.length("content")).alias("n"))
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_CHARS)).cast("int")
+    groups = lengths.groupBy(*by).agg(F.count("*").alias("texts"), blocks.alias("blocks")).where("texts > 1").drop("texts")
+    own = texts.join(groups, list(by)).withColumn("own", F.pmod("h", F.col("blocks").cast("long")).cast("int"))
+    cells = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other"))
+    cells = cells.select(*by, "p", "q", "own", "h", "first", "last", "c")
+    names = [*by, "h1", "h2", "first1", "last2", "similarity"]
+    order = cells.schema["first"].dataType.simpleString()
+    schema = ", ".join([*(f"`{c}` {cells.schema[c].dataType.simpleString()}" for c in by), "h1 long", "h2 long", f"first1 {order}", f"last2 {order}", "similarity double"])
+
+    def judged(t: pa.Table) -> pa.Table:
+        p, q = t["p"][0].as_py(), t["q"][0].as_py()
+        place = t["own"].to_numpy()
+        first, last = ([tuple((v is not None, v) for v in x.values()) for x in t[c].to_pylist()] for c in ("first", "last"))
+        a, b = np.nonzero(place == p)[0], np.nonzero(place == q)[0]
+        found = list(similar(t["c"].to_pylist(), [(a, a)] if p == q else [(a, b), (b, a)], lambda i, j: first[i] < last[j], threshold))
+        i, j = (pa.array([x[k] for x in found], pa.int64()) for k in (0, 1))
+        return pa.table([*(t[c].take(i) for c in by), t["h"].take(i), t["h"].take(j), t["first"].take(i), t["last"].take(j), pa.array([x[2] for x in found], pa.float64())], names=names)
+
+    return cells.groupBy(*by, "p", "q").applyInArrow(judged, schema)
+
+
+def versions(sections: DataFrame, by: Sequence[str]) -> DataFrame:
     order = F.struct("doc_ord", "sec_ord")
     return sections.withColumn("group_key", group_key()).select(*by, "group_key", order.alias("o"), "doc_id", "heading", "section_id", "content", F.xxhash64("content", F.length("content")).alias("h"))
 
@@ -63,12 +143,12 @@ def kept_versions(sections: DataFrame, by: Sequence[str] = ("project",), thresho
     only equal texts as similar.
     """
     g = [*by, "group_key"]
-    v = _versions(sections, by)
+    v = versions(sections, by)
     order = F.struct("o", "h")
     heads = v.groupBy(*g).agg(F.count("*").alias("n_versions"), F.min("o").alias("first_ord"), F.max_by(F.struct("heading", "section_id", "content", "doc_id", "o", "h"), order).alias("last"))
     # What is similar to the text h1: itself, and the second texts of its pairs.
     same = v.select(*g, F.col("h").alias("h1"), F.col("h").alias("h2")).distinct()
-    alike = same if threshold is None else same.unionByName(similar_pairs(v, g, threshold))
+    alike = same if threshold is None else same.unionByName(written(similar_pairs(v, g, threshold).select(*g, "h1", "h2"), "similar"))
     latest = v.groupBy(*g, F.col("h").alias("h2")).agg(F.max("o").alias("last_o"))
     later = alike.join(latest, [*g, "h2"]).groupBy(*g, F.col("h1").alias("h")).agg(F.max("last_o").alias("later"))
     stays = v.join(later, [*g, "h"]).where(F.col("later") <= F.col("o")).select(*g, "o", "doc_id", "content")

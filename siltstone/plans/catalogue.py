@@ -344,6 +344,26 @@ def q26_merged_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.merged_document(_sections(spark, sf_dir), threshold=None).select("project", F.md5(F.col("document").cast("binary")).alias("document_md5"))
 
 
+@query()
+def q24_similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Different texts of a group that are similar: the first place of the earlier one and the last place of the later one."""
+    pairs = merge.similar_pairs(merge.versions(_sections(spark, sf_dir), ["project"]), ["project", "group_key"])
+    return pairs.select("project", "group_key", F.col("first1.doc_ord").alias("doc_a"), F.col("first1.sec_ord").alias("sec_a"), F.col("last2.doc_ord").alias("doc_b"), F.col("last2.sec_ord").alias("sec_b"), "similarity")
+
+
+@query()
+def q25_fuzzy_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As q25_merge_strategy, but versions over the threshold of similarity are alike, too."""
+    m = merge.merged(_sections(spark, sf_dir))
+    return m.select("project", "group_key", "heading", "strategy", "n_versions", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
+@query()
+def q26_fuzzy_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As q26_merged_document, but versions over the threshold of similarity are alike, too."""
+    return merge.merged_document(_sections(spark, sf_dir)).select("project", F.md5(F.col("document").cast("binary")).alias("document_md5"))
+
+
 # ---------------------------------------------------------------- structure of files
 
 
