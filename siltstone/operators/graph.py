@@ -45,17 +45,17 @@ def degrees(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = ("project"
     return j.select(*keys, "path", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("imports", "imported_by")])
 
 
-def affected(edges: DataFrame, changed: DataFrame, keys: Sequence[str] = ("project",), rounds: int = 1000) -> DataFrame:
+def affected(edges: DataFrame, changed: DataFrame, keys: Sequence[str] = ("project",)) -> DataFrame:
     """(keys, path): what reaches a changed node along edges, without the changed nodes; cycles do no harm.
 
-    Frontier by frontier: one join and one anti-join a round, both on the key of the node, each
+    Frontier by frontier, until one is empty: one join and one anti-join a round, both on the key of the node, each
     round cut by a reliable checkpoint. Nodes reached in an earlier round aren't joined again.
     """
     node = [*keys, "path"]
     back = cut(edges.select(*keys, F.col("dst").alias("path"), F.col("src").alias("to")).distinct())
     start = cut(changed.select(*node).distinct())
     seen = frontier = start
-    for _ in range(rounds):
+    while True:
         step = frontier.join(back, node).select(*keys, F.col("to").alias("path")).distinct()
         frontier = cut(step.join(seen, node, "left_anti"))
         if frontier.isEmpty():
