@@ -3,7 +3,8 @@
 copied_prompt: the response is compressed with the prompt as zstandard dictionary, both
     without case, spacing, quoting and markup; what the dictionary doesn't give is what the
     response adds. A copy adds a few bytes of framing.
-refusal: a phrase of the refusal dictionary, and nothing but courtesies beside it.
+refusal: a phrase of the refusal dictionary, and nothing but courtesies beside it, however long the
+    text is; a short one without code or lists may give its reason in any words.
 other_language: words of the dictionaries of frequent words, or the script, say another
     language than the one that the prompt asks for or, if it asks for none, is written in.
 empty, truncated: the terminal context (terminal.py) and the self-join by prefix (truncation.py).
@@ -77,7 +78,24 @@ REFUSALS = [
     r"无法(?:协助|帮助|完成|撰写|提供|回答)|不能(?:撰写|协助|帮助|提供|回答|完成)|不(?:被)?允许(?:我)?|必须拒绝|拒绝(?:此|该|这)|不便(?:回答|提供)",
 ]
 REFUSAL = re.compile("|".join(REFUSALS))
+#: Up to this length a refusal without code or lists may give its reason in any words.
 REFUSAL_LENGTH = 420
+#: What may stand beside a refusal: regrets, reasons, offers of other help.
+COURTESIES = [
+    r"(?:i(?:'m| am) (?:very |so |truly )?sorry|sorry|(?:my |i )?apolog\w+|unfortunately|regrettably|thank you|thanks|i understand|i appreciate)\b",
+    r"(?:it|this|that|these|those|they|doing so|the request|your request) (?:would|goes|go|falls|fall|lies|lie|could|may|might|is|are) (?:\w+ ){0,3}(?:mean|require|against|outside|beyond|violate|breach|not (?:allowed|permitted)|unsafe|harmful|private|confidential|blocked)\b",
+    r"(?:please|kindly) (?:contact|ask|consult|reach|let me know|feel free|rephrase|try|provide|share|send)\b",
+    r"(?:is there|let me know|feel free|if (?:there is|there's|you (?:have|need|want|would|can)))\b",
+    r"i(?:'d| would| will|'ll|'m| am)? ?(?:can |could |be )?(?:happy|glad|offer|instead)\b",
+    r"(?:es tut mir leid|tut mir leid|leider|entschuldig\w+|verzeih\w+|danke|bitte wenden|gern\w* (?:helfe|kann) ich)\b",
+    r"(?:désolé\w*|je suis désolé\w*|malheureusement|merci|veuillez)\b",
+    r"(?:lo siento|lamentablemente|por desgracia|gracias|por favor|sinto muito|desculpe|infelizmente|obrigad\w|lamento)\b",
+    r"(?:извините|простите|к сожалению|спасибо|пожалуйста)\b",
+    r"(?:抱歉|对不起|很遗憾|谢谢|请联系)",
+]
+COURTESY = re.compile(r"[\s\W]*(?:%s)" % "|".join(COURTESIES))
+SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|[;；—]|,?\s\b(?:but|however|although|though|aber|jedoch|mais|pero|mas|porém|но|однако)\b|[,，]?(?:但是|但|不过)")
+ITEM = re.compile(r"\s*(?:\||[-*] )")
 SPAN = re.compile(r"```.*?(?:```|\Z)|`[^`]*`|https?://\S+", re.S)
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 #: Letters and marks of one of the languages only.
@@ -144,12 +162,38 @@ def copied(prompt: str, content: str) -> bool:
 
 
 def declines(content: str) -> bool:
-    """Whether the response declines and does nothing else."""
+    """Whether the response declines and does nothing else.
+
+    In a long one, or one with code spans or lists, nothing may be left beside refusals and courtesies;
+    the items of a list belong to the line that introduces it.
+    """
     lines = [x for x in content.split("\n") if x.strip() and not terminal.HEADING.match(x)]
     plain = " ".join(lines)
-    if len(plain) > REFUSAL_LENGTH or "`" in plain or any(x.lstrip().startswith(("|", "- ", "* ")) for x in lines):
+    if not REFUSAL.search((SPAN.sub("x", plain) if "`" in plain else plain).lower().replace("’", "'")):
+        return False
+    items = [bool(ITEM.match(x)) for x in lines]
+    if len(plain) <= REFUSAL_LENGTH and "`" not in plain and not any(items):
+        return True
+    if "```" in content:
         return False
-    return bool(REFUSAL.search(plain.lower().replace("’", "'")))
+    # Lines of a sentence that is wrapped are put together.
+    parts: list[tuple[bool, str]] = []
+    for x, item in zip(lines, items):
+        if parts and not item and not parts[-1][0] and not parts[-1][1].rstrip().endswith((".", "!", "?", ":", "。", "！", "？", "：")):
+            parts[-1] = False, f"{parts[-1][1]} {x}"
+        else:
+            parts.append((item, x))
+    introduced = declined = False
+    for item, x in parts:
+        if item and introduced:
+            continue
+        said = [c for c in SENTENCE.split(SPAN.sub("x", x).lower().replace("’", "'")) if WORD.search(c)]
+        refused = [bool(REFUSAL.search(c)) for c in said]
+        if any(not r and not COURTESY.match(c) for c, r in zip(said, refused)):
+            return False
+        declined |= any(refused)
+        introduced = bool(refused) and refused[-1] and x.rstrip().endswith((":", "："))
+    return declined
 
 
 def judge(prompt: str | None, content: str | None) -> tuple[str, str]:
