@@ -10,8 +10,10 @@ from siltstone.llm.gll import Grammar, Recogniser
 NL = "\n"
 ID, NUM, STR = "i", "n", "s"
 BAD = "\x02"
-#: A line end of Python before a line indented by so many columns.
-INDENT, INDENT0 = "\u3400-\u4dbf", 0x3400
+#: A line end of Python before a line indented by so many columns, up to MOST_INDENT.
+INDENT, INDENT0, MOST_INDENT = "\U00020000-\U000effff", 0x20000, 0xCFFFF
+#: Stands for a JSX element in a text; its expressions follow in parentheses (see syntax.plain).
+JSX = "\x03"
 
 
 @dataclass
@@ -41,8 +43,65 @@ class Language:
         if self.newlines in ("asi", "py"):
             self.r.left_out, self.r.left_out_all = (NL, False) if self.newlines == "asi" else (f"[{INDENT}]+", True)
         self.lex = re.compile(self.lexer).findall
-        self.kinds: dict[str, str] = dict(self.tokens)
-        self.kinds.pop("NL")
+        self.kinds = Kinds(self)
+
+
+class Kinds(dict):
+    """The character of each token; what isn't known is judged by Language.kind, and kept if tokens like it come back."""
+
+    def __init__(self, language: Language) -> None:
+        super().__init__({t: c for t, c in language.tokens.items() if t not in ("NL", "`", "JSX")})
+        if "JSX" in language.tokens:
+            self[JSX] = language.tokens["JSX"]
+        self.language = language
+
+    def __missing__(self, t: str) -> str:
+        c, keep = kind(self.language, t)
+        if keep:
+            if len(self) > KEPT_TOKENS:
+                self.clear()
+                self.__init__(self.language)
+            self[t] = c
+        return c
+
+
+KEPT_TOKENS = 100_000
+SUFFIX = {"javascript": "n", "typescript": "n", "java": "lLfFdD", "go": "ip", "rust": "", "c": "uUlLfFjJ", "json": "", "python": "jJ"}
+_number_end = {k: re.compile(rf"(?:0[xX][0-9a-fA-F_.]*(?:[pP][+-]?\d+)?|0[bB][01_]+|0[oO][0-7_]+|[\d_.]+(?:[eE][+-]?\d[\d_]*)?)[{v}]*\Z" if v else r"[\s\S]*") for k, v in SUFFIX.items()}
+
+
+def columns(blanks: str) -> int:
+    """The column behind the blanks at the start of a line, with tab stops of eight."""
+    w = 0
+    for x in blanks:
+        w = w // 8 * 8 + 8 if x == "\t" else 0 if x == "\f" else w + 1
+    return w
+
+
+def kind(lang: Language, t: str) -> tuple[str, bool]:
+    """(the character of a token that isn't known yet, whether it is worth keeping)."""
+    c = t[0]
+    if c == "\n":
+        return (chr(INDENT0 + columns(t[1:])) if lang.newlines == "py" else "\n" if lang.newlines else ""), True
+    if c.isspace() or c == "\ufeff":
+        return "", len(t) < 100
+    if c == "\\" and len(t) > 1 and lang.name in ("python", "c"):
+        return "", True
+    if lang.name == "python" and c == "#" or lang.name == "c" and t.lstrip()[:1] == "#" or t[:2] == "#!" and len(t) > 2 and lang.name in ("javascript", "typescript"):
+        return "", False
+    if lang.name not in ("python", "json") and t[:2] in ("//", "/*") and len(t) > 1:
+        return BAD if t == "/*" else "\n" if lang.newlines and "\n" in t else "", False
+    if c == "`" and len(t) > 1 and "`" in lang.tokens:
+        return lang.tokens["`"], False
+    if t[-1] in "\"'`" and len(t) > 1 or c == "/" and len(t) > 1 or lang.name == "rust" and t[-1] == "#" and len(t) > 2:
+        return STR, False
+    if lang.name == "rust" and c == "'" and len(t) > 1:
+        return lang.tokens["'"], True
+    if c.isdigit() or c in ".-" and len(t) > 1 and t[1].isdigit():
+        return (NUM if _number_end[lang.name].match(t) else BAD), True
+    if c.isalpha() or c in "_$":
+        return (ID if lang.name != "json" else BAD), True
+    return BAD, False
 
 
 WORD = r"[^\W\d][\w$]*"
@@ -64,12 +123,12 @@ def ops(text: str) -> str:
 
 # ---------------------------------------------------------------- JavaScript and TypeScript
 
-JS_OPS = "; , . ?. ... ? : => = == === != !== < > <= >= + - * / % ** ++ -- & | ^ ~ ! && || ?? << += -= *= /= %= **= &= |= ^= <<= >>= >>>= &&= ||= ??= # @"
+JS_OPS = "` JSX ; , . ?. ... ? : => = == === != !== < > <= >= + - * / % ** ++ -- & | ^ ~ ! && || ?? << += -= *= /= %= **= &= |= ^= <<= >>= >>>= &&= ||= ??= # @"
 JS_KEYS = "var let const function async await return if else for while do break continue switch case default throw try catch finally new delete typeof void in instanceof this super null true false class extends static get set of import export from as yield debugger with"
 TS_KEYS = " type interface enum declare abstract namespace module readonly public private protected implements keyof is infer unique asserts satisfies override any string number boolean unknown never object symbol bigint undefined accessor global require"
 JS_SOFT = "async of get set static from as let"
 JS_RE = r"(?:(?<![\w)\]}\"'`$])(?<![\w)\]}\"'`$] )|(?<=return )|(?<=typeof ))/(?![/*=])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
-JS_LEX = rf"[ \t\r\f ﻿]+|\n|\A#![^\n]*|{C_COMMENT}|`(?:[^`\\]|\\[\s\S])*`|{DQ}|{SQ}|{JS_RE}|{NUMBER}n?|(?:[^\W\d]|\$)[\w$]*|{ops(JS_OPS)}|[\s\S]"
+JS_LEX = rf"[ \t\r\f ﻿]+|\n|\A#![^\n]*|{C_COMMENT}|`(?:[^`\\]|\\[\s\S])*`|{DQ}|{SQ}|{JS_RE}|{NUMBER}n?|(?:[^\W\d]|\$)[\w$]*|{ops(JS_OPS.replace("` JSX ", ""))}|[\s\S]"
 
 JS_STATEMENTS = """
 Program = Stmts ;
@@ -91,7 +150,12 @@ Import = 'import' STR With? | 'import' Clause 'from' STR With? ;
 Clause = ID (',' (c.Names | '*' 'as' ID))? | c.Names | '*' 'as' ID ;
 Names = ((NameAs ',')* NameAs ','?)? ;
 Expr = A (',' A)* ;
-Prim = ID | NUM | STR | 'this' | 'super' | 'null' | 'true' | 'false' | p.Expr | b.Elems | c.Obj | Func | Class | 'import' p.Args | 'import' '.' ID | 'new' '.' ID | '#' ANY ;
+Prim = Prim0 | Class ;
+Prim0 = ID | NUM | STR | Template | 'JSX' p.Jsx | 'this' | 'super' | 'null' | 'true' | 'false' | p.Expr | b.Elems | c.Obj | Func | 'import' p.Args | 'import' '.' ID | 'new' '.' ID | '#' ANY ;
+Template = '`' (c.Expr '`')* ;
+Jsx = c.JsxItem* ;
+JsxItem = ('...'? Expr)? ;
+Heritage = ('new'* Prim0 | 'class' ID? c.ClassBody) Suffix* ;
 Elems = ','* ((Elem ','+)* Elem ','*)? ;
 Elem = '...'? A ;
 Args = ((Elem ',')* Elem ','?)? ;
@@ -110,11 +174,11 @@ BIN = BINOP | '>' '>'? '>'? '='? | 'in' | 'instanceof' ;
 Arrow = 'async'? (ID | p.Params) '=>' (c.Stmts | A) ;
 U = PRE* Post ;
 Post = Prim Suffix* ('++' | '--')? ;
-Suffix = '.' '#'? ANY | '?.' (ANY | p.Args | b.Expr) | b.Expr | p.Args | STR ;
+Suffix = '.' '#'? ANY | '?.' (ANY | p.Args | b.Expr) | b.Expr | p.Args | Template ;
 Params = ((Param ',')* Param ','?)? ;
 Param = '...'? Target ('=' A)? ;
 Func = 'async'? 'function' '*'? ID? p.Params c.Stmts ;
-Class = 'class' ID? ('extends' Post)? c.ClassBody ;
+Class = 'class' ID? ('extends' Heritage)? c.ClassBody ;
 Decl = Func | Class ;
 ClassBody = Member* Field? ;
 Member = T | Field T+ | ('static' | 'async' | 'get' | 'set' | '*')* Key p.Params c.Stmts | 'static' c.Stmts ;
@@ -136,15 +200,15 @@ A = U | U BIN A | U '=' A | U '?' A ':' A | Arrow | 'yield' '*'? A? | U ('as' |
 Rest = BIN A | '?' A ':' A | ('as' | 'satisfies') Type Rest? ;
 BIN = BINOP | '>' '>'? '>'? '='? | 'in' | 'instanceof' ;
 Arrow = 'async'? (ID | TParams? p.Params (':' Type)?) '=>' (c.Stmts | A) ;
-U = PRE* Post | '<' Type '>' U ;
+U = (PRE | '<' Type '>')* Post ;
 Post = Prim Suffix* ('++' | '--')? ;
-Suffix = '.' '#'? ANY | '?.' (ANY | p.Args | b.Expr) | b.Expr | TArgs? p.Args | STR | '!' ;
+Suffix = '.' '#'? ANY | '?.' (ANY | p.Args | b.Expr) | b.Expr | TArgs? (p.Args | Template) | '!' ;
 Params = ((Param ',')* Param ','?)? ;
 Param = Deco* Mod* '...'? (Target | 'this') '?'? (':' Type)? ('=' A)? ;
 Mod = 'public' | 'private' | 'protected' | 'readonly' | 'override' | 'static' | 'abstract' | 'declare' | 'async' | 'get' | 'set' | 'accessor' ;
-Deco = '@' Post NL* ;
+Deco = '@' (ID | p.Expr) Suffix* NL* ;
 Func = 'async'? 'function' '*'? ID? TParams? p.Params (':' Type)? c.Stmts ;
-Class = Deco* 'abstract'? 'class' ID? TParams? ('extends' Post TArgs?)? ('implements' Types1)? c.ClassBody ;
+Class = Deco* 'abstract'? 'class' ID? TParams? ('extends' Heritage TArgs?)? ('implements' Types1)? c.ClassBody ;
 Types1 = Type (',' Type)* ;
 Decl = Func | 'declare'? Class | 'declare'? 'interface' ID TParams? ('extends' Types1)? c.TypeLit | 'declare'? 'const'? 'enum' ID c.Enum
   | 'declare'? ('namespace' | 'module') (ID ('.' ID)* | STR) c.Stmts | 'declare' 'global' c.Stmts ;
@@ -162,7 +226,8 @@ Type = ('|' | '&')? TP (('|' | '&') TP)* ('extends' Type '?' Type ':' Type)? | '
 TP = ('keyof' | 'typeof' | 'readonly' | 'unique' | 'infer') TP | TB TSuffix* ;
 TSuffix = b.TIndex | '!' ;
 TIndex = Type? ;
-TB = ID ('.' ANY)* TArgs? | 'void' | 'null' | 'this' | STR | '-'? NUM | 'true' | 'false' | c.TypeLit | b.Types | p.Type | 'import' p.Args ('.' ANY)* TArgs? ;
+TB = ID ('.' ANY)* TArgs? | 'void' | 'null' | 'this' | STR | '-'? NUM | 'true' | 'false' | c.TypeLit | b.Types | p.Type | Template1 | 'import' p.Args ('.' ANY)* TArgs? ;
+Template1 = '`' (c.Type '`')* ;
 Types = ((TElem ',')* TElem ','?)? ;
 TElem = '...'? (ID '?'? ':')? Type '?'? ;
 TypeLit = NL* ((TMember (';' | ',' | NL)+)* TMember?)? ;
@@ -230,7 +295,7 @@ Rest = BIN Expr | '?' Expr ':' Expr ;
 BIN = BINOP | '>' '>'? '>'? '='? ;
 Lambda = (ID | p.LParams) '->' (Expr | c.Stmts) ;
 LParams = ((ID ',')* ID)? | Params | (('var' ID ',')* 'var' ID)? ;
-U = PRE* Post | p.Cast U | p.Cast Lambda ;
+U = (PRE | p.Cast)* (Post | p.Cast Lambda) ;
 Cast = Type ('&' Type)* ;
 Post = Prim Suffix* ('++' | '--')? ;
 Prim = ID | NUM | STR | 'this' | 'super' | 'null' | 'true' | 'false' | p.Expr | 'new' Anno* New | Type '.' 'class' | 'void' '.' 'class' | Type '::' (ID | 'new') | 'switch' p.Expr c.Switch ;
@@ -427,7 +492,7 @@ Asm = Tokens ;
 ForHead = (Specs Decl1 (',' Decl1)* | Expr)? ';' Expr? ';' Expr? ;
 Expr = A (',' A)* ;
 A = U | U BIN A | U '?' Expr? ':' A ;
-U = PRE* Post | p.TypeRef U | 'sizeof' p.TypeRef | '_Alignof' p.TypeRef | p.TypeRef c.Inits Suffix* ;
+U = (PRE | p.TypeRef)* (Post | ('sizeof' | '_Alignof') p.TypeRef | p.TypeRef c.Inits Suffix*) ;
 TypeRef = Specs Abs? ;
 Post = Prim Suffix* ;
 Prim = ID | NUM | STR+ | p.Expr | p.Block1 ;
@@ -510,7 +575,7 @@ Exprs = (StarExpr ',')* StarExpr ','? ;
 Named = Expr | ID ':=' Expr ;
 Expr = Or ('if' Or 'else' Expr)? | 'lambda' LParams ':' Expr ;
 Or = Not (BOOL Not)* ;
-Not = 'not' Not | Cmp ;
+Not = 'not'* Cmp ;
 Cmp = U (BIN U)* ;
 BIN = BINOP | 'not' 'in' | 'is' 'not'? | 'in' ;
 U = PRE* Post ;

@@ -4,9 +4,7 @@ A file is lexed by one pattern, its bracketed groups and lists are recognised by
 it is flagged if every dialect of its extension rejects it. Python blocks, made by
 indentation, are sequences of kinds of lines, recognised by a grammar of their own.
 
-Files that the grammar of Python rejects are read again by Python's own parser, which has the
-last word; the other grammars are somewhat wider than their languages, never knowingly
-narrower.
+The grammars are somewhat wider than their languages, never knowingly narrower.
 
 Defined results: null content is no case, empty content (or blanks and comments only) is
 valid except for json; a byte order mark isn't an error; bytes that are no UTF-8 are read as
@@ -23,20 +21,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm import grammars
+from siltstone.llm import grammars, nested
 from siltstone.llm.common import map_batches
 from siltstone.llm.gll import Grammar
-from siltstone.llm.grammars import BAD, ID, INDENT0, NUM, STR
+from siltstone.llm.grammars import BAD, ID, INDENT0, JSX, KEPT_TOKENS, MOST_INDENT, NUM, STR, columns
 
-#: The dialects that are tried for each extension.
+#: The dialects of each extension, as grammar and form of text. The grammar of JavaScript is that of scripts and modules
+#: at once; "jsx" is a text whose elements are taken apart, "fields" one with f-strings whose fields hold any quotes (nested.py).
+_PY = ("python", ""), ("python", "fields")
+_JS, _TS = (("javascript", ""), ("javascript", "jsx")), (("typescript", ""),)
 DIALECTS = {
-    ".py": ("python",), ".pyi": ("python",), ".js": ("javascript",), ".mjs": ("javascript",), ".cjs": ("javascript",), ".jsx": ("javascript",),
-    ".ts": ("typescript",), ".mts": ("typescript",), ".cts": ("typescript",), ".java": ("java",), ".go": ("go",), ".rs": ("rust",), ".c": ("c",), ".h": ("c",), ".json": ("json",),
+    ".py": _PY, ".pyi": _PY, ".js": _JS, ".mjs": _JS, ".cjs": _JS, ".jsx": _JS,
+    ".ts": _TS, ".mts": _TS, ".cts": _TS, ".tsx": (*_TS, ("typescript", "jsx")), ".java": (("java", ""),), ".go": (("go", ""),), ".rs": (("rust", ""),),
+    ".c": (("c", ""),), ".h": (("c", ""),), ".json": (("json", ""),),
 }
-LANGUAGE = {e: d[0] for e, d in DIALECTS.items()}
-KEPT_TOKENS = 100_000
-SUFFIX = {"javascript": "n", "typescript": "n", "java": "lLfFdD", "go": "ip", "rust": "", "c": "uUlLfFjJ", "json": "", "python": "jJ"}
-_number_end = {k: re.compile(rf"(?:0[xX][0-9a-fA-F_.]*(?:[pP][+-]?\d+)?|0[bB][01_]+|0[oO][0-7_]+|[\d_.]+(?:[eE][+-]?\d[\d_]*)?)[{v}]*\Z" if v else r"[\s\S]*") for k, v in SUFFIX.items()}
+LANGUAGE = {e: d[0][0] for e, d in DIALECTS.items()}
+
+
+_INDENT = re.compile(r"(?<=\n)[ \t\f]+")
 
 
 @functools.lru_cache(1)
@@ -44,46 +46,8 @@ def languages() -> dict[str, grammars.Language]:
     return grammars.languages()
 
 
-def kind(lang: grammars.Language, t: str) -> str:
-    """The character of a token that isn't known yet."""
-    c = t[0]
-    if c == "\n":
-        if lang.newlines == "py":
-            w = 0
-            for x in t[1:]:
-                w = w // 8 * 8 + 8 if x == "\t" else 0 if x == "\f" else w + 1
-            k = chr(INDENT0 + min(w, 6000))
-        else:
-            k = "\n" if lang.newlines else ""
-    elif c.isspace() or c == "\ufeff" or c == "\\" and len(t) > 1 and lang.name in ("python", "c"):
-        return ""
-    elif lang.name == "python" and c == "#" or lang.name == "c" and t.lstrip()[:1] == "#" or t[:2] == "#!" and len(t) > 2 and lang.name in ("javascript", "typescript"):
-        return ""
-    elif lang.name not in ("python", "json") and t[:2] in ("//", "/*") and len(t) > 1:
-        return BAD if t == "/*" else "\n" if lang.newlines and "\n" in t else ""
-    elif t[-1] in "\"'`" and len(t) > 1 or c == "/" and len(t) > 1 or lang.name == "rust" and t[-1] == "#" and len(t) > 2:
-        return STR
-    elif lang.name == "rust" and c == "'" and len(t) > 1:
-        k = lang.tokens["'"]
-    elif c.isdigit() or c in ".-" and len(t) > 1 and t[1].isdigit():
-        k = NUM if _number_end[lang.name].match(t) else BAD
-    elif c.isalpha() or c in "_$":
-        k = ID if lang.name != "json" else BAD
-    else:
-        return BAD
-    if len(lang.kinds) > KEPT_TOKENS:
-        lang.kinds = {k: v for k, v in lang.tokens.items() if k != "NL"}
-    lang.kinds[t] = k
-    return k
-
-
 def kinds(lang: grammars.Language, text: str) -> str:
-    get = lang.kinds.get
-    out = []
-    for t in lang.lex(text):
-        k = get(t)
-        out.append(kind(lang, t) if k is None else k)
-    return "".join(out)
+    return "".join(map(lang.kinds.__getitem__, lang.lex(text)))
 
 
 @functools.lru_cache(8)
@@ -100,8 +64,38 @@ def _lines(name: str) -> tuple[re.Pattern, re.Pattern | None]:
     return re.compile(f"\n(?=\n)|(?<=[{after}])\n+|\n+(?=[{before}])|(?<=\\))\n(?=\\{{)|\\A\n+|\n+\\Z"), None
 
 
-def parses(lang: grammars.Language, text: str) -> bool:
-    s = kinds(lang, "\n" + text if lang.newlines == "py" else text)
+def forms(lang: grammars.Language, text: str, wanted: tuple[str, ...]) -> list[str]:
+    """text in each form of a dialect that it can have, fit for the lexer; the same form once."""
+    if lang.newlines == "py":
+        out = [text] if "" in wanted else []
+        if "fields" in wanted and nested.has_fields(text) and (more := nested.without_fields(text)) is not None:
+            out.append(more)
+        return [_indents("\n" + x) for x in out]
+    if lang.newlines != "asi":
+        return [text]
+    if JSX in text:
+        return []
+    out = [text if not nested.has_templates(text) else nested.plain(text, False)] if "" in wanted else []
+    if "jsx" in wanted and nested.has_elements(text):
+        out.append(nested.plain(text, True))
+    return [x for x in out if x is not None]
+
+
+def _indents(text: str) -> str:
+    """text with the indents of its lines ranked if one is too wide for a character of its own."""
+    if len(text) <= MOST_INDENT // 8 or max((columns(x) for x in _INDENT.findall(text)), default=0) <= MOST_INDENT:
+        return text
+    rank = {w: i for i, w in enumerate(sorted({0, *map(columns, _INDENT.findall(text))}))}
+    return _INDENT.sub(lambda m: " " * rank[columns(m[0])], text)
+
+
+def parses(lang: grammars.Language, text: str, wanted: tuple[str, ...] = ("",)) -> bool:
+    """Whether the text derives from the grammar in one of the forms."""
+    return any(_derives(lang, x) for x in forms(lang, text, wanted))
+
+
+def _derives(lang: grammars.Language, text: str) -> bool:
+    s = kinds(lang, text)
     if BAD in s:
         return False
     if lang.newlines == "py":
@@ -212,28 +206,15 @@ def decode(content: bytes) -> str:
 
 
 def valid(content: bytes | None, extension: str | None) -> bool | None:
-    """Whether any dialect of the extension accepts the content; None if that isn't to be judged."""
+    """Whether any dialect of the extension accepts the content; None if that isn't to be judged.
+
+    Dialects of one grammar are forms of its text; what they have in common is recognised once.
+    """
     dialects = DIALECTS.get((extension or "").lower())
     if content is None or dialects is None:
         return None
     text = decode(content)
-    ok = any(parses(languages()[d], text) for d in dialects)
-    if not ok and "python" in dialects:
-        ok = _own_parser(text)
-    return ok
-
-
-def _own_parser(text: str) -> bool:
-    import ast
-    import warnings
-
-    try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return False
-    return True
+    return any(parses(languages()[name], text, tuple(form for other, form in dialects if other == name)) for name in dict.fromkeys(n for n, _ in dialects))
 
 
 def judged(files: DataFrame, key: str = "file_id", at: str = "scanned_at") -> DataFrame:

@@ -85,6 +85,50 @@ def test_long_lists_are_fast():
     assert S.valid(b"(" * 300 + b"1" + b")" * 300, ".js")
 
 
+NESTED = [
+    ("const a = `x ${ f(`y ${ z } w`) } v`;\n", ".js", True),
+    ("const a = `x ${ f(`y ${ z  w`) } v`;\n", ".js", False),
+    ("const a = `x ${ a b } v`;\n", ".js", False),
+    ("const s = html`<p>${x}</p>`; type T = `a${B}`;\n", ".ts", True),
+    ("const A = () => <div className=\"a\" x={y > 1}>it's {name} and <b/>{list.map(x => <li key={x}>{x}</li>)}</div>;\n", ".jsx", True),
+    ("function f() {\n  return (\n    <>\n      <p>don't</p>\n      {ok && <B {...p} />}\n    </>\n  );\n}\n", ".js", True),
+    ("function f() {\n  return (\n    <p>don't</b>\n  );\n}\n", ".jsx", False),
+    ("const A = <p>{a b}</p>;\n", ".jsx", False),
+    ("const x = <T,>(a: T): T => a;\nconst B = (p: P) => <div onClick={() => p.f<string>(1)}>{p.x as string}</div>;\n", ".tsx", True),
+    ("const x = <string>y;\n", ".tsx", True),
+    ("const x = <string>y;\n", ".ts", True),
+    ("const B = () => <div>a</div>;\n", ".ts", False),
+    ("if (a < b) { c(d > e); }\nfor (let i = 0; i < n; i++) {}\n", ".js", True),
+    ("int f(int x) { return -(int)x + !(a)b; }\n", ".c", True),
+    ("class A { boolean f() { return !(boolean) x; } }\n", ".java", True),
+    ("class A extends B.c(d) { }\nclass C extends class {} {}\n", ".js", True),
+    ("@a.b(c) class A { @Input() name: string; @a.b(c) f() {} }\n", ".ts", True),
+    ('f = f"{x["a"]}" + rf"""{y}"""\n', ".py", True),
+    ('f = f"{a!r:>{w}}" f"{{"\n', ".py", True),
+    ('f = f"{x["a"]\n', ".py", False),
+    ("\x03 = 1\n", ".js", False),
+]
+
+
+@pytest.mark.parametrize(("text", "e", "want"), NESTED)
+def test_dialects_and_tokens_that_nest(text, e, want):
+    assert S.valid(text.encode(), e) is want
+
+
+def test_indents_of_any_width():
+    for w in (7000, 900_000):
+        assert S.valid(f"if x:\n{' ' * w}y = 1\n{' ' * w}z = 2\n".encode(), ".py")
+        assert not S.valid(f"if x:\n{' ' * w}y = 1\n{' ' * w} z = 2\n".encode(), ".py")
+
+
+def test_rules_together_are_as_rules_alone():
+    lang = S.languages()["typescript"]
+    names = sorted(lang.r.g.wants["p"] | lang.r.g.wants["c"])
+    for text in ("a: b = c", "a, b, ...c", "a = b; c()", "get x() {}", "a as b", "type a = b"):
+        s = S.kinds(lang, text)
+        assert lang.r.g.which(names, s) == {n for n in names if lang.r.g.accepts(n, s)}
+
+
 SCHEMA = "file_id long, project string, path string, content binary, language string, extension string, scanned_at timestamp, valid string"
 
 
