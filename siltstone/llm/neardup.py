@@ -8,18 +8,21 @@ number, is a bucket, and classes that share a bucket are compared by sketches of
 minimum hash, which tell 0.8 from the 0.3 of unrelated records. What remains is verified on
 the full multisets.
 
-Numbers. Up to a million records there are 16 bands of 6 rows. With them of 6 rows a pair of similarity 0.8 shares a bucket with probability
-0.992, one of 0.85 with 0.9995, one of 0.9 with 1 - 4e-6; a pair of similarity 0.25 with
-0.004. bands_for() gives the numbers for other thresholds and sizes. The sketches drop a pair
-of similarity 0.8 with a probability of about 1e-4. banding() takes more rows, and bands for the same recall,
-for more records, so the number of unrelated pairs compared stays in proportion to them.
+Numbers. Up to a million records there are 18 bands of 6 rows. With them a pair of similarity
+0.75 shares a bucket with probability 0.971, one of 0.8 with 0.9958, one of 0.85 with 0.9998,
+one of 0.9 with 1 - 1e-6; a pair of similarity 0.25 with 0.004. bands_for() gives the numbers
+for other thresholds and sizes. The sketches drop a pair of similarity 0.75 with a probability
+of about 1e-3, one of 0.8 of 4e-5; sketched=False verifies every pair that shares a bucket.
+banding() takes more rows, and bands for the same recall, for more records, so the number of
+unrelated pairs compared stays in proportion to them.
 
 Skew. Equal records collapse in the partial aggregate of each task, so copies of one text
 don't make a hot bucket. Different texts that share a bucket are joined by sort-merge, which
 adaptive execution splits; only pairs that pass the sketches are given on.
 
 Defined results: null heading or content is empty; records without any word are in no pair;
-a record delivered several times counts as delivered last; a null key is no record.
+a record delivered several times counts as delivered last, and its earlier texts are in no
+pair of its key; a null key is no record.
 """
 
 from __future__ import annotations
@@ -40,9 +43,9 @@ from siltstone.session import written
 
 WORD = re.compile(r"[^\W_]+")
 #: The similarity and the probability for which bands are chosen, and what is taken for that of unrelated records.
-TARGET, RECALL, UNRELATED = 0.8, 0.99, 0.22
+TARGET, RECALL, UNRELATED = 0.8, 0.995, 0.22
 #: Bits of 64 in which the first sketches of a pair may differ, and of 128 of both sketches.
-FIRST_BITS, BOTH_BITS = 15, 28
+FIRST_BITS, BOTH_BITS = 17, 32
 #: Up to so many rows the keys of candidates are broadcast (24 bytes each); beyond, both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 KEPT_WORDS = 500_000
@@ -77,7 +80,7 @@ def banding(n: int) -> Banding:
     """For n records: as many rows as keep the unrelated partners of a record at about a thousand, but 6 at
     least, and bands for RECALL at TARGET. More records make buckets finer, never smaller."""
     rows = max(6, math.ceil(math.log(max(1, 16 * n / 2000)) / -math.log(UNRELATED)))
-    return Banding(rows, max(16, bands_for(TARGET, RECALL, rows)))
+    return Banding(rows, bands_for(TARGET, RECALL, rows))
 
 
 def bands_for(threshold: float, recall: float, rows: int) -> int:
@@ -105,7 +108,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Signer:
     """Class id, sketches and buckets of a batch of texts. A text without words has the class id 0."""
 
-    def __init__(self, b: Banding = Banding(6, 16)) -> None:
+    def __init__(self, b: Banding = Banding(6, 18)) -> None:
         self.b = b
         self.multiply, self.add, self.fold = b.constants()
         self.sketches = b.sketches()
@@ -140,11 +143,9 @@ class Signer:
         flat = flat[order]
         new = np.ones(len(flat), bool)
         new[1:] = (flat[1:] != flat[:-1]) | (doc[1:] != doc[:-1])
-        at = np.arange(len(flat))
-        occurrence = at - np.maximum.accumulate(np.where(new, at, 0))
-        element = _mix(flat + occurrence.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        element = _elements(flat, new)
         starts = (np.cumsum(sizes) - sizes)[some]
-        cid[some] = _mix(np.add.reduceat(_mix(element ^ np.uint64(0x5851F42D4C957F2D)), starts)) | np.uint64(1)
+        cid[some] = _class_id(element, starts)
         small = element.astype(np.uint32)
         least = np.empty((self.b.hashes, len(some)), np.uint32)
         for k in range(self.b.hashes):
@@ -159,6 +160,26 @@ class Signer:
             buckets[some, b] = (_mix(folded) >> np.uint64(24)) * np.uint64(bands) + np.uint64(b)
         return cid, one, two, buckets
 
+    def class_ids(self, texts: list[str]) -> np.ndarray:
+        """The class ids alone."""
+        out = np.zeros(len(texts), np.uint64)
+        for i, t in enumerate(texts):
+            flat = np.sort(np.array(self.hashes(words(t)), np.uint64))
+            if len(flat):
+                out[i] = _class_id(_elements(flat, np.r_[True, flat[1:] != flat[:-1]]), [0])[0]
+        return out
+
+
+def _elements(flat: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """The elements of sorted word hashes; new says where a word, or a text, begins."""
+    at = np.arange(len(flat))
+    occurrence = at - np.maximum.accumulate(np.where(new, at, 0))
+    return _mix(flat + occurrence.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _class_id(element: np.ndarray, starts: np.ndarray | list[int]) -> np.ndarray:
+    return _mix(np.add.reduceat(_mix(element ^ np.uint64(0x5851F42D4C957F2D)), starts)) | np.uint64(1)
+
 
 def signed(df: DataFrame, key: str, texts: list[str], at: str, shape: Banding) -> DataFrame:
     """(key, at, cid, one, two, buckets) of each row that has a word."""
@@ -181,7 +202,7 @@ def signed(df: DataFrame, key: str, texts: list[str], at: str, shape: Banding) -
     return map_batches(src, make, f"{key} {kind[key].dataType.simpleString()}, {at} {kind[at].dataType.simpleString()}, cid long, one long, two long, buckets array<long>")
 
 
-def candidates(classes: DataFrame) -> DataFrame:
+def candidates(classes: DataFrame, sketched: bool = True) -> DataFrame:
     """(a, b): class ids, the smaller first, that share a bucket and whose sketches allow the similarity.
 
     classes (cid, one, buckets) has each class once, so copies of a text are in no bucket twice.
@@ -190,30 +211,43 @@ def candidates(classes: DataFrame) -> DataFrame:
     x = places.select("bucket", F.col("cid").alias("a"), F.col("one").alias("x"))
     y = places.select("bucket", F.col("cid").alias("b"), F.col("one").alias("y"))
     near = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= FIRST_BITS
-    return x.join(y, "bucket").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    return x.join(y, "bucket").where((F.col("a") < F.col("b")) & (near if sketched else F.lit(True))).select("a", "b").distinct()
 
 
-def near_classes(df: DataFrame, key: str, texts: list[str], at: str, threshold: float = 0.75, shape: Banding | None = None) -> tuple[DataFrame, DataFrame]:
+def near_classes(df: DataFrame, key: str, texts: list[str], at: str, threshold: float = 0.75, shape: Banding | None = None, sketched: bool = True) -> tuple[DataFrame, DataFrame]:
     """((key, cid), (a, b, similarity)): the class of each record, and the pairs of classes.
 
-    Both are written tables of the shared folder, read as often as one likes.
+    Signatures and candidates are written tables of the shared folder, read as often as one likes.
     """
     signs = written(signed(df, key, texts, at, shape or banding(df.count())), "signed")
     member = signs.groupBy(key).agg(F.max_by("cid", F.struct(F.col(at), F.col("cid"))).alias("cid"))
     # Rows of a class have equal sketches and buckets: any row of it will do, the one of the least key here.
     classes = signs.groupBy("cid").agg(F.min(F.struct(F.col(key).alias("key"), "one", "two", "buckets")).alias("_c")).select("cid", "_c.*")
-    pairs = candidates(classes)
+    pairs = candidates(classes, sketched)
     both = classes.select("cid", "one", "two", "key")
     for side in ("a", "b"):
         pairs = pairs.join(both.select(F.col("cid").alias(side), F.struct("one", "two", "key").alias(f"s{side}")), side)
     bits = F.bit_count(F.col("sa.one").bitwiseXOR(F.col("sb.one"))) + F.bit_count(F.col("sa.two").bitwiseXOR(F.col("sb.two")))
-    pairs = written(pairs.where(bits <= BOTH_BITS).select("a", "b", F.col("sa.key").alias("ka"), F.col("sb.key").alias("kb")), "candidates")
+    if sketched:
+        pairs = pairs.where(bits <= BOTH_BITS)
+    pairs = written(pairs.select("a", "b", F.col("sa.key").alias("ka"), F.col("sb.key").alias("kb")), "candidates")
     # The text of each class in a pair: only the rows of the keys that stand for a class are read on.
     wanted = pairs.select(F.col("a").alias("cid"), F.col("ka").alias(key)).union(pairs.select("b", "kb")).distinct()
     if pairs.count() * 2 <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    whole = df.select(key, F.concat_ws("\n", *texts).alias("text")).join(wanted, key)
-    whole = whole.groupBy("cid", "text").agg(F.lit(1).alias("_")).select("cid", "text")
+    whole = df.select(key, F.concat_ws("\n", *texts).alias("text")).join(wanted, key).select("cid", "text")
+
+    def own():  # noqa: ANN202
+        sign = Signer(Banding(1, 1))
+
+        def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+            same = sign.class_ids(b.column(1).to_pylist()).view(np.int64) == b.column(0).to_numpy()
+            return b.filter(pa.array(same))
+
+        return batch
+
+    # A key may have been delivered with other texts, which are of other classes. Texts of one class are equal for words.
+    whole = map_batches(whole, own, "cid long, text string").groupBy("cid").agg(F.min("text").alias("text"))
     checked = pairs.select("a", "b").join(whole.select(F.col("cid").alias("a"), F.col("text").alias("ta")), "a").join(whole.select(F.col("cid").alias("b"), F.col("text").alias("tb")), "b")
 
     def make():  # noqa: ANN202
@@ -224,15 +258,26 @@ def near_classes(df: DataFrame, key: str, texts: list[str], at: str, threshold:
         return batch
 
     near = map_batches(checked.select("a", "b", "ta", "tb"), make, "a long, b long, similarity double")
-    # A key delivered with different texts gives several texts for a class; the pair's own one is the most similar or none is.
-    near = near.groupBy("a", "b").agg(F.max("similarity").alias("similarity")).where(F.col("similarity") >= threshold)
-    return member, near
+    return member, near.where(F.col("similarity") >= threshold)
 
 
-def near_pairs(df: DataFrame, key: str = "section_key", texts: tuple[str, ...] = ("heading", "content"), at: str = "loaded_at", threshold: float = 0.75) -> DataFrame:
+def near_pairs(df: DataFrame, key: str = "section_key", texts: tuple[str, ...] = ("heading", "content"), at: str = "loaded_at", threshold: float = 0.75, sketched: bool = True) -> DataFrame:
     """(a, b): all pairs of records of at least the threshold's similarity, the smaller key first."""
-    member, near = near_classes(df, key, list(texts), at, threshold)
+    member, near = near_classes(df, key, list(texts), at, threshold, sketched=sketched)
     m = member.select(F.col("cid"), F.col(key).alias("k"))
     equal = m.select("cid", F.col("k").alias("a")).join(m.select("cid", F.col("k").alias("b")), "cid").where("a < b").select("a", "b")
     cross = near.select("a", "b").join(m.select(F.col("cid").alias("a"), F.col("k").alias("ka")), "a").join(m.select(F.col("cid").alias("b"), F.col("k").alias("kb")), "b")
     return equal.unionByName(cross.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")))
+
+
+def near_members(df: DataFrame, key: str = "section_key", texts: tuple[str, ...] = ("heading", "content"), at: str = "loaded_at", threshold: float = 0.75) -> DataFrame:
+    """(key, class, copies, links): one row for each record that has a near-duplicate, copies aren't expanded into pairs.
+
+    class is the least key with its words, copies the number of such keys, links the number of pairs that the record is in.
+    """
+    member, near = near_classes(df, key, list(texts), at, threshold)
+    sizes = member.groupBy("cid").agg(F.min(key).alias("class"), F.count("*").alias("copies"))
+    ways = near.select("a", "b").union(near.select("b", "a"))
+    other = ways.join(sizes.select(F.col("cid").alias("b"), F.col("copies").alias("n")), "b").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("n"))
+    links = sizes.join(other, "cid", "left").withColumn("links", F.col("copies") - 1 + F.coalesce("n", F.lit(0))).where("links > 0").drop("n")
+    return member.join(links, "cid").select(key, "class", "copies", "links")

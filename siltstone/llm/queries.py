@@ -25,6 +25,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_pairs(table(spark, sf_dir, "sections")).toDF("section_a", "section_b")
 
 
+@query
+def p1_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_members(table(spark, sf_dir, "sections"))
+
+
 @query
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return handwritten.not_handwritten(table(spark, sf_dir, "files"))

@@ -65,7 +65,7 @@ def test_bands():
         b = N.banding(n)
         assert 1 - (1 - 0.8**b.rows) ** b.bands >= 0.99 and b.bands * n * 0.22**b.rows <= 20_000
         assert len(set(b.sketches()[0]) | set(b.sketches()[1])) == 128
-    assert (N.banding(200_000).rows, N.banding(200_000).bands) == (6, 16)
+    assert (N.banding(200_000).rows, N.banding(200_000).bands) == (6, 18)
     assert abs(N.similarity("a a b", "a b b") - 0.5) < 1e-9 and N.similarity("", "") == 0
 
 
@@ -76,3 +76,39 @@ def test_finer_bands_find_the_same(spark):
     _, base = N.near_classes(d, "section_key", ["heading", "content"], "loaded_at")
     x, y = ({(r.a, r.b) for r in t.where("similarity > 0.87").collect()} for t in (near, base))
     assert x == y and a
+
+
+def test_earlier_texts_of_a_key_are_in_no_pair(spark):
+    """Key 10 i has X, later Y; 10 i + 1 has X, 10 i + 2 has Z; Y and Z are alike, X and Z aren't."""
+    rnd = random.Random(8)
+    rows = []
+    for i in range(10):
+        x = [f"g{i}w{rnd.randrange(10**6)}" for _ in range(60)]
+        z = x[:44] + [f"g{i}z{j}" for j in range(16)]
+        y = z[:-2] + ["new", "end"]
+        for k, t, at in ((10 * i, x, T0), (10 * i, y, T1), (10 * i + 1, x, T0), (10 * i + 2, z, T0)):
+            rows.append((k, "", " ".join(t), at, "", "", ""))
+    want = brute(rows, 0.75)
+    assert want == {(10 * i, 10 * i + 2) for i in range(10)}
+    assert {tuple(r) for r in N.near_pairs(spark.createDataFrame(rows, SCHEMA)).collect()} == want
+
+
+def test_without_sketches_and_members(spark):
+    rows = rows_of(random.Random(4), 160)
+    rows += [(1000 + i, *rows[3][1:]) for i in range(5)]
+    d = spark.createDataFrame(rows, SCHEMA)
+    pairs = {tuple(r) for r in N.near_pairs(d, sketched=False).collect()}
+    assert brute(rows, 0.85) <= pairs <= brute(rows, 0.75)
+    links = {}
+    for a, b in N.near_pairs(d).collect():
+        links[a] = links.get(a, 0) + 1
+        links[b] = links.get(b, 0) + 1
+    got = N.near_members(d).collect()
+    assert {r["section_key"]: r["links"] for r in got} == links
+    by = {r["section_key"]: r for r in got}
+    assert by[1000]["class"] == by[3]["class"] == min(r["section_key"] for r in got if r["class"] == by[3]["class"]) and by[1000]["copies"] >= 6
+
+
+def test_class_ids_alone_are_those_of_signatures():
+    texts = ["", "a b a", "b A a", "c", "..", "x " * 500 + "y"]
+    assert (N.Signer().class_ids(texts) == N.Signer()(texts)[0]).all()
