@@ -1,23 +1,27 @@
 """Telling hand-written source from generated, minified, vendored and data files.
 
-A linear support-vector classifier over hashed features decides: the character n-grams of the
-content, as shares of the file, and the components of the path. It is fitted on files that
-give themselves away: by a header that names the generator or the upstream release, by the
-shape of shrunk code, by a body of literals. The giveaway header is masked in the features,
-so the weights are those of bodies and paths; files of the same kind without a header are
-found by them. Whole projects are held out to choose the threshold and to measure.
+A linear support-vector classifier over hashed features decides by its margin alone: the
+character n-grams of the body as shares of the file, those of the body with names and numbers
+masked, those of the head comment by their presence, and the components of the path.
 
-Exact checks follow the classifier: a header that names its generator or upstream release is
-taken at its word, shrunk code and blocks of literals are known by shares of the whole file, and a body, without its head comment, that occurs in several projects or
-under an upstream header is a third-party copy (copies lose their headers).
+It is fitted on a bounded sample. A file of it counts as not hand-written if its head names a
+generator or an upstream release, if its body has the shape of shrunk code, of literals or of
+one line repeated, or if its body occurs in several projects or mostly with such a head. Those
+rules give labels only; no row comes out by them. Each file of the sample is learnt twice, once with its head comment
+masked, so giveaway headers don't stand in for bodies and paths, and files of the same kind
+without a header are found by these. Whole projects are held out to choose the threshold and
+to measure, with heads seen and with heads masked.
 
-Only the fit is bounded: by SAMPLE rows, those of the smallest hashes of their keys. Every
-row is scored, over its whole content.
+Copies lose their headers, so an exact check follows: a body of which at least half the files
+are over the threshold takes its other files along.
 
-Defined results: null content is no case, and neither are other extensions; empty files are
+Only the fit is bounded: by SAMPLE rows, those of the smallest hashes of their keys, without
+files of more than SAMPLE_BYTES. Every row is scored, over its whole content.
+
+Defined results: null content is no case, and neither are other extensions; blank files are
 hand-written; of several deliveries of one key the last one counts; a null key is no record;
-a null path has no components. If the sample has no file of one of the two sorts, the
-classifier finds nothing and the exact checks stand alone.
+a null path has no components. If the sample has no file of one of the two sorts, nothing is
+found.
 """
 
 from __future__ import annotations
@@ -35,18 +39,21 @@ from pyspark.sql import functions as F
 from siltstone.llm import syntax
 from siltstone.llm.common import map_batches
 
-SAMPLE = 6000
+SAMPLE, SAMPLE_BYTES = 6000, 32_768
+#: Shorter bodies give no label by being the same in several projects.
+LABEL_BYTES = 200
 BITS = 17
-#: Bodies shorter than this aren't taken for copies of each other.
-COPY_BYTES = 200
-GRAMS = (3, 5)
-#: Of one unit of content, and of each path component.
-CONTENT_SCALE, PATH_SCALE = 40.0, 1.0
+#: Lengths of the n-grams of bodies, of masked bodies and of head comments.
+BODY_GRAMS, FORM_GRAMS, HEAD_GRAMS = (3, 5), (3, 5, 9), (4, 6)
+#: Values of a whole body, of an n-gram of a head, of a path component.
+BODY_SCALE, HEAD_SCALE, PATH_SCALE = 40.0, 0.3, 1.0
+#: The parts of the weights.
+BODY, FORM, PATH, HEAD = range(4)
 LANGUAGES = frozenset("python javascript typescript java go rust c".split())
-PENALTY = 1e-3
+EPOCHS, PENALTY = 12, 1e-4
 PIECE = 1 << 20
 #: The threshold: the least margin at which so many of the held-out files found are of the sort, but LEAST at least.
-PRECISE, LEAST = 0.97, 0.5
+PRECISE, LEAST = 0.97, 0.0
 PRIMES = np.array([2654435761, 2246822519, 3266489917, 668265263, 374761393], np.uint32)
 
 _HEAD = re.compile(rb"(?:\xef\xbb\xbf)?(?:#![^\n]*\n)?(?:\s*(?://[^\n]*|#(?!\s*(?:include|define|if|ifdef|ifndef|pragma|undef|error)\b)(?!\[)(?!!\[)[^\n]*|/\*[\s\S]*?\*/))*\s*")
@@ -67,6 +74,9 @@ _HEX = re.compile(rb"(?:0x[0-9a-fA-F]{1,8}|-?\b\d{1,10}(?:\.\d+)?)\s*,|[\"'][A-Z
 
 
 _NAME = re.compile(rb"[A-Za-z0-9_]+")
+_MARKS = re.compile(rb"[\s*#/]+")
+_WORDS, _NUMBERS = re.compile(rb"w[w0]+"), re.compile(rb"0[0w.]+")
+_CLASSES = bytes(ord("w") if c >= 128 or c == 95 or chr(c).isalpha() else ord("0") if chr(c).isdigit() else c for c in range(256))
 _LITERAL = re.compile(rb"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|\b0[xX][0-9a-fA-F]+\b|\b\d[\d.]*(?:[eE][+-]?\d+)?\b")
 _NO_LETTERS = bytes(c for c in range(256) if not chr(c).isascii() or not chr(c).isalpha())
 
@@ -74,8 +84,6 @@ _NO_LETTERS = bytes(c for c in range(256) if not chr(c).isascii() or not chr(c).
 def shape(body: bytes) -> str:
     """min for shrunk code, data for a block of literals, list for declarations alike but for names and numbers, "" for anything else."""
     n = len(body)
-    if n < 200:
-        return ""
     lines = body.count(b"\n") + 1
     if lines >= 10:
         # The masked form of a line: names and numbers are one letter. Runs of one form of call or record are counted.
@@ -92,21 +100,26 @@ def shape(body: bytes) -> str:
         rest, count = _LITERAL.subn(b"", body)
         if count >= 20 and len(rest.translate(None, _NO_LETTERS)) < 0.06 * n:
             return "data"
-    if sum(len(m) for m in _HEX.findall(body)) > 0.6 * (n - blanks):
+    if (literal := sum(len(m) for m in _HEX.findall(body))) > 0.6 * (n - blanks) and literal > 120:
         return "data"
     return "min" if n / lines > 200 and blanks < 0.09 * n and body.count(b";") + body.count(b",") > n / 80 else ""
 
 
-def look(content: bytes) -> tuple[int, str, str, bytes]:
-    """(end of the head comment, "gen" or "lib" or "" by the head, shape of the body, the body)."""
+def split(content: bytes) -> tuple[bytes, bytes]:
+    """(head comment, body)."""
     m = _HEAD.match(content)
     end = m.end() if m else 0
-    head = content[:end]
+    return content[:end], content[end:]
+
+
+def label(content: bytes) -> str:
+    """"gen" or "lib" by the head comment, else the shape of the body: what the classifier is fitted on."""
+    head, body = split(content)
     # Lines of the head are joined, so a sentence may go over lines.
-    flat = re.sub(rb"[\s*#/]+", b" ", head)
-    sort = "gen" if _GENERATED.search(head) or _GENERATED.search(flat) else "lib" if _UPSTREAM.search(head) or _UPSTREAM.search(flat) else ""
-    body = content[end:]
-    return end, sort, shape(body), body
+    flat = _MARKS.sub(b" ", head)
+    if _GENERATED.search(head) or _GENERATED.search(flat):
+        return "gen"
+    return "lib" if _UPSTREAM.search(head) or _UPSTREAM.search(flat) else shape(body)
 
 
 def components(path: str | None) -> list[int]:
@@ -122,172 +135,212 @@ def components(path: str | None) -> list[int]:
     return [zlib.crc32(x.encode()) & (1 << BITS) - 1 for x in dict.fromkeys(out)]
 
 
-def grams(data: np.ndarray) -> list[np.ndarray]:
-    """For each n the hashed n-gram that begins at each byte; the last n - 1 bytes begin none."""
+def form(body: bytes) -> bytes:
+    """body with each name as one w and each number as one 0."""
+    return _NUMBERS.sub(b"0", _WORDS.sub(b"w", body.translate(_CLASSES)))
+
+
+def grams(data: np.ndarray, n: int) -> np.ndarray:
+    """The hashed n-gram that begins at each byte; the last n - 1 bytes begin none."""
+    if len(data) < n:
+        return np.empty(0, np.uint32)
     x = data.astype(np.uint32)
-    out = []
-    for n in GRAMS:
-        if len(x) < n:
-            out.append(np.empty(0, np.uint32))
-            continue
-        h = np.full(len(x) - n + 1, n, np.uint32)
-        for i in range(n):
-            h = h * np.uint32(16777619) + x[i : len(x) - n + 1 + i] * PRIMES[i]
-        out.append((h ^ h >> np.uint32(15)) * np.uint32(2246822519) >> np.uint32(32 - BITS))
-    return out
+    h = np.full(len(x) - n + 1, n, np.uint32)
+    for i in range(n):
+        h *= np.uint32(16777619)
+        h += x[i : len(x) - n + 1 + i] * PRIMES[i % len(PRIMES)]
+    return (h ^ h >> np.uint32(15)) * np.uint32(2246822519) >> np.uint32(32 - BITS)
+
+
+def head_grams(head: bytes) -> np.ndarray:
+    """The hashed n-grams of a head comment, each once; marks and line ends are blanks."""
+    if not head:
+        return np.empty(0, np.uint32)
+    data = np.frombuffer(_MARKS.sub(b" ", head).lower(), np.uint8)
+    return np.unique(np.concatenate([grams(data, n) for n in HEAD_GRAMS]))
 
 
 @dataclass
 class Model:
-    content: np.ndarray
-    path: np.ndarray
+    """weights (part, hash)."""
+
+    weights: np.ndarray
     bias: float
     threshold: float = 0.0
 
-    def scores(self, bodies: list[bytes], paths: list[str | None]) -> np.ndarray:
-        """The margins of a batch, over whole bodies; PIECE bytes or one body at a time, to bound the memory."""
+    def scores(self, contents: list[bytes], paths: list[str | None]) -> tuple[np.ndarray, list[bytes]]:
+        """The margins over the threshold of a batch, and its bodies; over whole files, PIECE bytes or one file at a time, to bound the memory."""
+        parts = [split(c) for c in contents]
         out, start, size = [], 0, 0
-        for i, b in enumerate(bodies):
-            if i > start and size + len(b) > PIECE:
-                out.append(self._scores(bodies[start:i], paths[start:i]))
+        for i, c in enumerate(contents):
+            if i > start and size + len(c) > PIECE:
+                out.append(self._scores(parts[start:i], paths[start:i]))
                 start, size = i, 0
-            size += len(b)
-        return np.concatenate([*out, self._scores(bodies[start:], paths[start:])])
+            size += len(c)
+        return np.concatenate([*out, self._scores(parts[start:], paths[start:])]) - self.threshold, [b for _, b in parts]
+
+    def _scores(self, parts: list[tuple[bytes, bytes]], paths: list[str | None]) -> np.ndarray:
+        out = np.full(len(parts), self.bias)
+        bodies = [b for _, b in parts]
+        self._add(out, BODY, BODY_GRAMS, bodies)
+        self._add(out, FORM, FORM_GRAMS, [form(b) for b in bodies])
+        heads, path = self.weights[HEAD], self.weights[PATH]
+        for i, ((head, _), p) in enumerate(zip(parts, paths)):
+            if head:
+                out[i] += heads[head_grams(head)].sum() * HEAD_SCALE
+            for c in components(p):
+                out[i] += path[c] * PATH_SCALE
+        return out
 
-    def _scores(self, bodies: list[bytes], paths: list[str | None]) -> np.ndarray:
-        out = np.full(len(bodies), self.bias)
-        sizes = np.fromiter(map(len, bodies), np.int64, len(bodies))
-        data = np.frombuffer(b"".join(bodies), np.uint8)
+    def _add(self, out: np.ndarray, part: int, lengths: tuple[int, ...], texts: list[bytes]) -> None:
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        data = np.frombuffer(b"".join(texts), np.uint8)
         ends = np.cumsum(sizes)
-        for n, h in zip(GRAMS, grams(data)):
+        for n in lengths:
+            h = grams(data, n)
             if not len(h):
                 continue
-            total = np.concatenate([[0.0], np.cumsum(self.content[h], dtype=np.float64)])
+            total = np.concatenate([[0.0], np.cumsum(self.weights[part][h], dtype=np.float64)])
             some = np.flatnonzero(sizes >= n)
             first, last = (ends - sizes)[some], ends[some] - n + 1
-            out[some] += (total[last] - total[first]) / (last - first) * CONTENT_SCALE
-        for i, p in enumerate(paths):
-            for c in components(p):
-                out[i] += self.path[c] * PATH_SCALE
-        return out
+            out[some] += (total[last] - total[first]) / (last - first) * BODY_SCALE
+
 
+Row = tuple[np.ndarray, np.ndarray]
 
-def sparse(body: bytes, path: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, values) of one file, path components behind the n-grams."""
+
+def sparse(content: bytes, path: str | None) -> tuple[Row, Row]:
+    """(ids, values) of one file with its head masked, and of the head."""
+    head, body = split(content)
     ids, values = [], []
-    for h in grams(np.frombuffer(body, np.uint8)):
-        if len(h):
-            u, c = np.unique(h, return_counts=True)
-            ids.append(u.astype(np.int64))
-            values.append(c * (CONTENT_SCALE / len(h)))
-    p = np.array(components(path), np.int64) + (1 << BITS)
-    return np.concatenate([*ids, p]), np.concatenate([*values, np.full(len(p), PATH_SCALE)])
-
-
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 12, penalty: float = PENALTY, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Weights and bias of a linear support-vector classifier: hinge loss, averaged subgradient steps, classes weighted alike."""
-    w, total = np.zeros(2 << BITS), np.zeros(2 << BITS)
+    for part, lengths, text in ((BODY, BODY_GRAMS, body), (FORM, FORM_GRAMS, form(body))):
+        for n in lengths:
+            h = grams(np.frombuffer(text, np.uint8), n)
+            if len(h):
+                u, c = np.unique(h, return_counts=True)
+                ids.append(u.astype(np.int64) + (part << BITS))
+                values.append(c * (BODY_SCALE / len(h)))
+    p = np.array(components(path), np.int64) + (PATH << BITS)
+    h = head_grams(head).astype(np.int64) + (HEAD << BITS)
+    return (np.concatenate([*ids, p]), np.concatenate([*values, np.full(len(p), PATH_SCALE)])), (h, np.full(len(h), HEAD_SCALE))
+
+
+def fit(rows: list[Row], labels: np.ndarray, epochs: int = EPOCHS, penalty: float = PENALTY, seed: int = 7) -> tuple[np.ndarray, float]:
+    """Weights and bias of a linear support-vector classifier: hinge loss, subgradient steps, the mean of the later epochs."""
+    w, total = np.zeros(4 << BITS), np.zeros(4 << BITS)
     b = total_b = 0.0
-    yes = labels > 0
-    weight = np.where(yes, len(labels) / max(1, 2 * yes.sum()), len(labels) / max(1, 2 * (~yes).sum()))
-    weight = np.minimum(weight, 4.0)
     rng = np.random.default_rng(seed)
-    step, scale = 0, 1.0
     for epoch in range(epochs):
+        rate = 0.05 / (1 + epoch / 2)
         for i in rng.permutation(len(rows)):
-            step += 1
-            rate = 0.05 / (1 + 0.05 * step * penalty * 50) / (1 + epoch / 3)
             ids, values = rows[i]
-            y = 1.0 if yes[i] else -1.0
-            scale *= 1 - rate * penalty
-            if y * (scale * (w[ids] @ values) + b) < 1:
-                w[ids] += rate * weight[i] * y / scale * values
-                b += rate * weight[i] * y * 0.1
+            y = labels[i]
+            if y * (w[ids] @ values + b) < 1:
+                w[ids] += rate * y * values
+                b += rate * y * 0.1
+        w *= max(0.0, 1 - penalty * rate * len(rows))
         if epoch >= epochs // 2:
-            total += w * scale
+            total += w
             total_b += b
     n = epochs - epochs // 2
     return total / n, total_b / n
 
 
-def fitted(files: DataFrame, key: str = "file_id", sample: int = SAMPLE) -> tuple[Model, dict[str, float]]:
-    """The model and its measures on held-out projects (a fifth, by hash)."""
-    code = _code(files)
-    chosen = code.select(key).distinct().orderBy(F.xxhash64(key), key).limit(sample)
-    rows = code.join(F.broadcast(chosen), key).select("project", "path", "content").toArrow()
+def fitted(files: DataFrame, key: str = "file_id", sample: int = SAMPLE) -> tuple[Model, list[dict]]:
+    """The model and its measures on held-out projects (a fifth, by hash), with heads seen and masked."""
+    # Keys are chosen without their contents.
+    chosen = _code(files).where(F.col(key).isNotNull()).select(key).distinct().orderBy(F.xxhash64(key), key).limit(sample)
+    few = F.col("content").isNotNull() & (F.length("content") <= SAMPLE_BYTES)
+    rows = _code(files).join(F.broadcast(chosen), key).where(few).groupBy(key).agg(F.min(F.struct("project", "path", "content")).alias("_r")).select("_r.*").toArrow()
     xs, ys, held, bodies, owners = [], [], [], [], {}
     for project, path, content in zip(*[rows.column(c).to_pylist() for c in ("project", "path", "content")]):
-        _, sort, form, body = look(content)
-        xs.append(sparse(body, path))
-        ys.append(1 if sort or form else -1)
-        bodies.append(fingerprint(body))
-        owners.setdefault(bodies[-1], set()).add(project)
+        xs.append(sparse(content, path))
+        ys.append(bool(label(content)))
+        body = split(content)[1]
+        bodies.append(fingerprint(body) if len(body) >= LABEL_BYTES else None)
+        owners.setdefault(bodies[-1], []).append((project, ys[-1]))
         held.append(zlib.crc32((project or "").encode()) % 5 == 0)
-    ys = np.array([1 if p and len(owners[p]) > 1 else y for y, p in zip(ys, bodies)])
+    # A copy of a labelled file is of its sort, and so is a body that several projects have.
+    copied = {p for p, x in owners.items() if p and (2 * sum(z for _, z in x) >= len(x) or len({q for q, _ in x}) > 1)}
+    ys = np.array([1.0 if y or p in copied else -1.0 for y, p in zip(ys, bodies)])
     held = np.array(held, bool)
-    none = Model(np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32), -1.0)
-    if not (ys > 0).any() or not (ys < 0).any() or held.all():
-        return none, {"rows": float(len(ys))}
-    train = [x for x, h in zip(xs, held) if not h]
-    w, b = fit(train, ys[~held])
-    margin = np.array([w[i] @ v + b for (i, v), h in zip(xs, held) if h])
-    order = np.argsort(-margin)
-    hits = np.cumsum(ys[held][order] > 0)
-    precise = np.flatnonzero(hits >= PRECISE * np.arange(1, len(order) + 1))
-    threshold = max(LEAST, float(margin[order[precise[-1]]]) - 1e-9) if len(precise) else 1.0
-    found = margin > threshold
-    true = ys[held] > 0
-    measures = {
-        "rows": float(len(ys)), "held_out": float(held.sum()), "positive": float(true.sum()), "found": float(found.sum()),
-        "precision": float((found & true).sum() / max(1, found.sum())), "recall": float((found & true).sum() / max(1, true.sum())),
-    }
-    return Model(w[: 1 << BITS].astype(np.float32), w[1 << BITS :].astype(np.float32), float(b), threshold), measures
+    if not (ys[~held] > 0).any() or not (ys[~held] < 0).any():
+        return Model(np.zeros((4, 1 << BITS), np.float32), -1.0), [{"head": h, "rows": float(len(ys))} for h in ("seen", "masked")]
 
+    def whole(x: tuple[Row, Row]) -> Row:
+        return np.concatenate([x[0][0], x[1][0]]), np.concatenate([x[0][1], x[1][1]])
 
-def fingerprint(body: bytes) -> bytes:
-    """Of a body whatever its line ends; none for a body of less than COPY_BYTES."""
+    train = [x for x, h in zip(xs, held) if not h]
+    w, b = fit([whole(x) for x in train] + [x[0] for x in train], np.concatenate([ys[~held]] * 2))
+    true = ys[held] > 0
+    margins = {name: np.array([w[i] @ v + b for i, v in (take(x) for x, h in zip(xs, held) if h)]) for name, take in (("seen", whole), ("masked", lambda x: x[0]))}
+    order = np.argsort(-margins["seen"])
+    precise = np.flatnonzero(np.cumsum(true[order]) >= PRECISE * np.arange(1, len(order) + 1))
+    threshold = max(LEAST, float(margins["seen"][order[precise[-1]]]) - 1e-9) if len(precise) else LEAST
+    measures = [
+        {
+            "head": name, "rows": float(len(ys)), "held_out": float(held.sum()), "positive": float(true.sum()), "found": float(found.sum()),
+            "precision": float((found & true).sum() / max(1, found.sum())), "recall": float((found & true).sum() / max(1, true.sum())),
+        }
+        for name, found in ((n, m > threshold) for n, m in margins.items())
+    ]
+    return Model(w.reshape(4, 1 << BITS).astype(np.float32), float(b), threshold), measures
+
+
+def fingerprint(body: bytes) -> bytes | None:
+    """Of a body whatever its line ends and the blanks before them; none for a blank one."""
     text = b"\n".join(x.rstrip() for x in body.splitlines()).strip()
-    return blake2b(text, digest_size=12).digest() if len(text) >= COPY_BYTES else b""
+    return blake2b(text, digest_size=12).digest() if text else None
 
 
 def _code(files: DataFrame) -> DataFrame:
     extensions = [e for e, x in syntax.LANGUAGE.items() if x in LANGUAGES]
-    return files.where(F.lower("extension").isin(extensions) & F.col("content").isNotNull())
+    return files.where(F.lower("extension").isin(extensions))
 
 
 def judged(files: DataFrame, model: Model, key: str = "file_id", at: str = "scanned_at") -> DataFrame:
-    """(key, project, sort, score, body): sort by the head comment, else by the shape; margin over the threshold; fingerprint of the body, "" if short."""
-    src = _code(files).where(F.col(key).isNotNull()).select(key, at, "project", "path", "content")
+    """(key, score, body): margin over the threshold; fingerprint of the body, null if blank."""
+    src = _code(files).where(F.col(key).isNotNull() & F.col("content").isNotNull()).select(key, at, "path", "content")
     shared = files.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
     def make():  # noqa: ANN202
         own = shared.value
 
         def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-            seen = [look(c) for c in b.column(4).to_pylist()]
-            score = own.scores([x[3] for x in seen], b.column(3).to_pylist()) - own.threshold
-            score[[i for i, x in enumerate(seen) if not x[3].strip()]] = -9.0
-            prints = [fingerprint(x[3]) for x in seen]
-            return pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([x[1] or x[2] for x in seen]), pa.array(score), pa.array(prints, pa.binary())], names=[key, at, "project", "sort", "score", "body"])
+            contents = b.column(3).to_pylist()
+            score, bodies = own.scores(contents, b.column(2).to_pylist())
+            score[[i for i, c in enumerate(contents) if not c.strip()]] = -9.0
+            return pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(score), pa.array([fingerprint(x) for x in bodies], pa.binary())], names=[key, at, "score", "body"])
 
         return batch
 
     t = {f.name: f.dataType.simpleString() for f in src.schema}
-    rows = map_batches(src, make, f"{key} {t[key]}, {at} {t[at]}, project string, sort string, score double, body binary")
-    cols = ["project", "sort", "score", "body"]
-    return rows.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(at, *cols)).alias("_r")).select(key, "_r.*")
+    rows = map_batches(src, make, f"{key} {t[key]}, {at} {t[at]}, score double, body binary")
+    return rows.groupBy(key).agg(F.max_by(F.struct("score", "body"), F.struct(at, "score", "body")).alias("_r")).select(key, "_r.*")
 
 
-def not_handwritten(files: DataFrame, key: str = "file_id", at: str = "scanned_at", sample: int = SAMPLE) -> DataFrame:
-    """(key) of the generated, minified, third-party and data files."""
+def found(files: DataFrame, key: str = "file_id", at: str = "scanned_at", sample: int = SAMPLE) -> DataFrame:
+    """(key, way): the generated, minified, third-party and data files, by "margin" or as "copy" of such files."""
     model, _ = fitted(files, key, sample)
     j = judged(files, model, key, at)
-    copies = j.where("body <> X''").groupBy("body").agg(F.max(F.col("sort") == "lib").alias("known"), F.min("project").alias("a"), F.max("project").alias("b")).where("known or a <> b").select("body", F.lit(True).alias("copy"))
-    return j.join(copies, "body", "left").where("sort <> '' or score > 0 or copy").select(key)
+    own = j.where("score > 0").select(key, F.lit("margin").alias("way"))
+    # Only the files that aren't over the threshold themselves have to meet their body's others.
+    mixed = j.where("body is not null").groupBy("body").agg(F.count_if(F.col("score") > 0).alias("over"), F.count("*").alias("n")).where("over > 0 and over < n and 2 * over >= n").select("body")
+    return own.unionByName(j.where("score <= 0 and body is not null").join(mixed, "body", "left_semi").select(key, F.lit("copy").alias("way")))
+
+
+def not_handwritten(files: DataFrame, key: str = "file_id", at: str = "scanned_at", sample: int = SAMPLE) -> DataFrame:
+    """(key) of the generated, minified, third-party and data files."""
+    return found(files, key, at, sample).select(key)
+
+
+def ways(files: DataFrame, key: str = "file_id", at: str = "scanned_at") -> DataFrame:
+    """(way, files): how many rows the margin decides, and how many come as copies."""
+    return found(files, key, at).groupBy("way").agg(F.count("*").alias("files"))
 
 
 def measures(files: DataFrame, key: str = "file_id", sample: int = SAMPLE) -> DataFrame:
-    """One row: the classifier's measures on held-out projects, without the exact checks."""
+    """The classifier's measures against the labels of held-out projects, a row with heads seen and one with heads masked."""
     _, m = fitted(files, key, sample)
     names = ["rows", "held_out", "positive", "found", "precision", "recall"]
-    return files.sparkSession.createDataFrame([tuple(m.get(n) for n in names)], ", ".join(f"{n} double" for n in names))
+    return files.sparkSession.createDataFrame([(x["head"], *[x.get(n) for n in names]) for x in m], "head string, " + ", ".join(f"{n} double" for n in names))

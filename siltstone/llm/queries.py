@@ -40,6 +40,11 @@ def p2_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return handwritten.measures(table(spark, sf_dir, "files"))
 
 
+@query
+def p2_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return handwritten.ways(table(spark, sf_dir, "files"))
+
+
 @query
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return defects.truncated(table(spark, sf_dir, "responses"))

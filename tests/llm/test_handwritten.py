@@ -17,7 +17,7 @@ BODY = b"import os\n\ndef f(a):\n    for x in a:\n        print(x)\n    return a
     ],
 )
 def test_heads(text, sort):
-    assert H.look(text)[1] == sort
+    assert H.label(text) == sort
 
 
 def test_shapes():
@@ -32,23 +32,34 @@ def test_shapes():
 
 def test_scores_are_those_of_the_sparse_rows():
     rnd = random.Random(1)
-    w = H.np.array([rnd.gauss(0, 1) for _ in range(2 << H.BITS)], H.np.float32)
-    m = H.Model(w[: 1 << H.BITS], w[1 << H.BITS :], 0.5)
-    bodies, paths = [b"", b"a", b"abcdefg", BODY, b"abc", BODY * 100], [None, "a.py", "x/y/z_pb2.py", "", "q\\r.min.js", "a/b.c"]
-    for got, b, p in zip(m.scores(bodies, paths), bodies, paths):
-        ids, values = H.sparse(b, p)
-        assert abs(got - (w[ids] @ values + 0.5)) < 1e-2
+    w = H.np.array([rnd.gauss(0, 1) for _ in range(4 << H.BITS)], H.np.float32)
+    m = H.Model(w.reshape(4, -1), 0.5, 0.25)
+    contents, paths = [b"", b"a", b"abcdefg", b"# head 1\n" + BODY, b"abc", b"// x\n" + BODY * 100, b"# only a head\n"], [None, "a.py", "x/y/z_pb2.py", "", "q\\r.min.js", "a/b.c", "a.rs"]
+    scores, bodies = m.scores(contents, paths)
+    for got, c, p, body in zip(scores, contents, paths, bodies):
+        assert c.endswith(body)
+        (ids, values), (head, share) = H.sparse(c, p)
+        assert abs(got - (w[ids] @ values + w[head] @ share + 0.5 - 0.25)) < 1e-2
+
+
+def test_masked_bodies():
+    assert H.form(b"def ab_1(x2): return 0x1F + 3.5\n") == b"w w(w): w 0 + 0\n"
 
 
 def test_table(spark):
     t0, t1 = datetime(2025, 1, 1), datetime(2025, 1, 2)
     rows = [(i, f"proj{i % 7}", f"src/m{i}/file{i}.py", b"# c\nimport a%d\n\ndef f%d(x):\n    return x + %d\n" % (i, i, i) * 4, ".py", t0) for i in range(60)]
     rows += [(100 + i, f"proj{i % 7}", f"vendor/lib{i}/m.py", b"# @preserve lib 1.0.0\nq%d = 1\n" % i + BODY, ".py", t0) for i in range(30)]
-    rows += [(200, "a", "x/one.py", b"# ours\n" + BODY, ".py", t0), (201, "b", "y/two.py", BODY.replace(b"\n", b"\r\n"), ".py", t0), (202, "a", "n.py", None, ".py", t0), (203, "a", "e.py", b"", ".py", t0), (204, None, None, b"# @generated\nx = 1\n", ".py", None), (205, "a", "m.md", b"# @generated\n", ".md", t0), (None, "a", "g.py", b"# @generated\n", ".py", t0), (206, "a", "h.py", b"# @generated\n", ".py", t0), (206, "a", "h.py", b"import hand\n", ".py", t1)]
+    rows += [(200, "a", "vendor/x/one.py", b"# @preserve lib 1.0.0\n" + BODY, ".py", t0), (201, "b", "src/m1/file1.py", BODY.replace(b"\n", b"\r\n"), ".py", t0), (202, "a", "n.py", None, ".py", t0), (203, "a", "e.py", b"", ".py", t0), (204, None, None, b"# @preserve lib 1.0.0\nq77 = 1\n" + BODY, ".py", None), (205, "a", "m.md", b"# @generated\n", ".md", t0), (None, "a", "g.py", b"# @generated\n", ".py", t0), (206, "a", "vendor/h.py", b"# @preserve lib 1.0.0\n" + BODY, ".py", t0), (206, "a", "src/m2/file2.py", rows[2][3] + b"\n", ".py", t1)]
+    # A short body that many write: one of them in a third-party folder doesn't take the others along.
+    rows += [(300 + i, f"proj{i % 7}", f"src/m{i}/one.py", b"import a\n", ".py", t0) for i in range(6)] + [(310, "a", "vendor/lib3/m.py", b"# @preserve lib 1.0.0\nimport a\n", ".py", t0)]
     d = spark.createDataFrame([(*r, "x", "y") for r in rows], "file_id long, project string, path string, content binary, extension string, scanned_at timestamp, body string, sort string")
     got = [r[0] for r in H.not_handwritten(d).collect()]
     assert len(got) == len(set(got))
     assert {100 + i for i in range(30)} | {200, 201, 204} <= set(got)
-    assert not {202, 203, 205, 206} & set(got) and not set(range(60)) & set(got)
+    assert not {202, 203, 205, 206, *range(300, 306)} & set(got) and not set(range(60)) & set(got)
+    ways = {r["file_id"]: r["way"] for r in H.found(d).collect()}
+    assert ways[100] == ways[200] == "margin" and ways[201] in ("copy", "margin")
     assert H.not_handwritten(d.where("false")).collect() == []
-    assert H.measures(d).count() == 1
+    assert {r["head"] for r in H.measures(d).collect()} == {"seen", "masked"}
+    assert sum(r["files"] for r in H.ways(d).collect()) == len(got)
