@@ -16,7 +16,7 @@ Copies lose their headers, so an exact check follows: a body of which at least h
 are over the threshold takes its other files along.
 
 Only the fit is bounded: by SAMPLE rows, those of the smallest hashes of their keys, without
-files of more than SAMPLE_BYTES. Every row is scored, over its whole content.
+files of more than SAMPLE_BYTES, and by SAMPLE_TOTAL bytes in all. Every row is scored, over its whole content.
 
 Defined results: null content is no case, and neither are other extensions; blank files are
 hand-written; of several deliveries of one key the last one counts; a null key is no record;
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from siltstone.llm import syntax
 from siltstone.llm.common import map_batches
 
-SAMPLE, SAMPLE_BYTES = 6000, 32_768
+SAMPLE, SAMPLE_BYTES, SAMPLE_TOTAL = 6000, 32_768, 24_000_000
 #: Shorter bodies give no label by being the same in several projects.
 LABEL_BYTES = 200
 BITS = 17
@@ -209,8 +209,8 @@ class Model:
 Row = tuple[np.ndarray, np.ndarray]
 
 
-def sparse(content: bytes, path: str | None) -> tuple[Row, Row]:
-    """(ids, values) of one file with its head masked, and of the head."""
+def sparse(content: bytes, path: str | None) -> tuple[np.ndarray, np.ndarray, int]:
+    """(ids, values, how many of them are left if the head is masked) of one file."""
     head, body = split(content)
     ids, values = [], []
     for part, lengths, text in ((BODY, BODY_GRAMS, body), (FORM, FORM_GRAMS, form(body))):
@@ -218,11 +218,13 @@ def sparse(content: bytes, path: str | None) -> tuple[Row, Row]:
             h = grams(np.frombuffer(text, np.uint8), n)
             if len(h):
                 u, c = np.unique(h, return_counts=True)
-                ids.append(u.astype(np.int64) + (part << BITS))
-                values.append(c * (BODY_SCALE / len(h)))
-    p = np.array(components(path), np.int64) + (PATH << BITS)
-    h = head_grams(head).astype(np.int64) + (HEAD << BITS)
-    return (np.concatenate([*ids, p]), np.concatenate([*values, np.full(len(p), PATH_SCALE)])), (h, np.full(len(h), HEAD_SCALE))
+                ids.append(u.astype(np.int32) + np.int32(part << BITS))
+                values.append(c.astype(np.float32) * np.float32(BODY_SCALE / len(h)))
+    p = np.array(components(path), np.int32) + np.int32(PATH << BITS)
+    h = head_grams(head).astype(np.int32) + np.int32(HEAD << BITS)
+    ids += [p, h]
+    values += [np.full(len(p), PATH_SCALE, np.float32), np.full(len(h), HEAD_SCALE, np.float32)]
+    return np.concatenate(ids), np.concatenate(values), sum(map(len, ids)) - len(h)
 
 
 def fit(rows: list[Row], labels: np.ndarray, epochs: int = EPOCHS, penalty: float = PENALTY, seed: int = 7) -> tuple[np.ndarray, float]:
@@ -251,9 +253,13 @@ def fitted(files: DataFrame, key: str = "file_id", sample: int = SAMPLE) -> tupl
     # Keys are chosen without their contents.
     chosen = _code(files).where(F.col(key).isNotNull()).select(key).distinct().orderBy(F.xxhash64(key), key).limit(sample)
     few = F.col("content").isNotNull() & (F.length("content") <= SAMPLE_BYTES)
-    rows = _code(files).join(F.broadcast(chosen), key).where(few).groupBy(key).agg(F.min(F.struct("project", "path", "content")).alias("_r")).select("_r.*").toArrow()
+    rows = _code(files).join(F.broadcast(chosen), key).where(few).groupBy(key).agg(F.min(F.struct("project", "path", "content")).alias("_r")).orderBy(F.xxhash64(key), key).select("_r.*").toArrow()
     xs, ys, held, bodies, owners = [], [], [], [], {}
+    total = 0
     for project, path, content in zip(*[rows.column(c).to_pylist() for c in ("project", "path", "content")]):
+        total += len(content)
+        if total > SAMPLE_TOTAL:
+            break
         xs.append(sparse(content, path))
         ys.append(bool(label(content)))
         body = split(content)[1]
@@ -267,13 +273,16 @@ def fitted(files: DataFrame, key: str = "file_id", sample: int = SAMPLE) -> tupl
     if not (ys[~held] > 0).any() or not (ys[~held] < 0).any():
         return Model(np.zeros((4, 1 << BITS), np.float32), -1.0), [{"head": h, "rows": float(len(ys))} for h in ("seen", "masked")]
 
-    def whole(x: tuple[Row, Row]) -> Row:
-        return np.concatenate([x[0][0], x[1][0]]), np.concatenate([x[0][1], x[1][1]])
+    def seen(x: tuple[np.ndarray, np.ndarray, int]) -> Row:
+        return x[0], x[1]
+
+    def masked(x: tuple[np.ndarray, np.ndarray, int]) -> Row:
+        return x[0][: x[2]], x[1][: x[2]]
 
     train = [x for x, h in zip(xs, held) if not h]
-    w, b = fit([whole(x) for x in train] + [x[0] for x in train], np.concatenate([ys[~held]] * 2))
+    w, b = fit([seen(x) for x in train] + [masked(x) for x in train], np.concatenate([ys[~held]] * 2))
     true = ys[held] > 0
-    margins = {name: np.array([w[i] @ v + b for i, v in (take(x) for x, h in zip(xs, held) if h)]) for name, take in (("seen", whole), ("masked", lambda x: x[0]))}
+    margins = {name: np.array([w[i] @ v + b for i, v in (take(x) for x, h in zip(xs, held) if h)]) for name, take in (("seen", seen), ("masked", masked))}
     order = np.argsort(-margins["seen"])
     precise = np.flatnonzero(np.cumsum(true[order]) >= PRECISE * np.arange(1, len(order) + 1))
     threshold = max(LEAST, float(margins["seen"][order[precise[-1]]]) - 1e-9) if len(precise) else LEAST
