@@ -3,8 +3,8 @@
 copied_prompt: the response is compressed with the prompt as zstandard dictionary, both
     without case, spacing, quoting and markup; what the dictionary doesn't give is what the
     response adds. A copy adds a few bytes of framing.
-refusal: a phrase of the refusal dictionary, and nothing but courtesies beside it, however long the
-    text is; a short one without code or lists may give its reason in any words.
+refusal: a phrase of the refusal dictionary, and nothing but courtesies and reasons beside it, however
+    long the text is.
 other_language: words of the dictionaries of frequent words, or the script, say another
     language than the one that the prompt asks for or, if it asks for none, is written in.
 empty, truncated: the terminal context (terminal.py) and the self-join by prefix (truncation.py).
@@ -77,17 +77,30 @@ REFUSALS = [
     r"\b(?:вынужден\w*|должен|должна|приходится) (?:\w+ )?отк(?:азать|лонить)",
     r"无法(?:协助|帮助|完成|撰写|提供|回答)|不能(?:撰写|协助|帮助|提供|回答|完成)|不(?:被)?允许(?:我)?|必须拒绝|拒绝(?:此|该|这)|不便(?:回答|提供)",
 ]
-REFUSAL = re.compile("|".join(REFUSALS))
-#: Up to this length a refusal without code or lists may give its reason in any words.
-REFUSAL_LENGTH = 420
+#: A phrase can only be where one of its words is; looking for these first spares most of the search.
+KEYS = (
+    ("able to",), ("allowed", "permitted", "comfortable", "willing"), ("can't", "cannot", "can not", "won't", "will not", "not", "n't"), ("rather not",), ("decline", "refuse", "pass"), ("possible for me",), ("outside what",),
+    ("something i",), ("nicht",), ("nicht",), ("darf ich",), ("ablehnen", "verweigern"), ("nicht",), ("je ne ",), ("je dois", "je préfère"), ("il ne m'est",), ("puedo", "es posible", "está permitido"), ("debo ", "tengo que ", "prefiero "),
+    ("não",), ("recusar", "declinar"), ("я не ",), ("мне не ",), ("отказать", "отклонить"), ("无法", "不能", "允许", "拒绝", "不便"),
+)
+assert len(KEYS) == len(REFUSALS)
+_refusals = [(k, re.compile(p)) for k, p in zip(KEYS, REFUSALS)]
+
+
+def refuses(text: str) -> bool:
+    """Whether a phrase of the refusal dictionary is in the text, which is in lower case."""
+    return any(any(k in text for k in keys) and p.search(text) for keys, p in _refusals)
+
+
 #: What may stand beside a refusal: regrets, reasons, offers of other help.
 COURTESIES = [
     r"(?:i(?:'m| am) (?:very |so |truly )?sorry|sorry|(?:my |i )?apolog\w+|unfortunately|regrettably|thank you|thanks|i understand|i appreciate)\b",
-    r"(?:it|this|that|these|those|they|doing so|the request|your request) (?:would|goes|go|falls|fall|lies|lie|could|may|might|is|are) (?:\w+ ){0,3}(?:mean|require|against|outside|beyond|violate|breach|not (?:allowed|permitted)|unsafe|harmful|private|confidential|blocked)\b",
+    r"(?:it|this|that|these|those|they|doing so|(?:the|your|its) (?:content|material|text|prompt|request|question|topic)) (?:would|was|were|goes|go|falls|fall|lies|lie|could|may|might|is|are) (?:\w+ ){0,3}(?:mean|require|against|outside|beyond|violate|breach|not (?:allowed|permitted)|unsafe|harmful|private|confidential|blocked)\b",
     r"(?:please|kindly) (?:contact|ask|consult|reach|let me know|feel free|rephrase|try|provide|share|send)\b",
+    r"(?:perhaps|maybe|you (?:could|can|may|might)) (?:\w+ ){0,2}(?:try|ask|rephrase|contact|consult|send)\b",
     r"(?:is there|let me know|feel free|if (?:there is|there's|you (?:have|need|want|would|can)))\b",
     r"i(?:'d| would| will|'ll|'m| am)? ?(?:can |could |be )?(?:happy|glad|offer|instead)\b",
-    r"(?:es tut mir leid|tut mir leid|leider|entschuldig\w+|verzeih\w+|danke|bitte wenden|gern\w* (?:helfe|kann) ich)\b",
+    r"(?:es tut mir leid|tut mir leid|leider|entschuldig\w+|verzeih\w+|danke|bitte (?:wend|frag|kontakt|versuch)\w*|gern\w* (?:helfe|kann) ich)\b",
     r"(?:désolé\w*|je suis désolé\w*|malheureusement|merci|veuillez)\b",
     r"(?:lo siento|lamentablemente|por desgracia|gracias|por favor|sinto muito|desculpe|infelizmente|obrigad\w|lamento)\b",
     r"(?:извините|простите|к сожалению|спасибо|пожалуйста)\b",
@@ -101,38 +114,41 @@ WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 #: Letters and marks of one of the languages only.
 LETTERS = {"de": "äöüßÄÖÜ", "es": "ñ¿¡", "pt": "ãõ"}
 _words = {k: frozenset(v.split()) for k, v in FREQUENT.items()}
+_languages = {w: tuple(k for k, v in _words.items() if w in v) for w in frozenset().union(*_words.values())}
+#: Ideographs, kana and Cyrillic letters.
+SCRIPTS = tuple(re.compile(p) for p in ("[一-鿿]+", "[぀-ヿ]+", "[Ѐ-ӿ]+"))
 _names = {n: k for k, v in NAMES.items() for n in v.split()}
 ASKS = re.compile(
     r"(?:\b(?:answer|reply|respond|write|written|text must be|output|language|antworte|schreib\w*|sprache|réponds|répondez|rédig\w*|langue|responde|escrib\w*|idioma|responda|escreva|ответь\w*|напиши\w*|язык\w*)\b[^.?!。\n]{0,40}?|\bin |\bauf |\ben |\bem |на |[用以])(?P<name>%s)" % "|".join(sorted(map(re.escape, _names), key=len, reverse=True)),
     re.I,
 )
 LOOSE = re.compile(r"[\W_]+")
-#: Bytes that a copy may add to its prompt, and the least share of the response that the prompt must give.
-FRAMING, COPIED = 48, 0.5
+#: Bytes that a copy may add to its prompt, but for CHANGED of it, and the least share of the response that the prompt must give.
+FRAMING, CHANGED, COPIED = 48, 0.02, 0.5
 
 
 def language(text: str, least: int = 1) -> str | None:
     """The language of prose, None if it can't be told. Code spans, headings, table rows and front matter don't count."""
     text = SPAN.sub(" ", terminal.FRONT.sub("", text, count=1))
     text = "\n".join(x for x in text.split("\n") if not terminal.HEADING.match(x) and not x.lstrip().startswith(("|", "*Phase", "//")))
-    counts = {"zh": 0, "ja": 0, "ru": 0}
-    for c in text:
-        if "一" <= c <= "鿿":
-            counts["zh"] += 1
-        elif "぀" <= c <= "ヿ":
-            counts["ja"] += 1
-        elif "Ѐ" <= c <= "ӿ":
-            counts["ru"] += 1
-    ws = WORD.findall(text.lower())
-    if counts["ja"] > 2:
-        return "ja"
-    if counts["zh"] > 3 and counts["zh"] * 2 > len(ws):
-        return "zh"
-    if counts["ru"] > 8 and counts["ru"] * 2 > sum(map(len, ws)):
-        return "ru"
-    score = {k: sum(w in v for w in ws) for k, v in _words.items()}
-    for k, letters in LETTERS.items():
-        score[k] += min(2, sum(c in letters for c in text))
+    lower = text.lower()
+    ws = WORD.findall(lower)
+    if not text.isascii():
+        han, kana, cyrillic = (sum(map(len, p.findall(text))) for p in SCRIPTS)
+        if kana > 2:
+            return "ja"
+        if han > 3 and han * 2 > len(ws):
+            return "zh"
+        if cyrillic > 8 and cyrillic * 2 > sum(map(len, ws)):
+            return "ru"
+    score = dict.fromkeys(_words, 0)
+    get = _languages.get
+    for w in ws:
+        for k in get(w, ()):
+            score[k] += 1
+    if not text.isascii():
+        for k, letters in LETTERS.items():
+            score[k] += min(2, sum(map(text.count, letters)))
     best = max(score, key=score.__getitem__)
     rest = max((v for k, v in score.items() if k != best), default=0)
     return best if score[best] >= least and score[best] > rest else None
@@ -153,27 +169,28 @@ def loose(text: str) -> bytes:
 def copied(prompt: str, content: str) -> bool:
     """Whether the response gives nothing beyond its prompt."""
     p, c = loose(prompt), loose(content)
-    if len(p) < 8 or len(c) < 0.25 * len(p) or len(c) > len(p) + 4 * FRAMING:
+    if not c:
+        return False
+    # A word that the prompt doesn't have costs two bytes at least.
+    if 2 * len(set(c.split()) - set(p.split())) > min(FRAMING + CHANGED * len(c), (1 - COPIED) * len(c)):
         return False
     own = zstandard.ZstdCompressionDict(p, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    params = zstandard.ZstdCompressionParameters.from_level(3, source_size=len(c), write_content_size=False, write_checksum=False, write_dict_id=False)
+    params = zstandard.ZstdCompressionParameters.from_level(3, source_size=len(c), dict_size=len(p), write_content_size=False, write_checksum=False, write_dict_id=False)
     added = len(zstandard.ZstdCompressor(dict_data=own, compression_params=params).compress(c))
-    return added <= FRAMING and added <= (1 - COPIED) * len(c)
+    return added <= FRAMING + CHANGED * len(c) and added <= (1 - COPIED) * len(c)
 
 
 def declines(content: str) -> bool:
     """Whether the response declines and does nothing else.
 
-    In a long one, or one with code spans or lists, nothing may be left beside refusals and courtesies;
-    the items of a list belong to the line that introduces it.
+    Nothing may be left beside refusals, courtesies and reasons; the items of a list belong to the
+    line that introduces it.
     """
     lines = [x for x in content.split("\n") if x.strip() and not terminal.HEADING.match(x)]
     plain = " ".join(lines)
-    if not REFUSAL.search((SPAN.sub("x", plain) if "`" in plain else plain).lower().replace("’", "'")):
+    if not refuses((SPAN.sub("x", plain) if "`" in plain else plain).lower().replace("’", "'")):
         return False
     items = [bool(ITEM.match(x)) for x in lines]
-    if len(plain) <= REFUSAL_LENGTH and "`" not in plain and not any(items):
-        return True
     if "```" in content:
         return False
     # Lines of a sentence that is wrapped are put together.
@@ -188,7 +205,7 @@ def declines(content: str) -> bool:
         if item and introduced:
             continue
         said = [c for c in SENTENCE.split(SPAN.sub("x", x).lower().replace("’", "'")) if WORD.search(c)]
-        refused = [bool(REFUSAL.search(c)) for c in said]
+        refused = [refuses(c) for c in said]
         if any(not r and not COURTESY.match(c) for c, r in zip(said, refused)):
             return False
         declined |= any(refused)
@@ -222,11 +239,11 @@ def other(prompt: str | None, content: str) -> str:
 
 
 def judged(responses: DataFrame, key: str = "response_id", prompt: str = "prompt", content: str = "content", at: str = "loaded_at") -> DataFrame:
-    """(key, defect, beside, unit, done), one row for each key; beside is the defect if the unit isn't cut, done says that it isn't.
+    """(key, defect, beside, unit, text_id, done), one row for each key; text_id is the hash of the content; beside is the defect if the unit isn't cut, done says that it isn't.
 
     Texts are judged where they are read; only the judgements are shuffled.
     """
-    src = responses.where(F.col(key).isNotNull()).select(key, at, prompt, content)
+    src = responses.where(F.col(key).isNotNull()).select(key, at, prompt, content, F.xxhash64(content).alias("text_id"))
 
     def make():  # noqa: ANN202
         def batch(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -235,28 +252,47 @@ def judged(responses: DataFrame, key: str = "response_id", prompt: str = "prompt
                 d, u = judge(p, c)
                 rows.append((d, other(p, c) if d == "line" else d, u))
             d, o, u = (list(x) for x in zip(*rows))
-            return pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(x, pa.string()) for x in (d, o, u)]], names=[key, at, "defect", "beside", "unit"])
+            return pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(x, pa.string()) for x in (d, o, u)], b.column(4)], names=[key, at, "defect", "beside", "unit", "text_id"])
 
         return batch
 
     kind = src.schema
-    rows = map_batches(src, make, f"{key} {kind[key].dataType.simpleString()}, {at} {kind[at].dataType.simpleString()}, defect string, beside string, unit string")
-    last = rows.groupBy(key).agg(F.max_by(F.struct("defect", "beside", "unit"), F.struct(at, "defect", "unit")).alias("_r"))
+    rows = map_batches(src, make, f"{key} {kind[key].dataType.simpleString()}, {at} {kind[at].dataType.simpleString()}, defect string, beside string, unit string, text_id long")
+    last = rows.groupBy(key).agg(F.max_by(F.struct("defect", "beside", "unit", "text_id"), F.struct(at, "defect", "unit", "text_id")).alias("_r"))
     done = F.col("_r.defect").isin("", "other_language")
     return written(last.select(key, "_r.*", done.alias("done")), "judged")
 
 
 def broken_pairs(responses: DataFrame, key: str = "response_id", prompt: str = "prompt", content: str = "content", at: str = "loaded_at") -> DataFrame:
     """(key, defect) of every broken pair."""
-    j = judged(responses, key, prompt, content, at)
+    return _broken(judged(responses, key, prompt, content, at), key).select(key, "defect")
+
+
+def _broken(j: DataFrame, key: str) -> DataFrame:
+    """(key, defect, text_id, line) of every broken pair; line says that the closing line told it."""
     cut = truncation.cut_units(j)
-    sure = j.where("defect not in ('line', '') and not (defect = 'empty' and unit <> '')").select(key, "defect")
+    sure = j.where("defect not in ('line', '') and not (defect = 'empty' and unit <> '')").select(key, "defect", "text_id", F.lit(False).alias("line"))
     asked = j.where("defect = 'line' or (defect = 'empty' and unit <> '')")
     found = asked.join(cut.withColumn("cut", F.lit(True)), "unit", "left")
     defect = F.when(F.col("cut"), "truncated").otherwise(F.col("beside"))
-    return sure.unionByName(found.select(key, defect.alias("defect")).where("defect <> ''"))
+    return sure.unionByName(found.select(key, defect.alias("defect"), "text_id", F.coalesce("cut", F.lit(False)).alias("line")).where("defect <> ''"))
 
 
 def truncated(responses: DataFrame, key: str = "response_id") -> DataFrame:
     """(key) of the responses that were cut off."""
     return broken_pairs(responses, key).where("defect = 'truncated'").select(key)
+
+
+def truncated_ways(responses: DataFrame, configs: DataFrame, key: str = "response_id", content: str = "content", at: str = "loaded_at") -> DataFrame:
+    """(key, way) of the responses that were cut off, by the first that knows it.
+
+    "prefix": the content is a strict prefix of a longer one; "line": its closing line or lone heading is one;
+    "limit": the end is open and output_tokens reach max_output_tokens of the configuration; "context": the end is open.
+    """
+    found = _broken(judged(responses, key, content=content, at=at), key).where("defect = 'truncated'")
+    longer = truncation.continued(responses.select(F.xxhash64(content).alias("id"), F.col(content).alias("text")), found.select(F.col("text_id").alias("id")))
+    used = responses.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct("config_id", "output_tokens"), F.struct(at, "config_id", "output_tokens")).alias("_u")).select(key, "_u.*")
+    limits = configs.where("config_id is not null").groupBy("config_id").agg(F.max("max_output_tokens").alias("most"))
+    full = found.select(key).join(used, key).join(limits, "config_id").where("output_tokens >= most").select(key, F.lit(True).alias("full"))
+    told = found.join(longer.select(F.col("id").alias("text_id"), F.lit(True).alias("longer")).distinct(), "text_id", "left").join(full, key, "left")
+    return told.select(key, F.when(F.col("longer"), "prefix").when(F.col("line"), "line").when(F.col("full"), "limit").otherwise("context").alias("way"))

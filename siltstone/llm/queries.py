@@ -53,7 +53,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     responses = table(spark, sf_dir, "responses")
-    return truncation.rates(defects.truncated(responses), responses, "response_id", "model")
+    return truncation.rates(defects.truncated_ways(responses, table(spark, sf_dir, "model_configs")), responses, "response_id", "model")
 
 
 @query

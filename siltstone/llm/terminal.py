@@ -90,7 +90,7 @@ def state(text: str | None) -> tuple[str, str]:
         if re.match(r"(\*\*?|__?)[^\s*_]", words) and not re.search(r"[*_]\Z", words) and words.count("*") % 2:
             return OPEN, masked(last)
         return DONE, masked(last)
-    if not LIST.match(last) and len(last) <= 100 and any(p.fullmatch(last.strip()) for p in CLOSING):
+    if not LIST.match(last) and any(p.fullmatch(last.strip()) for p in CLOSING):
         return LINE, masked(last)
     return OPEN, masked(last)
 

@@ -7,6 +7,10 @@ and only if it is one of the line that follows. Only the first line of each part
 its border. That decides the texts whose end has the form of a closing line; the terminal
 context decides the others (see terminal.py), because most cut texts have no longer copy.
 
+The same join over whole contents, of all deliveries and all keys, and the token limit of the
+model's configuration say which cut texts they know as well (ways in defects.py, rates here).
+They decide no row: a text with a finished end is complete whatever is longer or full.
+
 Defined results: null and empty texts, refusals and copies of the prompt are no cases; of
 several deliveries of one key the last one counts; a null key is no record.
 """
@@ -60,22 +64,41 @@ def _rows(values: list, kind: str, part: int = -1) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(values, pa.string()), pa.array([kind] * n, pa.string()), pa.array([part] * n, pa.int32())], names=["v", "kind", "p"])
 
 
-#: Length of the prefixes by which forms of lines are told apart.
-FORM = 8
-
-
 def cut_units(judged: DataFrame) -> DataFrame:
     """(unit): of the unfinished units of judged (see defects.judged) those that a longer unit
-    continues, or whose form, the first FORM characters, belongs to lines that end with a sentence mark."""
+    continues, or whose form, the first word, belongs to lines that mostly end with a sentence mark."""
     units = judged.select("unit", F.col("done").cast("int").alias("done")).where("unit <> ''").groupBy("unit").agg(F.max("done").alias("done"), F.count("*").alias("n"))
-    form = F.xxhash64(F.substring("unit", 1, FORM)).alias("form")
+    form = F.xxhash64(F.substring_index("unit", " ", 1)).alias("form")
     forms = units.select(form, "done", "n").groupBy("form").agg(F.sum(F.col("done") * F.col("n")).alias("done"), F.sum("n").alias("n")).where("2 * done >= n").select("form")
     open_ = units.where("done = 0").select("unit", form)
     return strict_prefixes(units.select("unit")).withColumnRenamed("value", "unit").union(open_.join(forms, "form", "left_semi").select("unit")).distinct()
 
 
+#: Lengths of the prefixes whose hashes are compared before whole texts are sorted.
+LENGTHS = (1, 4, 16, 64, 256)
+
+
+def continued(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """(id): the asked ids whose text is a strict prefix of another text; texts (id, text), asked (id).
+
+    Each text has the hashes of its prefixes of LENGTHS. Only texts that share the hash of the longest such
+    prefix of an asked text are sorted whole, so most texts are never shuffled. The empty text is no case.
+    """
+    ids = texts.where("text is not null").select("id", F.length("text").alias("n"), *[F.when(F.length("text") >= k, F.xxhash64(F.lit(k), F.substring("text", 1, k))).alias(f"h{k}") for k in LENGTHS])
+    ids = ids.dropDuplicates(["id"])
+    longest = F.coalesce(*[f"h{k}" for k in reversed(LENGTHS)]).alias("h")
+    keys = ids.join(asked.distinct(), "id", "left_semi").select(longest).where("h is not null").distinct()
+    needed = ids.select("id", F.explode(F.array_compact(F.array(*[f"h{k}" for k in LENGTHS]))).alias("h")).join(keys, "h", "left_semi").select("id").distinct()
+    found = strict_prefixes(texts.join(needed, "id", "left_semi").select("text"))
+    return found.select(F.xxhash64("value").alias("id")).join(asked.distinct(), "id", "left_semi")
+
+
 def rates(found: DataFrame, responses: DataFrame, key: str, group: str) -> DataFrame:
-    """(group, records, cut, rate): how often each source truncates; a null group is a group."""
+    """(group, records, cut, by_prefix, by_line, at_limit, by_context, rate): how often each source truncates, and what says so.
+
+    found (key, way); a null group is a group.
+    """
     own = responses.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(group, F.struct("loaded_at", group)).alias(group))
-    hit = own.join(found.select(key, F.lit(1).alias("hit")), key, "left")
-    return hit.groupBy(group).agg(F.count("*").alias("records"), F.count("hit").alias("cut")).withColumn("rate", F.col("cut") / F.col("records"))
+    hit = own.join(found.select(key, "way"), key, "left")
+    ways = [F.count_if(F.col("way") == w).alias(n) for w, n in (("prefix", "by_prefix"), ("line", "by_line"), ("limit", "at_limit"), ("context", "by_context"))]
+    return hit.groupBy(group).agg(F.count("*").alias("records"), F.count("way").alias("cut"), *ways).withColumn("rate", F.col("cut") / F.col("records"))

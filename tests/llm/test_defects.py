@@ -46,8 +46,7 @@ def test_table(spark):
     got = [tuple(r) for r in D.broken_pairs(d).collect()]
     assert sorted(got) == [(1, "truncated"), (5, "empty"), (7, "truncated"), (8, "empty")] + [] or set(got) == {(1, "truncated"), (3, "truncated"), (5, "empty"), (7, "truncated"), (8, "empty")}
     assert len(got) == len({k for k, _ in got})
-    r = truncation.rates(D.truncated(d), d, "response_id", "model").first()
-    assert r.records == 8 and abs(r.rate - r.cut / 8) < 1e-12
+    assert {k for k, x in got if x == "truncated"} == {r[0] for r in D.truncated(d).collect()}
     assert D.broken_pairs(d.where("false")).collect() == []
 
 
@@ -60,3 +59,51 @@ def test_prefixes_as_brute_force(spark):
     s = set(v)
     assert {r[0] for r in truncation.strict_prefixes(d.repartition(7)).collect()} == {x for x in s if any(y != x and y.startswith(x) for y in s)}
     assert truncation.strict_prefixes(d.where("false")).collect() == []
+
+
+def test_lines_of_any_length():
+    assert T.state("Text.\n\nTotal: " + "x" * 300)[0] == T.state("Text.\n\nTotal: x")[0] == "line"
+    assert T.state("Text.\n\n// " + "team " * 80)[0] == "line"
+
+
+def test_copies_of_any_length():
+    more = "List the technical debt around the late index, given 53 deferred sessions. "
+    whole = P + " " + " ".join(f"{more} Case {i} of `f_{i}`." for i in range(40))
+    assert D.copied(whole, P) and D.copied(whole, whole.upper() + "\n\n" + whole) and D.copied(P, " ".join([P] * 9))
+    assert not D.copied(P, "Both read `x.py` and neither writes to it.") and not D.copied("", "a") and not D.copied(P, "!!")
+    assert not D.copied(whole, P + " Both read the cache once at the start and neither of them ever writes to it again afterwards.")
+
+
+def test_keys_are_in_every_phrase():
+    """What the whole dictionary finds, its parts behind their keys find."""
+    every = D.re.compile("|".join(D.REFUSALS))
+    for t in ("i am not able to", "i'm not permitted", "i can't help", "i do not feel comfortable", "i'd rather not", "i have to pass", "it isn't possible for me", "outside what i am allowed", "something i must refuse", "das kann ich leider nicht", "ich darf das nicht", "ich muss das ablehnen", "je ne peux pas", "je dois refuser", "il ne m'est pas permis", "no me es posible", "no puedo", "debo rechazar", "não posso", "devo recusar", "я не могу", "мне не позволено", "вынуждена отказать", "必须拒绝", "all is well"):
+        assert D.refuses(t) == bool(every.search(t)), t
+
+
+def test_continued_as_brute_force(spark):
+    import random
+
+    rnd = random.Random(2)
+    v = sorted({"".join(rnd.choice("ab") for _ in range(rnd.choice([0, 1, 3, 5, 15, 16, 17, 70, 300]))) for _ in range(120)})
+    v += [x + y for x in v[::3] for y in ("a", "b" * 40)]
+    v = sorted(set(v))
+    d = spark.createDataFrame([(i, x) for i, x in enumerate(v)] + [(None, None)], "k long, text string").selectExpr("xxhash64(text) as id", "text")
+    asked = d.where("text is not null and text <> ''").where("pmod(id, 2) = 0").select("id")
+    ids = {r["id"]: r["text"] for r in d.collect()}
+    want = {i for (i,) in asked.collect() if any(x != ids[i] and x.startswith(ids[i]) for x in v)}
+    got = [r[0] for r in truncation.continued(d, asked).collect()]
+    assert set(got) == want and want
+    assert truncation.continued(d.where("false"), asked).collect() == []
+
+
+def test_ways(spark):
+    t0 = datetime(2025, 1, 1)
+    rows = [(1, 7, 10, P, "The step rewr", t0, "m"), (2, 7, 10, P, "The step rewrites the cache.", t0, "m"), (3, 7, 100, P, "Half a sen", t0, "m"), (4, None, None, P, "Half a wor", t0, None), (5, 7, 100, P, "Done.", t0, None), (6, 7, 9, P, "Text.\n\nContact: the sched", t0, "m"), (7, 7, 9, P, "Text two.\n\nContact: the scheduling team", t0, "m"), (7, 7, 9, P, "Text two.\n\nContact: the scheduling team", t0, "m")]
+    d = spark.createDataFrame(rows, "response_id long, config_id long, output_tokens long, prompt string, content string, loaded_at timestamp, model string")
+    configs = spark.createDataFrame([(7, 100), (7, 90), (None, 1)], "config_id long, max_output_tokens long")
+    found = D.truncated_ways(d, configs)
+    assert {tuple(r) for r in found.collect()} == {(1, "prefix"), (3, "limit"), (4, "context"), (6, "line")}
+    r = {x["model"]: x for x in truncation.rates(found, d, "response_id", "model").collect()}
+    assert (r["m"].records, r["m"].cut, r["m"].by_prefix, r["m"].by_line, r["m"].at_limit, r["m"].by_context) == (5, 3, 1, 1, 1, 0)
+    assert r[None].records == 2 and r[None].by_context == 1 and r[None].rate == 0.5

@@ -9,6 +9,8 @@ LONG = "I'm sorry, but I can't help with this request. " + "It would require acc
     ("content", "refusal"),
     [
         (LONG, True),
+        (LONG * 6, True),
+        ("I'm sorry, but I can't help with this. Both modules read the cache and close it.", False),
         ("I'm sorry, but I can't describe `src/cache.py`. Please contact your administrator.", True),
         ("I cannot provide the following:\n\n- the sections of `a.py`\n- its history\n\nPlease contact your administrator.", True),
         ("Es tut mir leid, aber ich kann `a.py` leider nicht beschreiben.", True),
