@@ -49,12 +49,25 @@ def bare(text: str) -> str:
     return MARKUP.sub("", BLANK.sub("", "".join(lines)))
 
 
+_LETTER = re.compile(r"[^\W_]")
+
+
+def says(text: str) -> bool:
+    """Whether bare() leaves anything."""
+    if "<!--" not in text and not text.lstrip().startswith("---"):
+        # A line with a letter or digit is enough.
+        for x in text.split("\n"):
+            if _LETTER.search(x) and not HEADING.match(x) and not FENCE.match(x):
+                return True
+    return bool(bare(text))
+
+
 def state(text: str | None) -> tuple[str, str]:
     """(state, unit): the unit is the last line, "" where no other line may continue it.
 
     A text without content is empty; if it is a lone heading, the heading is its unit.
     """
-    if text is None or not bare(text):
+    if text is None or not says(text):
         lines = [x for x in (text or "").split("\n") if x.strip()]
         return EMPTY, masked(lines[-1]) if len(lines) == 1 and HEADING.match(lines[-1]) else ""
     text = text.rstrip()

@@ -107,3 +107,8 @@ def test_ways(spark):
     r = {x["model"]: x for x in truncation.rates(found, d, "response_id", "model").collect()}
     assert (r["m"].records, r["m"].cut, r["m"].by_prefix, r["m"].by_line, r["m"].at_limit, r["m"].by_context) == (5, 3, 1, 1, 1, 0)
     assert r[None].records == 2 and r[None].by_context == 1 and r[None].rate == 0.5
+
+
+def test_says_as_bare():
+    for t in ("", "# a", "# a\nb", "```\nx", "```x\n", "--- a", "---\na: b\n---\nc", "<!-- a -->", "<!-- a --> b", "***", "!", "\u200b", "# a\n\n_ _", "١"):
+        assert T.says(t) == bool(T.bare(t)), t
