@@ -31,7 +31,7 @@ from siltstone.llm.common import map_batches
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 #: The pattern that splits text into pieces (fixed values of the public vocabulary).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-KEPT_PIECES = 200_000
+KEPT_PIECES, KEPT_PAIRS = 200_000, 1_000_000
 KEPT_LENGTH = 64
 
 
@@ -82,6 +82,8 @@ class Vocabulary:
         """
         known = self._pairs.get((a, b))
         if known is None:
+            if len(self._pairs) >= KEPT_PAIRS:
+                self._pairs.clear()
             known = self._pairs[a, b] = self._compatible(a, b)
         return known
 

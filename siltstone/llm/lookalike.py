@@ -25,12 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import map_batches
+from siltstone.session import written
 
 # Letters of other scripts beside the Latin letters that they look like.
 LATIN = "aceopxysijdhqwl" "ABEKMHOPCTXYSIJQWG" "aovipcj" "ABEZHIKMNOPTYXCJF" "ogOSLhuU"
 OTHER = "асеорхуѕіјԁһԛԝӏ" "АВЕКМНОРСТХУЅІЈԚԜԌ" "αονιρϲϳ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿϜ" "օցՕՏԼհսՍ"
 SPACES = [0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]
 INVISIBLE = [0xAD, 0x34F, 0x61C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), *range(0x2066, 0x2070), *range(0xFE00, 0xFE10), 0xFEFF, *range(0x1D173, 0x1D17B), *range(0xE0000, 0xE0080), *range(0xE0100, 0xE01F0)]
+_INVISIBLE = frozenset(INVISIBLE)
 TOP = 0x110000
 
 
@@ -199,22 +201,46 @@ def look_alike_pairs(documents: DataFrame, key: str = "doc_id", text: str = "tex
     """(doc_a, doc_b): the smaller key first; two documents whose texts differ but have one form.
 
     Only documents whose form has several spellings are joined; exact copies of one text aren't
-    paired with each other.
+    paired with each other. The fingerprints are a written table, so texts are read once.
     """
-    marks = fingerprints(documents, key, text)
-    several = marks.groupBy("form").agg(F.min("raw").alias("a"), F.max("raw").alias("b")).where("a <> b").select("form")
-    m = marks.join(several, "form", "left_semi")
+    m = _twins(documents, key, text)
     a, b = m.select("form", F.col(key).alias("doc_a"), F.col("raw").alias("ra")), m.select("form", F.col(key).alias("doc_b"), F.col("raw").alias("rb"))
     return a.join(b, "form").where("doc_a < doc_b and ra <> rb").select("doc_a", "doc_b").distinct()
 
 
+def _twins(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, raw, form) of the documents whose form has several spellings."""
+    marks = written(fingerprints(documents, key, text), "fingerprints")
+    several = marks.groupBy("form").agg(F.min("raw").alias("a"), F.max("raw").alias("b")).where("a <> b").select("form")
+    return marks.join(several, "form", "left_semi")
+
+
+def look_alike_members(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, class, spellings, links): one row for each document that has a twin; copies aren't expanded into pairs.
+
+    class is the least key of the form, links the number of pairs that the document is in.
+    """
+    m = _twins(documents, key, text)
+    spell = m.groupBy("form", "raw").agg(F.count("*").alias("copies"), F.min(key).alias("least"))
+    form = spell.groupBy("form").agg(F.sum("copies").alias("n"), F.count("*").alias("spellings"), F.min("least").alias("class"))
+    each = spell.join(form, "form").select("form", "raw", "class", "spellings", (F.col("n") - F.col("copies")).alias("links"))
+    return m.join(each, ["form", "raw"]).select(key, "class", "spellings", "links")
+
+
 def pairs_sql() -> str:
-    """The same pairs in SQL: composed, translated and composed again. The lists follow from tables()."""
-    cps = [cp for cp in range(0x80, TOP) if tables()[0][cp] != 1 or tables()[2][tables()[1][cp]] != cp]
-    forms = normalise(pa.array([chr(cp) for cp in cps])).to_pylist()
-    one = [(chr(cp), f) for cp, f in zip(cps, forms) if len(f) == 1 and f != chr(cp)]
-    none = [chr(cp) for cp, f in zip(cps, forms) if not f]
-    old, new = "".join(a for a, _ in one) + "".join(none), "".join(b for _, b in one)
+    """The same pairs in SQL: composed, translated and composed again, by lists made from the Unicode data alone."""
+    alike = str.maketrans(OTHER, LATIN)
+    old = new = ""
+    for cp in range(0x80, 0xF0000):
+        c = chr(cp)
+        if 0xD800 <= cp < 0xE000 or cp in _INVISIBLE or cp in SPACES:
+            continue
+        wide = unicodedata.decomposition(c).startswith("<wide>") or unicodedata.decomposition(c).startswith("<narrow>") and not 0xFF61 <= cp <= 0xFFDC
+        to = unicodedata.normalize("NFC", unicodedata.normalize("NFD", unicodedata.normalize("NFKC", c) if wide else c).translate(alike))
+        if len(to) == 1 and to != c:
+            old, new = old + c, new + to
+    old, new = old + "".join(map(chr, SPACES[1:])), new + " " * (len(SPACES) - 1)
+    old += "".join(map(chr, INVISIBLE))
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     return f"""WITH d AS (SELECT doc_id, text, nfc_normalize(translate(nfc_normalize(text), {quoted(old)}, {quoted(new)})) AS form FROM documents WHERE length(text) > 0)
 SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM d a JOIN d b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text"""

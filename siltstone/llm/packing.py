@@ -20,10 +20,13 @@ a rank order; every row still gets exactly one place.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm import bpe
+from siltstone.llm.common import map_batches
 from siltstone.session import written
 
 CAPACITY = 2000
@@ -76,6 +79,28 @@ def fillings(counts: dict[int, int], capacity: int) -> list[Filling]:
         out.append((sorted(picked.items(), reverse=True), times))
 
 
+class Slots:
+    """Places of items: for each size runs of ranks, and where the containers of a run begin."""
+
+    def __init__(self, slots: list[tuple[int, int, int, int, int]]) -> None:
+        """slots: (size, first rank, rank behind the last, items of a container, first container)."""
+        s = np.array(sorted(slots), np.int64).reshape(-1, 5)
+        self.size, self.first, _, self.items, self.base = s.T
+
+    def containers(self, size: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """The container of each item by its size and rank, found by halving."""
+        kinds, begin = np.unique(self.size, return_index=True)
+        end = np.append(begin[1:], len(self.size))
+        which = np.searchsorted(kinds, size)
+        low, high = begin[which].copy(), end[which].copy()  # the last run that doesn't begin behind the rank is in [low, high)
+        while (open_ := high - low > 1).any():
+            middle = (low + high) // 2
+            right = open_ & (self.first[np.minimum(middle, len(self.first) - 1)] <= rank)
+            low = np.where(right, middle, low)
+            high = np.where(open_ & ~right, middle, high)
+        return self.base[low] + (rank - self.first[low]) // self.items[low]
+
+
 def parts(items: DataFrame, capacity: int, key: str, size: str) -> DataFrame:
     """(key, part, start, n): items larger than the capacity in parts."""
     n = F.coalesce(F.col(size).cast("long"), F.lit(0))
@@ -107,10 +132,21 @@ def packed(items: DataFrame, key: str = "doc_id", size: str = "n_tokens", capaci
     offsets = some.groupBy("n", "_b").agg(F.count("*").alias("_c")).select("n", "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"))
     rank = F.row_number().over(Window.partitionBy("n", "_b").orderBy(key, "part")).cast("long") - 1
     ranked = some.withColumn("_r", rank).join(offsets, ["n", "_b"]).withColumn("_r", F.col("_r") + F.col("_o"))
-    places = spark.createDataFrame(slots or [(0, 0, 0, 1, 0)], "n long, _from long, _to long, _k long, _base long")
+    ranked = ranked.select(key, "part", "start", "n", "_r")
+    t = {f.name: f.dataType.simpleString() for f in ranked.schema}
     # Bounded by the capacity: see fillings.
-    at = ranked.join(F.broadcast(places), "n").where("_r >= _from and _r < _to")
-    placed = at.select((F.col("_base") + F.floor((F.col("_r") - F.col("_from")) / F.col("_k"))).cast("long").alias("container_id"), key, "part", "start", "n")
+    shared = spark.sparkContext.broadcast(Slots(slots))
+
+    def make():  # noqa: ANN202
+        own = shared.value
+
+        def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+            at = own.containers(b.column(3).to_numpy(), b.column(4).to_numpy())
+            return pa.RecordBatch.from_arrays([pa.array(at), *b.columns[:4]], names=["container_id", key, "part", "start", "n"])
+
+        return batch
+
+    placed = map_batches(ranked, make, f"container_id long, {key} {t[key]}, part {t['part']}, start {t['start']}, n {t['n']}")
     nothing = e.where("n <= 0").select(F.lit(None).cast("long").alias("container_id"), key, "part", "start", "n")
     return placed.unionByName(nothing)
 

@@ -96,4 +96,9 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.look_alike_pairs(table(spark, sf_dir, "documents"))
 
 
+@query
+def p10_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.look_alike_members(table(spark, sf_dir, "documents"))
+
+
 SQL["p10_found"] = lookalike.pairs_sql()

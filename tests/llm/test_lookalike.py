@@ -47,3 +47,16 @@ def test_pairs(spark):
 def test_a_third_of_the_rows_alike(spark):
     rows = [(i, "same text") for i in range(50)] + [(100, "same\u00a0text")] + [(200 + i, f"other {i}") for i in range(100)]
     assert L.look_alike_pairs(spark.createDataFrame(rows, "doc_id long, text string")).count() == 50
+
+
+def test_members_count_the_pairs(spark):
+    rows = [(1, "café"), (2, "café"), (3, "café"), (4, "cafe"), (5, "ａb"), (6, "ab"), (7, None), (8, ""), (9, "a​b"), (9, "a​b")]
+    d = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, form string, raw string")
+    links = {}
+    for a, b in L.look_alike_pairs(d).collect():
+        links.setdefault(a, set()).add(b)
+        links.setdefault(b, set()).add(a)
+    got = {r["doc_id"]: r for r in L.look_alike_members(d).collect()}
+    assert set(got) == set(links) == {1, 2, 3, 5, 6, 9}
+    assert got[1]["links"] == 2 and got[2]["links"] == 1 and got[1]["class"] == got[3]["class"] == 1 and got[6]["spellings"] == 3
+    assert L.look_alike_members(d.where("false")).collect() == []

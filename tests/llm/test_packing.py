@@ -55,3 +55,18 @@ def test_every_item_has_one_place(spark):
 
 def test_empty(spark):
     assert P.packed(spark.createDataFrame([], "doc_id long, n_tokens long")).collect() == []
+
+
+def test_slots_as_a_plain_search():
+    rnd = random.Random(4)
+    slots, base = [], 0
+    for size in (3, 7, 50):
+        first = 0
+        for _ in range(rnd.randint(1, 9)):
+            k, times = rnd.randint(1, 4), rnd.randint(1, 5)
+            slots.append((size, first, first + k * times, k, base))
+            first, base = first + k * times, base + times
+    asked = [(s, r) for s, a, b, _, _ in slots for r in range(a, b)]
+    want = [next(c + (r - a) // k for z, a, b, k, c in slots if z == s and a <= r < b) for s, r in asked]
+    got = P.Slots(rnd.sample(slots, len(slots))).containers(P.np.array([s for s, _ in asked]), P.np.array([r for _, r in asked]))
+    assert got.tolist() == want
