@@ -90,6 +90,7 @@ def test_deleted_nodes_are_opt_in(spark):
     assert ("gone", "deleted") in {(r.path, r.change_type) for r in graph.subgraph(nodes, e, ch, include_deleted=True).collect()}
 
 
+COMPLEX = 4
 CODE = '''"""Doc."""
 import os, sys as s
 from . import x
@@ -128,14 +129,51 @@ def test_python_structure():
     assert [m["name"] for m in c["methods"]] == ["p", "__repr__"] and c["methods"][0]["is_property"] and c["methods"][0]["parameters"] == []
     assert c["class_variables"] == ["v", "w"] and r["global_variables"] == ["G"] and r["has_entry_point"]
     assert [i["module"] for i in r["imports"]] == ["os", "sys", "", "a.b"] and set(r["deep_imports"]) == {"os", "sys", "a.b", "deep"}
+    assert f["complexity_hint"] == COMPLEX
     assert structure.python_file("def (")["failed"] and structure.python_file("def (\n\n")["total_lines"] == 3
 
 
 def test_pattern_structure():
-    js = structure.pattern_file("import a from 'm';\n\nexport async function go(x) {}\nclass K extends B {\n}\n", ".js")
+    js = structure.other_file("import a from 'm';\n\nexport async function go(x) {}\nclass K extends B {\n}\n", ".js")
     assert js["functions"][0]["name"] == "go" and js["functions"][0]["line_start"] == 3 and js["classes"][0]["bases"] == ["B"] and js["imports"][0]["module"] == "m"
-    assert structure.pattern_file("pub fn a(x: u8) {}", ".rs")["functions"][0]["name"] == "a"
-    assert structure.pattern_file("x", ".cjs")["language"] == "unknown"
+    assert structure.other_file("pub fn a(x: u8) {}", ".rs")["functions"][0]["name"] == "a"
+    assert structure.other_file("x", ".cjs")["language"] == "unknown"
+
+
+FLAT = """def f(a, b):
+    with a as x, b as y:
+        assert x
+        return [i for i in y], {j: 1 for j in x}
+"""
+
+
+def test_complexity_counts_branches_only():
+    n = lambda t: structure.python_file(t)["functions"][0]["complexity_hint"]
+    assert n(FLAT) == 1
+    assert n("def f(a):\n    if a and b or c:\n        pass\n    elif a:\n        pass\n    while a: a = 1 if b else 2\n") == 7
+    assert n("async def f(a):\n    async for x in a:\n        try: pass\n        except E: pass\n        except F: pass\n") == 4
+
+
+DECLARED = {
+    ".js": ("// function no() {}\nconst s = 'function no() {}';\nimport a, {\n  b } from 'm';\nimport './side';\nconst c = require(\"n\");\n\nexport async function go(x = f(1)) { return function () {} }\nexport default class K extends L.M {\n}\n", [("go", 8)], [("K", 9, ["L.M"])], ["m", "n"]),
+    ".tsx": ("import type { A } from './a'\nfunction f<T extends Map<K, V>>(x: T) {}\nexport class B<T> extends C<T> implements D, E {\n}\n", [("f", 2)], [("B", 3, ["C"])], ["./a"]),
+    ".java": ("package p;\nimport a.b.C;\nimport static a.b.D;\n/* class No { } */\npublic class A<T> extends B {\n  public A(int x) { if (x > 1) { } else if (x < 2) { } }\n  @Override\n  public static List<String> run(Map<String, int[]> a) throws X, Y {\n    return new Z(1) { };\n  }\n  int g();\n}\n", [("A", 6), ("run", 8)], [("A", 5, ["B"])], ["a.b.C"]),
+    ".go": ("package a\nimport \"fmt\"\nimport (\n\tx \"a/b\"\n\t\"c\"\n)\nfunc (t *T) F(a int) { fmt.Println(\"d\") }\nfunc G[K any]() {}\nvar h = func(x int) {}\n", [("F", 7)], [], ["fmt", "a/b", "c"]),
+    ".rs": ("// fn no() {}\npub async fn f<T: Fn(u8) -> u8>(x: T) {}\nimpl A { fn g(&self) { let c = '{'; } }\n", [("f", 2), ("g", 3)], [], []),
+    ".rb": ("def f\nend\n", [], [], []),
+}
+
+
+@pytest.mark.parametrize("ending", list(DECLARED))
+def test_declarations(ending):
+    text, functions, classes, imports = DECLARED[ending]
+    r = structure.other_file(text, ending)
+    assert [(f["name"], f["line_start"]) for f in r["functions"]] == functions
+    assert [(c["name"], c["line_start"], c["bases"]) for c in r["classes"]] == classes
+    assert [i["module"] for i in r["imports"]] == imports and all(i["is_from"] for i in r["imports"])
+    assert r["total_lines"] == text.count("\n") + 1
+    for cut in range(0, len(text), 7):
+        structure.other_file(text[:cut], ending)
 
 
 def test_compression_and_token_size(spark):
