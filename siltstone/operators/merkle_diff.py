@@ -3,7 +3,7 @@
 Every file path falls into one of 2**leaf_bits hash ranges. The digest of a range is the xor
 of its rows' hashes and their number, so it adds up in partial aggregates and from level to
 level. Two consecutive snapshots of a checkout are compared from the root down; the rows of a
-range are only compared if the range's digests differ.
+range are only compared if the range's digests differ between some snapshots.
 
 Rows are shuffled once, by checkout and range; one row for each file, with its hash as bytes.
 Duplicates, the digests of ranges, their comparison with the snapshot before and at last the
@@ -137,13 +137,15 @@ def snapshot_changes(rows: DataFrame, headers: DataFrame, leaf_bits: int | None
     small = n <= broadcast_headers
     order = ordered(headers)
     live = _placed(rows, order, leaf_bits, small)
-    leaves = changed_leaves(live, order, leaf_bits, small).groupBy("checkout", "leaf").agg(F.collect_set("pair").alias("pairs"))
-    seq, pairs = F.col("seq"), F.col("pairs")
-    as_new, as_old = F.array_contains(pairs, seq), F.array_contains(pairs, seq + 1)
-    held = live.join(leaves, ["checkout", "leaf"]).where(as_new | as_old)
+    # Where a range differs in some snapshots, its rows are the same in the others and give nothing, so the numbers of the
+    # differing pairs needn't meet the rows. Whether there is a snapshot before and after is known from the checkout.
+    leaves = changed_leaves(live, order, leaf_bits, small).select("checkout", "leaf").distinct()
+    lasts = order.groupBy("checkout").agg(F.max("seq").alias("last"))
+    seq = F.col("seq")
+    held = live.join(leaves, ["checkout", "leaf"], "left_semi").join(F.broadcast(lasts) if small else lasts, "checkout")
     w = Window.partitionBy("checkout", "leaf", "path").orderBy("seq")
     old = F.lag(F.struct("seq", "hash", "size", "lines")).over(w)
-    sides = held.select("checkout", "path", "seq", as_new.alias("as_new"), as_old.alias("as_old"), "hash", "size", "lines", old.alias("o"), F.lead("seq").over(w).alias("after"))
+    sides = held.select("checkout", "path", "seq", (seq > 1).alias("as_new"), (seq < F.col("last")).alias("as_old"), "hash", "size", "lines", old.alias("o"), F.lead("seq").over(w).alias("after"))
     o = F.col("o")
     known = F.col("hash").isNotNull() & o["hash"].isNotNull()
     differs = F.when(known, F.col("hash") != o["hash"]).otherwise(~o["size"].eqNullSafe(F.col("size")) | ~o["lines"].eqNullSafe(F.col("lines")))
