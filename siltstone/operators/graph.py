@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltstone.operators.diff import AFFECTED, CREATED, UNCHANGED
-from siltstone.session import cut
+from siltstone.session import new_table, written
 
 #: Where a module may lie, in the order in which it is looked for.
 ROOTS = ("", "src/", "lib/")
@@ -48,20 +49,27 @@ def degrees(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = ("project"
 def affected(edges: DataFrame, changed: DataFrame, keys: Sequence[str] = ("project",)) -> DataFrame:
     """(keys, path): what reaches a changed node along edges, without the changed nodes; cycles do no harm.
 
-    Frontier by frontier, until one is empty: one join and one anti-join a round, both on the key of the node, each
-    round cut by a reliable checkpoint. Nodes reached in an earlier round aren't joined again.
+    Frontier by frontier, until one is empty: one join and one anti-join a round, both on the key of the node, in one
+    job. Each round writes its frontier only, as a partition of a table in the shared folder, and reads those before
+    it; nodes reached in an earlier round aren't joined again.
     """
-    node = [*keys, "path"]
-    back = cut(edges.select(*keys, F.col("dst").alias("path"), F.col("src").alias("to")).distinct())
-    start = cut(changed.select(*node).distinct())
-    seen = frontier = start
+    spark, node = edges.sparkSession, [*keys, "path"]
+    back = written(edges.select(*keys, F.col("dst").alias("path"), F.col("src").alias("to")).distinct(), "edges")
+    table = new_table(spark, "reached")
+    schema = T.StructType(changed.select(*node).schema.fields)
+    changed.select(*node).distinct().write.parquet(f"{table}/0")
+    n = 0
     while True:
-        step = frontier.join(back, node).select(*keys, F.col("to").alias("path")).distinct()
-        frontier = cut(step.join(seen, node, "left_anti"))
-        if frontier.isEmpty():
+        rounds = [f"{table}/{i}" for i in range(n + 1)]
+        reached = Observation()
+        step = spark.read.schema(schema).parquet(rounds[-1]).join(back, node).select(*keys, F.col("to").alias("path")).distinct()
+        step = step.join(spark.read.schema(schema).parquet(*rounds), node, "left_anti")
+        n += 1
+        step.observe(reached, F.count(F.lit(1)).alias("n")).write.parquet(f"{table}/{n}")
+        if not reached.get["n"]:
             break
-        seen = cut(seen.unionByName(frontier))
-    return seen.join(start, node, "left_anti")
+    # The changed nodes themselves are those of round 0.
+    return spark.read.schema(schema).parquet(*[f"{table}/{i}" for i in range(1, n + 1)])
 
 
 def mark(nodes: DataFrame, changes: DataFrame, keys: Sequence[str] = ("project",), include_deleted: bool = False) -> DataFrame:

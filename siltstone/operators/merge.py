@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 from siltstone.operators.sections import group_key
 from siltstone.session import ship, written
@@ -117,6 +119,7 @@ def similar_pairs(versions: DataFrame, by: Sequence[str], threshold: float = THR
     cells = cells.select(*by, "p", "q", "own", "h", "first", "last", "c")
     names = [*by, "h1", "h2", "first1", "last2", "similarity"]
     order = cells.schema["first"].dataType.simpleString()
+    place_type = to_arrow_type(_parse_datatype_string(order))
     schema = ", ".join([*(f"`{c}` {cells.schema[c].dataType.simpleString()}" for c in by), "h1 long", "h2 long", f"first1 {order}", f"last2 {order}", "similarity double"])
 
     def judged(t: pa.Table) -> pa.Table:
@@ -126,7 +129,8 @@ def similar_pairs(versions: DataFrame, by: Sequence[str], threshold: float = THR
         a, b = np.nonzero(place == p)[0], np.nonzero(place == q)[0]
         found = list(similar(t["c"].to_pylist(), [(a, a)] if p == q else [(a, b), (b, a)], lambda i, j: first[i] < last[j], threshold))
         i, j = (pa.array([x[k] for x in found], pa.int64()) for k in (0, 1))
-        return pa.table([*(t[c].take(i) for c in by), t["h"].take(i), t["h"].take(j), t["first"].take(i), t["last"].take(j), pa.array([x[2] for x in found], pa.float64())], names=names)
+        places = (pa.array(t[c].take(k).to_pylist(), place_type) for c, k in (("first", i), ("last", j)))
+        return pa.table([*(t[c].take(i) for c in by), t["h"].take(i), t["h"].take(j), *places, pa.array([x[2] for x in found], pa.float64())], names=names)
 
     return cells.groupBy(*by, "p", "q").applyInArrow(judged, schema)
 

@@ -10,6 +10,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -37,12 +38,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and intermediate tables, which all executors share.
 
-    It is spark.checkpoint.dir where the cluster names one. Only where that is unset,
-    as in local tests, a folder of this machine is used.
+    It is spark.checkpoint.dir where the cluster names one, else the folder that the context was
+    given. Only where both are unset and the session is local, as in tests, a folder of this machine
+    is used; elsewhere that is an error, since executors don't share one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    given = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if given.isDefined():
+        return given.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return "file://" + os.path.join(tempfile.gettempdir(), f"siltstone-{os.getuid()}")
 
 
@@ -56,11 +63,38 @@ def cut(df: DataFrame) -> DataFrame:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table written to the shared folder and read back."""
-    path = f"{shared_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
+    path = new_table(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def new_table(spark: SparkSession, name: str) -> str:
+    """The path of a table in the shared folder, which is removed when the driver ends."""
+    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    place, fs = _place(spark, path)
+    fs.deleteOnExit(place)
+    return path
+
+
+def _place(spark: SparkSession, path: str) -> tuple:
+    """(path, file system) of Hadoop."""
+    sc = spark.sparkContext
+    place = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(sc._jsc.hadoopConfiguration())
+
+
+def claim(spark: SparkSession, path: str) -> bool:
+    """Makes an empty file; False if there is one already. Of several callers one succeeds."""
+    place, fs = _place(spark, path)
+    try:
+        fs.create(place, False).close()
+    except Py4JJavaError as e:
+        if fs.exists(place):
+            return False
+        raise e
+    return True
+
+
 def ship(spark: SparkSession) -> None:
     """Let the executors' Python workers import this package, wherever it lies on the driver."""
     sc = spark.sparkContext

@@ -1,6 +1,6 @@
 """Tables of snapshots and documents in a folder: appended, never rewritten.
 
-A snapshot is a partition of its own, written over as a whole if it is saved again. The
+A snapshot of a project is a partition of its own, written over as a whole if it is saved again. The
 latest one is that of the greatest time among the headers, so there is no pointer that could
 be left behind.
 """
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 from datetime import datetime
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from pyspark.sql.utils import AnalysisException
 
 from siltstone.functions import text as T
 from siltstone.operators.running import running
+from siltstone.session import claim
 
 SNAPSHOT = "project string, path string, hash string, size bigint, lines bigint, snapshot_id string"
 HEADER = "project string, snapshot_id string, taken_at timestamp, doc_id string"
@@ -37,10 +39,14 @@ class Store:
     # snapshots
 
     def save_snapshot(self, snapshot: DataFrame, project: str, snapshot_id: str, taken_at: datetime, doc_id: str | None = None) -> None:
-        cols = ["project", "path", "hash", "size", "lines", "snapshot_id"]
-        own = snapshot.withColumn("snapshot_id", F.lit(snapshot_id)).select(*cols)
-        own.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_id").parquet(f"{self.root}/snapshot")
-        self.spark.createDataFrame([(project, snapshot_id, taken_at, doc_id)], HEADER).coalesce(1).write.mode("append").parquet(f"{self.root}/snapshots")
+        own = snapshot.withColumn("project", F.lit(project)).withColumn("snapshot_id", F.lit(snapshot_id))
+        self.save_snapshots(own, self.spark.createDataFrame([(project, snapshot_id, taken_at, doc_id)], HEADER))
+
+    def save_snapshots(self, rows: DataFrame, headers: DataFrame) -> None:
+        """Snapshots of any projects at once; a project's snapshot is written over if it is saved again, others aren't touched."""
+        out = rows.select("path", "hash", "size", "lines", "project", "snapshot_id")
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project", "snapshot_id").parquet(f"{self.root}/snapshot")
+        headers.select(*[c.split()[0] for c in HEADER.split(", ")]).coalesce(1).write.mode("append").parquet(f"{self.root}/snapshots")
 
     def headers(self) -> DataFrame:
         """One header for each snapshot: the one saved last holds."""
@@ -51,13 +57,23 @@ class Store:
         row = self.headers().where(F.col("project") == project).agg(F.max_by("snapshot_id", F.struct("taken_at", "snapshot_id")).alias("s")).first()
         return row["s"] if row else None
 
-    def load_snapshot(self, snapshot_id: str) -> DataFrame:
-        """The rows of one snapshot; other partitions aren't read."""
-        return _read(self.spark, f"{self.root}/snapshot", SNAPSHOT).where(F.col("snapshot_id") == snapshot_id)
+    def latest_of_each(self) -> DataFrame:
+        """(project, snapshot_id, taken_at): the latest snapshot of each project."""
+        last = F.max(F.struct("taken_at", "snapshot_id")).alias("_l")
+        return self.headers().groupBy("project").agg(last).select("project", "_l.snapshot_id", "_l.taken_at")
+
+    def snapshots(self) -> DataFrame:
+        """The rows of all snapshots, partitioned by project and snapshot_id."""
+        return _read(self.spark, f"{self.root}/snapshot", SNAPSHOT)
+
+    def load_snapshot(self, snapshot_id: str, project: str | None = None) -> DataFrame:
+        """The rows of one snapshot, of one project or of all that have its id; other partitions aren't read."""
+        own = self.snapshots().where(F.col("snapshot_id") == snapshot_id)
+        return own if project is None else own.where(F.col("project") == project)
 
     def load_latest_snapshot(self, project: str) -> DataFrame | None:
         s = self.latest(project)
-        return None if s is None else self.load_snapshot(s).where(F.col("project") == project)
+        return None if s is None else self.load_snapshot(s, project)
 
     # sessions held back
 
@@ -83,9 +99,11 @@ class Store:
         return _read(self.spark, f"{self.root}/docs", DOC)
 
     def save_doc(self, project: str, content: str, saved_at: datetime, session_type: str, model: str, files_analyzed: int) -> str:
-        """Append a document under the next number of its project; gives its id."""
+        """Append a document under the next number of its project; gives its id. Writers at one time get different numbers."""
         own = self.docs().where(F.col("project") == project)
         n = (own.agg(F.max("doc_ord").alias("n")).first()["n"] or 0) + 1
+        while not claim(self.spark, f"{self.root}/numbers/{quote(project, safe='')}/{n}"):
+            n += 1
         doc_id = f"pd_{n:03d}"
         row = [(project, doc_id, n, f"docs/{doc_id}.md", saved_at, session_type, model, files_analyzed, content)]
         df = self.spark.createDataFrame(row, "project string, doc_id string, doc_ord bigint, path string, saved_at timestamp, session_type string, model string, files_analyzed bigint, content string")

@@ -17,6 +17,41 @@ from siltstone.streaming import deferral
 SIDE = "project string, path string, hash string, lines long"
 
 
+def test_snapshots_of_two_projects_with_one_id(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    rows = spark.createDataFrame([("x", "a.py", "1", 1, 1)], "project string, path string, hash string, size long, lines long")
+    for p, n in (("A", 1), ("B/ü", 2)):
+        store.save_snapshot(rows.withColumn("path", F.lit(p)), p, "s1", datetime(2025, 1, n))
+    store.save_snapshot(rows.withColumn("path", F.lit("b2")), "B/ü", "s1", datetime(2025, 1, 3))
+    assert {(r.project, r.path) for r in store.load_snapshot("s1").collect()} == {("A", "A"), ("B/ü", "b2")}
+    assert [r.path for r in store.load_latest_snapshot("A").collect()] == ["A"]
+    assert {(r.project, r.snapshot_id) for r in store.latest_of_each().collect()} == {("A", "s1"), ("B/ü", "s1")}
+
+
+def test_writers_at_one_time_get_different_numbers(spark, tmp_path, monkeypatch):
+    a, b = (Store(spark, str(tmp_path / "store")) for _ in range(2))
+    first = a.save_doc("p/q", "x", datetime(2025, 1, 1), "minor", "m", 1)
+    # The second writer still sees an empty table.
+    monkeypatch.setattr(b, "docs", lambda: a.docs().where("false"))
+    assert [first, b.save_doc("p/q", "y", datetime(2025, 1, 1), "minor", "m", 1)] == ["pd_001", "pd_002"]
+
+
+def test_a_cluster_must_name_a_shared_folder():
+    from unittest.mock import MagicMock
+
+    from siltstone.session import shared_dir
+
+    s = MagicMock()
+    s.conf.get.return_value = None
+    s.sparkContext._jsc.sc().getCheckpointDir().isDefined.return_value = False
+    s.sparkContext.master = "spark://x:7077"
+    with pytest.raises(ValueError):
+        shared_dir(s)
+    s.sparkContext._jsc.sc().getCheckpointDir().isDefined.return_value = True
+    s.sparkContext._jsc.sc().getCheckpointDir().get.return_value = "hdfs://x/y"
+    assert shared_dir(s) == "hdfs://x/y"
+
+
 def test_compare_and_totals(spark):
     old = spark.createDataFrame([("p", "same", "1", 5), ("p", "mod", "1", 10), ("p", "gone", "1", 7), ("p", "unread", "", 1), ("p", "null", None, 1)], SIDE)
     new = spark.createDataFrame([("p", "same", "1", 5), ("p", "mod", "2", 4), ("p", "new", "1", 300), ("p", "unread", "", 1), ("p", "null", "", 1)], SIDE)
