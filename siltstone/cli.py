@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from siltstone import __version__, config, model
 from siltstone.functions import text as T
-from siltstone.operators import classify, compress, diff, graph, merge, prompt, sections, structure, validate
-from siltstone.operators.budget import prefix
-from siltstone.session import local_session
+from siltstone.operators import budget, classify, compress, diff, graph, merge, prompt, structure, validate
+from siltstone.operators import sections as sections_of
+from siltstone.session import local_session, written
 from siltstone.sources import scan
 from siltstone.sources.store import Store
 from siltstone.streaming import deferral
@@ -28,6 +28,7 @@ class Pipeline:
         self.project = conf.project.name
         self.store = Store(spark, str(Path(root) / config.FOLDER / "store"))
         self.now = clock or datetime.now(timezone.utc)
+        self.problems: list[tuple] = []  # what validation says of the text generated last
         f = conf.focus
         self.files = scan.scan_project(spark, root, f.include_patterns, f.exclude_patterns, self.project)
 
@@ -58,14 +59,19 @@ class Pipeline:
         files = scan.code_files(self.files)
         if scope is not None:
             files = files.join(scope.select("path").distinct(), "path", "left_semi")
-        payloads = compress.json_sizes(compress.files(structure.parse(files), skip_trivial=self.conf.focus.skip_trivial))
+        payloads = compress.files(structure.parse(files), verbose=self.conf.output.compression == "verbose", skip_trivial=self.conf.focus.skip_trivial)
         first = classified.select("project", "session_type", "input_token_budget")
-        sized = payloads.join(F.broadcast(first), "project")
-        kept = prefix(sized, ["project"], ["path"], "json_size", F.col("input_token_budget"), F.lit(len(self.conf.template_sections))).where("kept")
+        limit = first.first()["input_token_budget"]  # a pipeline is of one project
+        sections = self.conf.template_sections
+        kept = written(budget.trimmed(compress.sized(payloads), ["project"], ["path"], [(s.id, s.priority) for s in sections], limit), "trimmed")
+        found = kept.agg(F.max("stage").alias("stage")).first()["stage"]
+        # Without any row that is kept only the sections count.
+        stage = found if found is not None else next((i for i, p in enumerate(budget.PRIORITY) if budget.SECTION_TOKENS * sum(s.priority <= p for s in sections) <= limit), 4)
+        sections = [s for s in sections if s.priority <= budget.PRIORITY[stage]]
         body = prompt.payload_json(kept, ["project"], ["path"])
         body = first.join(body, "project", "left").withColumn("payload", F.coalesce("payload", F.lit("[]"))).withColumn("n_files", F.coalesce("n_files", F.lit(0)))
         texts = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
-        return prompt.generation_prompt(body, self.conf.template_sections, F.col("project"), F.col("payload"), F.col("session_type"), texts(self.conf.focus.highlight), texts(deferred or []))
+        return prompt.generation_prompt(body, sections, F.col("project"), F.col("payload"), F.col("session_type"), texts(self.conf.focus.highlight), texts(deferred or []))
 
     def generate(self, call: model.Call | None = None, force: bool = False, dry_run: bool = False, auto_flush: bool = False, only_changed: bool = False) -> str | None:
         """Writes a document and the snapshot it describes; gives the document's id.
@@ -99,12 +105,13 @@ class Pipeline:
             edges = graph.resolve(structure.imports(structure.parse(self.files)), self.files)
             scope = graph.subgraph(self.files, edges, changes)
         row = model.generate_all(self.prompts(kind, scope, deferred), self.conf.model, call).first()
+        self.problems = [tuple(r) for r in self.warnings(row["content"]).drop("doc_id").collect()]  # of one text
         docs = self.spark.createDataFrame([(self.project, row["content"])], "project string, text string")
         heads = self.spark.createDataFrame(
             [(self.project, row["model"], row["session_type"], row["n_files"], row["input_tokens"], row["output_tokens"], self.now)],
             "project string, model string, session_type string, files_analyzed bigint, input_tokens bigint, output_tokens bigint, saved_at timestamp",
         )
-        text = prompt.formatted(sections.for_output(docs, ["project"]), ["project"], heads).first()["document"]
+        text = prompt.formatted(sections_of.for_output(docs, ["project"]), ["project"], heads).first()["document"]
         doc_id = self.store.save_doc(self.project, text, self.now, row["session_type"], row["model"], row["n_files"])
         self.store.save_snapshot(snap, self.project, sid, self.now, doc_id)
         return doc_id
@@ -114,7 +121,7 @@ class Pipeline:
         return validate.warnings(docs, ["doc_id"], [s.name for s in self.conf.template_sections], self.files.select("path"))
 
     def merge_local(self) -> str:
-        found = sections.extract(self.store.load_all_docs(self.project), ["project", "doc_ord", "doc_id"], "content")
+        found = sections_of.extract(self.store.load_all_docs(self.project), ["project", "doc_ord", "doc_id"], "content")
         row = merge.merged_document(found).first()
         return row["document"] if row else "# No documentation found\n"
 
@@ -122,10 +129,10 @@ class Pipeline:
         """The documents' summaries merged by a model call."""
         docs = self.store.load_all_docs(self.project)
         keys = ["project", "doc_ord", "doc_id"]
-        parts = sections.summaries(sections.extract(docs, keys, "content"), keys)
+        parts = sections_of.summaries(sections_of.extract(docs, keys, "content"), keys)
         item = F.struct("sec_ord", "heading", "words", "content")
         body = parts.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(x["heading"].alias("heading"), x["words"].alias("words"), x["content"].alias("content"))).alias("sections"))
-        front = sections.front_matter(docs, keys, "content").withColumnRenamed("generated", "timestamp")
+        front = sections_of.front_matter(docs, keys, "content").withColumnRenamed("generated", "timestamp")
         whole = front.join(body, keys, "left").select("project", "doc_ord", F.to_json(F.struct("doc_id", "session_type", "timestamp", "sections")).alias("summary"))
         prompts = prompt.merge_prompt(whole, ["project"], ["doc_ord"], F.col("project"))
         out = model.generate_all(prompts, self.conf.model, call)
@@ -162,14 +169,24 @@ def main(argv: list[str] | None = None) -> int:
         run = Pipeline(local_session(), str(Path(args.root).resolve()), conf)
         if args.command == "generate":
             print(run.generate(force=args.force, dry_run=args.dry_run, auto_flush=args.auto_flush, only_changed=args.only_changed) or "nothing written")
+            for problem in run.problems:
+                print("warning:", *problem, file=sys.stderr)
         elif args.command == "merge":
             text = run.merge_local() if args.local else run.merge_with_model()
-            Path(args.output).write_text(text, encoding="utf-8") if args.output else print(text)
+            target = Path(args.output or Path(args.root) / config.FOLDER / "DOCUMENTATION.md")
+            target.parent.mkdir(parents=True, exist_ok=True)
+            target.write_text(text, encoding="utf-8")
+            print(target)
         elif args.command == "status":
             from siltstone.sources.store import manifest
 
-            for r in manifest(run.store.docs()).collect():
-                print(r["project"], r["total_docs"], r["last_doc_id"], r["merge_state"])
+            own = run.store.docs().where(F.col("project") == conf.project.name)
+            m = manifest(own).first()
+            rows = [("Project", conf.project.name), ("Language", conf.project.language), ("Model", conf.model.model_name), ("Documents", m["total_docs"] if m else 0), ("Last document", m["last_doc_id"] if m else "-"), ("Merge state", m["merge_state"] if m else "none"), ("Cadence", conf.cadence.n_value), ("Trigger", conf.cadence.trigger)]
+            for name, value in rows:
+                print(f"{name}: {value}")
+            for r in own.select("doc_id", "session_type", "model", "files_analyzed", T.display_time(F.col("saved_at")).alias("at")).orderBy("doc_ord").toLocalIterator():
+                print(*r, sep="\t")
         elif args.command == "diff":
             found = run.changes()
             if found is None:

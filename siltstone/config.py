@@ -8,6 +8,7 @@ from typing import Any
 
 import yaml
 
+# What settings may be.
 PROJECT_TYPES = ("web_app", "api", "cli", "library", "research", "mobile", "fullstack", "data_pipeline")
 PHASE_STYLES = ("phased", "continuous")
 TRIGGERS = ("manual", "file_watch", "time_interval", "commit_count")
@@ -172,17 +173,55 @@ def to_dict(config: Config) -> dict[str, Any]:
     return plain(asdict(config))
 
 
-# Named settings: what differs from the defaults.
-_ALL_CODE = ["**/*.py", "**/*.ts", "**/*.tsx", "**/*.js", "**/*.jsx"]
+# Named settings. Limits of tokens, names and priorities of sections, patterns.
+_SKIP = ["__pycache__/**", ".git/**", f"{FOLDER}/**", ".venv/**"]
+_PLAIN = ["**/*.py", "*.yaml", "*.toml"]
+_FORM = {s.id: (s.format, s.depth) for s in SECTIONS}
+
+
+def _sections(*named: tuple[str, str, int]) -> list[dict[str, Any]]:
+    """Sections (id, name, priority) in the form and depth of the default ones."""
+    return [{"id": i, "name": n, "priority": p, "format": _FORM[i][0], "depth": _FORM[i][1]} for i, n, p in named]
+
+
+def _preset(kind: str, tokens: tuple[int, int], most: int, every: int, sections: list[dict[str, Any]], include: list[str], exclude: list[str], language: str = "python", style: str = "continuous", compression: str = "balanced") -> dict[str, Any]:
+    return {
+        "project": {"language": language, "type": kind, "phase_style": style},
+        "cadence": {"n_value": every},
+        "model": {"max_input_tokens": tokens[0], "max_output_tokens": tokens[1]},
+        "template_sections": sections,
+        "focus": {"include_patterns": include, "exclude_patterns": exclude},
+        "output": {"compression": compression, "max_doc_tokens": most},
+    }
+
+
+_STATUS, _WHY, _QUICK = ("status", "Phase Execution Summary", 1), ("decisions", "Decision Rationale", 1), ("commands", "Quick Reference", 1)
+_EDGES, _NOTES, _DEBT = ("edge_cases", "Edge Cases & Error Handling", 2), ("interview", "Interview & Learning Notes", 3), ("debt", "Technical Debt", 3)
 PRESETS: dict[str, dict[str, Any]] = {
-    "minimal": {"template_sections": [{"id": "status", "name": "Summary", "priority": 1, "format": "table"}, {"id": "commands", "name": "Quick Reference", "priority": 1, "format": "code_blocks"}]},
-    "cli_tool": {"project": {"type": "cli"}, "cadence": {"n_value": 3}},
-    "python_api": {"project": {"type": "api"}, "focus": {"highlight": ["**/routes/**", "**/models/**"]}},
-    "data_pipeline": {"project": {"type": "data_pipeline"}, "focus": {"include_patterns": ["**/*.py", "**/*.sql", "**/*.yaml"]}},
-    "ml_research": {"project": {"type": "research", "phase_style": "phased"}, "focus": {"include_patterns": ["**/*.py", "**/*.yaml"]}},
-    "react_frontend": {"project": {"type": "web_app", "language": "typescript"}, "focus": {"include_patterns": _ALL_CODE[1:]}},
-    "fullstack": {"project": {"type": "fullstack"}, "focus": {"include_patterns": _ALL_CODE}},
-}
+    "minimal": _preset("library", (1500, 2000), 3000, 7, _sections(("architecture", "Code Architecture", 1), ("decisions", "Key Decisions", 1), _QUICK), ["**/*.py"], ["tests/**", *_SKIP], compression="minimal"),
+    "cli_tool": _preset("cli", (2000, 3000), 5000, 3, _sections(("status", "Implementation Status", 1), ("architecture", "Command Structure", 1), _WHY, ("logic", "Command Logic & I/O", 2), ("data_flow", "Data Flow", 2), _QUICK), _PLAIN, ["tests/**", *_SKIP]),
+    "python_api": _preset("api", (3000, 5000), 8000, 5, _sections(_STATUS, ("architecture", "Code Architecture", 1), _WHY, ("logic", "Component Logic", 2), ("data_flow", "API Endpoints & Data Flow", 1), _EDGES, _NOTES, _DEBT, _QUICK), _PLAIN, ["tests/**", "*.lock", *_SKIP, "venv/**"]),
+    "data_pipeline": _preset(
+        "data_pipeline", (2500, 4000), 6000, 3,
+        _sections(("status", "Pipeline Status", 1), ("architecture", "Pipeline Architecture", 1), _WHY, ("logic", "ETL & Transformation Logic", 1), ("data_flow", "Data Flow & Schema", 1), ("edge_cases", "Edge Cases & Data Validation", 2), _QUICK),
+        ["**/*.py", "**/*.sql", "*.yaml", "*.toml"], ["tests/**", *_SKIP],
+    ),
+    "ml_research": _preset(
+        "research", (3500, 6000), 8000, 3,
+        _sections(("status", "Experiment Status", 1), ("architecture", "Model Architecture & Training Pipeline", 1), ("decisions", "Design Decisions & Hypotheses", 1), ("logic", "Training Loop & Loss Functions", 1), ("data_flow", "Data Pipeline & Metrics Flow", 2), ("edge_cases", "Edge Cases & Failure Modes", 2), ("interview", "Interview & Learning Notes", 2), _QUICK),
+        [*_PLAIN, "**/*.json"], ["data/**", "checkpoints/**", "wandb/**", *_SKIP], style="phased",
+    ),
+    "react_frontend": _preset(
+        "web_app", (3000, 5000), 8000, 5,
+        _sections(_STATUS, ("architecture", "Component Hierarchy", 1), _WHY, ("logic", "State Management & Hooks", 1), ("data_flow", "Props & Data Flow", 2), ("edge_cases", "Edge Cases & Error Boundaries", 2), _NOTES, _QUICK),
+        [*(f"src/**/*.{e}" for e in ("js", "jsx", "ts", "tsx")), "*.json"], ["node_modules/**", "build/**", "dist/**", ".git/**", f"{FOLDER}/**", "*.lock"], language="javascript",
+    ),
+    "fullstack": _preset(
+        "fullstack", (4000, 8000), 10000, 5,
+        _sections(_STATUS, ("architecture", "Code Architecture (Backend + Frontend)", 1), _WHY, ("logic", "Component Logic", 2), ("data_flow", "API ↔ Frontend Data Flow", 1), _EDGES, _NOTES, _DEBT, _QUICK),
+        ["**/*.py", *(f"**/*.{e}" for e in ("js", "jsx", "ts", "tsx")), "*.yaml", "*.toml", "*.json"], ["tests/**", "node_modules/**", "build/**", "dist/**", "__pycache__/**", ".git/**", f"{FOLDER}/**", "*.lock", ".venv/**"],
+    ),
+}
 
 
 def list_presets() -> list[str]:

@@ -85,3 +85,16 @@ def hedging_count(text: Column, words: tuple[str, ...]) -> Column:
 
 def signed(n: Column) -> Column:
     return F.when(n > 0, F.concat(F.lit("+"), n.cast("string"))).otherwise(n.cast("string"))
+
+
+def display_time(at: Column) -> Column:
+    """A time as its first 19 characters in ISO form."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def percent(share: Column) -> Column:
+    return F.format_string("%.0f%%", share * 100)
+
+
+def one_place(x: Column) -> Column:
+    return F.format_string("%.1f", x.cast("double"))

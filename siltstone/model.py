@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import os
 import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -35,7 +39,59 @@ def stub(system: str, user: str, model: Model) -> Response:
     return Response(text, model.model_name, (len(system) + len(user)) // 4, len(text) // 4)
 
 
-#: The calls by tier and provider; programs with a network put theirs here.
+def _post(url: str, body: dict, headers: dict[str, str], timeout: float) -> dict:
+    request = urllib.request.Request(url, json.dumps(body).encode(), {"content-type": "application/json", **headers})
+    try:
+        with urllib.request.urlopen(request, timeout=timeout) as r:  # noqa: S310 - the caller's own address
+            return json.loads(r.read())
+    except urllib.error.HTTPError:
+        raise
+    except urllib.error.URLError as e:
+        raise ConnectionError(f"no answer from {url}: {e.reason}") from e
+
+
+def _key(model: Model) -> str:
+    key = os.environ.get(model.api_key_env or "", "")
+    if not key:
+        raise OSError(f"the environment has no {model.api_key_env or 'name of a key'}")
+    return key
+
+
+def chat_call(url: str, timeout: float = 300.0) -> Call:
+    """A call of a chat service with a key: roles and choices."""
+
+    def call(system: str, user: str, model: Model) -> Response:
+        messages = [{"role": "system", "content": system}, {"role": "user", "content": user}]
+        r = _post(url, {"model": model.model_name, "max_tokens": model.max_output_tokens, "messages": messages}, {"authorization": f"Bearer {_key(model)}"}, timeout)
+        first, used = r["choices"][0], r.get("usage") or {}
+        return Response(first["message"]["content"] or "", model.model_name, used.get("prompt_tokens", 0), used.get("completion_tokens", 0), first.get("finish_reason") or "")
+
+    return call
+
+
+def messages_call(url: str, version: str, timeout: float = 300.0) -> Call:
+    """A call of a message service with a key: the system text apart, blocks of content back."""
+
+    def call(system: str, user: str, model: Model) -> Response:
+        body = {"model": model.model_name, "max_tokens": model.max_output_tokens, "system": system, "messages": [{"role": "user", "content": user}]}
+        r = _post(url, body, {"x-api-key": _key(model), "version": version}, timeout)
+        used = r.get("usage") or {}
+        return Response("".join(x.get("text", "") for x in r["content"]), model.model_name, used.get("input_tokens", 0), used.get("output_tokens", 0), r.get("stop_reason") or "")
+
+    return call
+
+
+def local_call(url: str, timeout: float = 300.0) -> Call:
+    """A call of a model server on this machine, without streaming; no answer is a ConnectionError."""
+
+    def call(system: str, user: str, model: Model) -> Response:
+        r = _post(url, {"model": model.model_name, "system": system, "prompt": user, "stream": False, "options": {"num_predict": model.max_output_tokens}}, {}, timeout)
+        return Response(r.get("response", ""), model.model_name, r.get("prompt_eval_count", 0), r.get("eval_count", 0), r.get("done_reason") or "stop")
+
+    return call
+
+
+#: The calls by tier and provider; programs with a network put theirs here, made by chat_call, messages_call or local_call.
 CALLS: dict[tuple[str, str], Call] = {("local", "stub"): stub}
 
 

@@ -30,6 +30,26 @@ def prefix(sized: DataFrame, by: Sequence[str], order: Sequence[str], size: str,
     return r.withColumn("running_tokens", tokens.cast("long")).withColumn("kept", F.col("running_tokens") <= budget).drop("row_number", "running_sum")
 
 
+#: The least priority of the sections that each stage keeps.
+PRIORITY = (3, 2, 1, 1, 1)
+
+
+def trimmed(sized: DataFrame, by: Sequence[str], order: Sequence[str], sections: Sequence[tuple[str, int]], budget: int, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """(by, order, payload, stage, sections_kept): the rows that each group keeps, by the first stage that fits.
+
+    sized is that of compress.sized(); sections are (id, priority). From stage 3 on payloads are without documentation,
+    at stage 4 a group keeps the longest prefix of its rows that fits, which may be none.
+    """
+    table = sized.sparkSession.createDataFrame([*sections] or [("", 0)], "id string, priority int").where("id <> ''")
+    chosen = stages(sized, by, "json_size", "bare_size", table, F.lit(budget)).select(*by, "stage", "sections_kept")
+    firsts = sum(p <= 1 for _, p in sections)
+    chosen = chosen.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], "stage", "sections_kept")
+    same = [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)]
+    rows = prefix(sized, by, order, "bare_size", F.lit(budget), F.lit(firsts), group_rows).join(chosen, same)
+    rows = rows.where("stage < 4 or kept").withColumn("payload", F.when(F.col("stage") < 3, F.to_json("payload")).otherwise(F.to_json("bare_payload")))
+    return rows.select(*by, *order, "payload", "stage", "sections_kept")
+
+
 def stages(sized: DataFrame, by: Sequence[str], size: str, bare_size: str, sections: DataFrame, budget: Column) -> DataFrame:
     """(by, n_files, tokens, bare_tokens, stage, sections_kept): the stage each group needs, from 0 to 4.
 

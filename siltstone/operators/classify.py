@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -52,6 +53,11 @@ def classify(metrics: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return with_budgets(out).withColumn("should_defer", F.col("session_type") == "trivial")
 
 
+def classify_session(metrics: DataFrame, limits: Limits = Limits(), model: Callable[[DataFrame, Limits], DataFrame] | None = None) -> DataFrame:
+    """The classes by a small model if one is given, which may itself end in the rules; else by the rules."""
+    return (model or classify)(metrics, limits)
+
+
 def with_budgets(df: DataFrame) -> DataFrame:
     """df with the budgets of its session_type; five rows, so the join is a broadcast."""
     spark = df.sparkSession

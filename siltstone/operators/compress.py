@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as TP
 
 from siltstone.functions import text as T
 
@@ -98,21 +99,43 @@ def files(parsed: DataFrame, keep: tuple[str, ...] = ("project",), verbose: bool
     return out.select(*keep, "path", F.struct(*fields).alias("payload"))
 
 
+#: Fields of documentation, which a tight budget leaves out.
+DOCS = ("doc", "module_doc", "globals")
+
+
+def bare(payload: Column, kind: TP.DataType) -> Column:
+    """A payload of this type without its fields of documentation, at any depth."""
+    if isinstance(kind, TP.StructType):
+        parts = [bare(payload[f.name], f.dataType).alias(f.name) for f in kind.fields if f.name not in DOCS]
+        return F.when(payload.isNotNull(), F.struct(*parts))
+    if isinstance(kind, TP.ArrayType):
+        return F.transform(payload, lambda x: bare(x, kind.elementType))
+    return payload
+
+
+def sized(payloads: DataFrame) -> DataFrame:
+    """payloads with json_size, bare_payload and bare_size."""
+    kind = payloads.schema["payload"].dataType
+    both = json_sizes(payloads).withColumn("bare_payload", bare(F.col("payload"), kind))
+    has_docs = any(f'"{d}"' in kind.json() for d in DOCS)
+    return json_sizes(both, "bare_payload", "bare_size") if has_docs else both.withColumn("bare_size", F.col("json_size"))
+
+
 def _without_nulls(x: object) -> object:
     if isinstance(x, dict):
         return {k: _without_nulls(v) for k, v in x.items() if v is not None}
     return [_without_nulls(v) for v in x] if isinstance(x, list) else x
 
 
-def json_sizes(payloads: DataFrame, column: str = "payload") -> DataFrame:
-    """payloads with json_size, the characters of the indented ASCII JSON of one element of a list, indented by two."""
+def json_sizes(payloads: DataFrame, column: str = "payload", name: str = "json_size") -> DataFrame:
+    """payloads with a column, the characters of the indented ASCII JSON of one element of a list, indented by two."""
 
     @F.pandas_udf("long")
     def size(s: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for x in s:
             yield x.map(lambda t: sum(len(y) + 3 for y in json.dumps(json.loads(t), indent=2).split("\n")) - 1)
 
-    return payloads.withColumn("json_size", size(F.to_json(column)))
+    return payloads.withColumn(name, size(F.to_json(column)))
 
 
 def estimate_tokens(size: Column) -> Column:

@@ -75,5 +75,14 @@ def of_type(changes: DataFrame, *kinds: str) -> DataFrame:
     return changes.where(F.col("change_type").isin(*(kinds or CHANGES)))
 
 
+def total_changes(changes: DataFrame) -> int:
+    return changes.where(F.col("change_type").isin(*CHANGES)).count()
+
+
+def affected_paths(nodes: DataFrame) -> DataFrame:
+    """The paths of a subgraph that changes reach without changing them; of_type() gives the changed ones."""
+    return nodes.where(F.col("change_type") == AFFECTED)
+
+
 def is_empty(changes: DataFrame) -> bool:
     return changes.isEmpty()

@@ -53,11 +53,12 @@ def generation_prompt(payloads: DataFrame, sections: Sequence[Section], project:
 
 
 def payload_json(files: DataFrame, by: Sequence[str], order: Sequence[str], payload: str = "payload") -> DataFrame:
-    """(by, n_files, payload): the payloads of each group as one JSON list, ordered.
+    """(by, n_files, payload): the payloads of each group, structs or JSON texts, as one JSON list, ordered.
 
     A prompt is one text, so a group must have been trimmed to its budget before.
     """
-    item = F.struct(*order, F.to_json(payload).alias("_j"))
+    text = F.col(payload) if files.schema[payload].dataType.typeName() == "string" else F.to_json(payload)
+    item = F.struct(*order, text.alias("_j"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["_j"]), ",\n")
     return files.groupBy(*by).agg(F.count("*").alias("n_files"), F.concat(F.lit("["), text, F.lit("]")).alias("payload"))
 

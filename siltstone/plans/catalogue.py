@@ -306,6 +306,21 @@ def q21_budget_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return budget.stages(d, ["doc_kind", "lang"], "n", "bare", dim, F.lit(3000))
 
 
+@query(f"""WITH d AS (SELECT doc_kind, lang, source, doc_id, coalesce(length(text), 0) AS n, coalesce(length(text), 0) // 2 AS b FROM documents),
+c AS (SELECT count(*) FILTER (p <= 1) * 50 AS s1, count(*) FILTER (p <= 2) * 50 AS s2, count(*) * 50 AS s3 FROM {_PRIORITIES}),
+g AS (SELECT doc_kind, lang, source, (sum(n) + 2 * count(*) + 2) // 4 AS t, (sum(b) + 2 * count(*) + 2) // 4 AS bt FROM d GROUP BY 1, 2, 3),
+s AS (SELECT *, CASE WHEN t + s3 <= 2000 THEN 0 WHEN t + s2 <= 2000 THEN 1 WHEN t + s1 <= 2000 THEN 2 WHEN bt + s1 <= 2000 THEN 3 ELSE 4 END AS stage FROM g, c),
+r AS (SELECT *, (sum(b) OVER w + 2 * count(*) OVER w + 2) // 4 AS run FROM d WINDOW w AS (PARTITION BY doc_kind, lang, source ORDER BY doc_id ROWS UNBOUNDED PRECEDING))
+SELECT r.doc_kind, r.lang, r.source, doc_id, CAST(stage AS BIGINT) AS stage, CAST(CASE stage WHEN 0 THEN s3 WHEN 1 THEN s2 ELSE s1 END // 50 AS BIGINT) AS sections_kept,
+  CASE WHEN stage < 3 THEN '{{"doc_id":' || doc_id || ',"n":' || n || '}}' ELSE '{{"doc_id":' || doc_id || '}}' END AS payload
+FROM r JOIN s ON r.doc_kind IS NOT DISTINCT FROM s.doc_kind AND r.lang IS NOT DISTINCT FROM s.lang AND r.source IS NOT DISTINCT FROM s.source WHERE stage < 4 OR run + s1 <= 2000""")
+def q40_trimmed_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each group of documents keeps of a budget, after all stages."""
+    n = F.coalesce(F.length("text"), F.lit(0)).cast("long")
+    d = table(spark, sf_dir, "documents").select("doc_kind", "lang", "source", "doc_id", n.alias("json_size"), F.expr("coalesce(length(text), 0) div 2").alias("bare_size"), F.struct("doc_id", n.alias("n")).alias("payload"), F.struct("doc_id").alias("bare_payload"))
+    return budget.trimmed(d, ["doc_kind", "lang", "source"], ["doc_id"], [(s.id, s.priority) for s in config.SECTIONS], 2000)
+
+
 def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 

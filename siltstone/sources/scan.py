@@ -66,6 +66,11 @@ def by_language(files: DataFrame, language: str) -> DataFrame:
     return files.where(F.col("language") == language)
 
 
+def file_of(files: DataFrame, path: str) -> DataFrame:
+    """The row of one path, or none."""
+    return files.where(F.col("path") == path)
+
+
 def snapshot_of(files: DataFrame, snapshot_id: str) -> DataFrame:
     """(project, snapshot_id, path, hash, size, lines)."""
     return files.select("project", F.lit(snapshot_id).alias("snapshot_id"), "path", T.sha256(F.col("content")).alias("hash"), "size", "lines")

@@ -39,7 +39,8 @@ def test_a_project_from_first_scan_to_merge(spark, tmp_path):
     assert marked == {"src/utils.py": "modified"}
     kind = p.classified(p.changes()).first()
     assert (kind.session_type, kind.affected_nodes_count) == ("major", 1)
-    assert p.generate(auto_flush=True, only_changed=True) == "pd_002"
+    assert p.generate(lambda s, u, m: model.Response("# x\n" + "see `zz/none.py` " * 5), auto_flush=True, only_changed=True) == "pd_002"
+    assert {x[0] for x in p.problems} == {"missing_section", "hallucination"} or any("zz/none.py" in str(x) for x in p.problems)
     assert run(5).store.load_pending("demo").count() == 0
     w = {r.category for r in run(6).warnings("# x\n" + "see `zz/none.py` " * 5).collect()}
     assert w == {"missing_section", "hallucination"}

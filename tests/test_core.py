@@ -373,6 +373,9 @@ def test_config(tmp_path):
     with pytest.raises(ValueError, match="minimal"):
         config.load_preset("none")
     assert len(config.list_presets()) == 7
+    p = config.load_preset("ml_research")
+    assert (p.project.phase_style, p.model.max_input_tokens, p.output.max_doc_tokens) == ("phased", 3500, 8000) and "wandb/**" in p.focus.exclude_patterns
+    assert [(s.id, s.priority) for s in p.template_sections][-2:] == [("interview", 2), ("commands", 1)] and p.template_sections[3].depth == "non_obvious_only"
 
 
 def test_model_and_prompt(spark):
@@ -402,3 +405,82 @@ def test_large_groups_are_split_without_a_difference(spark):
         total[k] = n, t = n + 1, t + (v or 0)
         assert (k, i, v, n, t) in x
     assert running(d.where("false"), ["k"], ["i"], "v").collect() == []
+
+
+def test_payload_is_trimmed_in_stages(spark):
+    rows = [("p", f"f{i}", {"path": f"f{i}", "doc": "x" * 200, "functions": [{"name": "a", "doc": "y" * 100}], "globals": ["g" * 40]}) for i in range(4)] + [(None, "n", {"path": "n", "doc": None, "functions": [], "globals": None})]
+    d = spark.createDataFrame(rows, "project string, path string, payload struct<path:string,doc:string,functions:array<struct<name:string,doc:string>>,globals:array<string>>")
+    sized = compress.sized(d)
+    first = sized.where("path = 'f0'").select("json_size", "bare_size", F.to_json("bare_payload").alias("b")).first()
+    assert json.loads(first.b) == {"path": "f0", "functions": [{"name": "a"}]} and first.bare_size < first.json_size - 300
+    whole, bare = (4 * x + 10 for x in (first.json_size, first.bare_size))
+    sections = [("a", 1), ("b", 2), ("c", 3)]
+
+    def kept(limit):
+        r = budget.trimmed(sized, ["project"], ["path"], sections, limit).where("project = 'p'").collect()
+        return [x.path for x in sorted(r)], {(x.stage, x.sections_kept) for x in r}, any("doc" in x.payload for x in r)
+
+    names = ["f0", "f1", "f2", "f3"]
+    assert kept(whole // 4 + 150) == (names, {(0, 3)}, True)
+    assert kept(whole // 4 + 149) == (names, {(1, 2)}, True)
+    assert kept(whole // 4 + 99) == (names, {(2, 1)}, True)
+    assert kept(bare // 4 + 50) == (names, {(3, 1)}, False)
+    assert kept(bare // 4 + 49) == (names[:3], {(4, 1)}, False)
+    assert kept(10) == ([], set(), False)
+    assert budget.trimmed(sized, ["project"], ["path"], sections, 2000).where("project is null").count() == 1
+
+
+def test_a_registered_parser(spark, monkeypatch):
+    class Upper:
+        def supports(self, ending):
+            return ending == ".up"
+
+        def parse(self, text, ending):
+            return {"functions": [], "global_variables": [w for w in text.split() if w.isupper()]}
+
+    monkeypatch.setattr(structure, "PARSERS", [])
+    structure.register(Upper())
+    d = spark.createDataFrame([("p", "a.up", None, b"A b C"), ("p", "a.rs", None, b"fn f() {}")], "project string, path string, language string, content binary")
+    got = {r.path: r for r in structure.parse(d).collect()}
+    assert got["a.up"].global_variables == ["A", "C"] and got["a.rs"].functions[0].name == "f"
+
+
+def test_calls_of_services(monkeypatch):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    seen = []
+
+    class Answer(BaseHTTPRequestHandler):
+        def do_POST(self):  # noqa: N802
+            body = json.loads(self.rfile.read(int(self.headers["content-length"])))
+            seen.append((self.path, body, dict(self.headers)))
+            out = {"/chat": {"choices": [{"message": {"content": "c"}, "finish_reason": "stop"}], "usage": {"prompt_tokens": 3, "completion_tokens": 4}}, "/messages": {"content": [{"text": "a"}, {"text": "b"}], "usage": {"input_tokens": 1, "output_tokens": 2}, "stop_reason": "end"}, "/local": {"response": "l", "eval_count": 5}}[self.path]
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(out).encode())
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Answer)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    conf = config.Model(tier="api", model_name="m", api_key_env="SILT_KEY")
+    with pytest.raises(OSError):
+        model.generate("s", "u", conf, model.chat_call(base + "/chat"))
+    monkeypatch.setenv("SILT_KEY", "k")
+    got = [model.generate("s", "u", conf, c) for c in (model.chat_call(base + "/chat"), model.messages_call(base + "/messages", "1"), model.local_call(base + "/local"))]
+    server.shutdown()
+    server.server_close()
+    assert [(r.content, r.output_tokens, r.finish_reason) for r in got] == [("c", 4, "stop"), ("ab", 2, "end"), ("l", 5, "stop")] and all(r.latency_ms > 0 for r in got)
+    assert seen[0][1]["messages"][1] == {"role": "user", "content": "u"} and seen[1][1]["system"] == "s" and not seen[2][1]["stream"]
+    with pytest.raises(ConnectionError):
+        model.generate("s", "u", conf, model.local_call(base + "/local", 2))
+
+
+def test_small_accessors(spark):
+    d = spark.createDataFrame([("a", "created"), ("b", "affected"), ("c", "unchanged")], "path string, change_type string")
+    assert diff.total_changes(d) == 1 and [r.path for r in diff.affected_paths(d).collect()] == ["b"] and scan.file_of(d, "c").count() == 1
+    r = spark.sql("select timestamp'2025-01-02 03:04:05.678' as t, 0.256D as s").select(T.display_time(F.col("t")).alias("a"), T.percent(F.col("s")).alias("b"), T.one_place(F.col("s")).alias("c")).first()
+    assert tuple(r) == ("2025-01-02T03:04:05", "26%", "0.3")
