@@ -22,11 +22,16 @@ def candidates(imports: DataFrame, keys: Sequence[str] = ("project",)) -> DataFr
     return imports.where(F.col("module").isNotNull() & (F.col("module") != "")).select(*keys, "src", "module", F.posexplode(F.array(*places)).alias("ord", "dst"))
 
 
-def resolve(imports: DataFrame, files: DataFrame, keys: Sequence[str] = ("project",)) -> DataFrame:
-    """Edges (keys, src, dst): each import leads to the first candidate that exists and isn't the file itself."""
+def resolved(imports: DataFrame, files: DataFrame, keys: Sequence[str] = ("project",)) -> DataFrame:
+    """(keys, src, module, dst): each import leads to the first candidate that exists and isn't the file itself."""
     known = files.select(*keys, F.col("path").alias("dst")).distinct()
     found = candidates(imports, keys).where("dst <> src").join(known, [*keys, "dst"])
-    return found.groupBy(*keys, "src", "module").agg(F.min_by("dst", "ord").alias("dst")).select(*keys, "src", "dst").distinct()
+    return found.groupBy(*keys, "src", "module").agg(F.min_by("dst", "ord").alias("dst"))
+
+
+def resolve(imports: DataFrame, files: DataFrame, keys: Sequence[str] = ("project",)) -> DataFrame:
+    """Edges (keys, src, dst) of resolved()."""
+    return resolved(imports, files, keys).select(*keys, "src", "dst").distinct()
 
 
 def reverse(edges: DataFrame, keys: Sequence[str] = ("project",)) -> DataFrame:

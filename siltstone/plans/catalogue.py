@@ -395,6 +395,17 @@ def q27_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("file_id", "language", "f.name", "f.line_start", "f.is_method", compress.signature(F.col("f")).alias("signature"), "f.complexity_hint").distinct()
 
 
+@query(r"""WITH f AS (SELECT DISTINCT file_id, lower(extension) AS e, decode(content) AS t FROM files WHERE content IS NOT NULL AND lower(extension) IN ('.go', '.rs')),
+l AS (SELECT file_id, e, unnest(string_split(replace(replace(t, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))) AS x, generate_subscripts(string_split(replace(replace(t, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), 1) AS n FROM f),
+m AS (SELECT file_id, CASE e WHEN '.go' THEN 'go' ELSE 'rust' END AS language, n, regexp_extract(x, CASE e WHEN '.go' THEN '^func\s+(?:\([^()]*\)\s*)?(\w+)\s*\(' ELSE '^\s*(?:pub(?:\([a-z]+\))?\s+)?(?:async\s+)?fn\s+(\w+)\s*[(<]' END, 1) AS name FROM l)
+SELECT DISTINCT file_id, language, name, CAST(n AS BIGINT) AS line_start FROM m WHERE name <> ''""")
+def q27_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions of Go and Rust files, as the reader of declarations finds them."""
+    files = table(spark, sf_dir, "files").where(F.lower("extension").isin(".go", ".rs"))
+    p = structure.parse(files.withColumn("language", T.language(F.col("path"))), ("file_id",))
+    return p.select("file_id", "language", F.explode("functions").alias("f")).select("file_id", "language", "f.name", "f.line_start").distinct()
+
+
 @query()
 def q28_python_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.imports(_parsed_files(spark, sf_dir), ("project",)).distinct()
@@ -403,6 +414,19 @@ def q28_python_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LANG = "CASE regexp_extract(lower(path), '[^/](\\.[^./]+)$', 1) " + " ".join(f"WHEN '{e}' THEN '{k}'" for e, k in T.LANGUAGE_OF.items()) + " END"
 
 
+@query("""WITH p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY parsed_at DESC NULLS LAST, path DESC) AS r FROM parsed) WHERE r = 1),
+i AS (SELECT DISTINCT project, path AS src, unnest(imports).module AS module FROM p),
+c AS (SELECT project, src, module, o, root || replace(module, '.', '/') || e AS dst FROM i, (VALUES (0, '', '.py'), (1, '', '/__init__.py'), (2, 'src/', '.py'), (3, 'src/', '/__init__.py'), (4, 'lib/', '.py'), (5, 'lib/', '/__init__.py')) AS v(o, root, e) WHERE module <> ''),
+e AS (SELECT project, src, module, dst FROM (SELECT c.*, row_number() OVER (PARTITION BY c.project, src, module ORDER BY o) AS r FROM c JOIN (SELECT DISTINCT project, path FROM files) f ON f.project = c.project AND f.path = c.dst WHERE dst <> src) WHERE r = 1)
+SELECT i.project, i.module, count(*) AS importers, count(e.dst) AS resolved FROM i LEFT JOIN e ON e.project = i.project AND e.src = i.src AND e.module = i.module WHERE i.module <> '' GROUP BY 1, 2""")
+def q41_parsed_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the files that the project's parser read import, and how many of the imports lead to a scanned file."""
+    own = latest(table(spark, sf_dir, "parsed"), "file_id", "parsed_at", ["path", "project", "imports"])
+    named = own.select("project", F.col("path").alias("src"), F.explode("imports").alias("i")).select("project", "src", "i.module").distinct()
+    edges = graph.resolved(named, table(spark, sf_dir, "files"))
+    return named.where("module <> ''").join(edges, ["project", "src", "module"], "left").groupBy("project", "module").agg(F.count("*").alias("importers"), F.count("dst").alias("resolved"))
+
+
 @query(f"SELECT project, {_LANG} AS language, count(DISTINCT path) AS files FROM files WHERE {_LANG} IS NOT NULL GROUP BY 1, 2")
 def q29_language_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = table(spark, sf_dir, "files").select("project", "path").distinct().withColumn("language", T.language(F.col("path")))
@@ -498,13 +522,33 @@ def q37_file_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+_FN_SQL = """'{' || substr(concat(',"name":' || to_json(f.name), CASE WHEN len(f.parameters) > 0 THEN ',"params":' || to_json(list_transform(f.parameters, lambda q: CASE WHEN length(q.annotation) > 0 THEN q.name || ': ' || q.annotation ELSE q.name END)) END,
+  CASE WHEN f.return_annotation <> '' THEN ',"returns":' || to_json(f.return_annotation) END, CASE WHEN f.is_async THEN ',"async":true' END, CASE WHEN len(f.decorators) > 0 THEN ',"decorators":' || to_json(list_transform(f.decorators, lambda q: q.name)) END,
+  CASE WHEN f.complexity_hint > 5 THEN ',"complexity":' || f.complexity_hint END), 2) || '}'"""
+_FILE_SQL = f"""WITH fn AS (SELECT file_id, parsed_at, path, {_FN_SQL} AS j, i FROM (SELECT file_id, parsed_at, path, unnest(functions) AS f, generate_subscripts(functions, 1) AS i FROM parsed)),
+fs AS (SELECT file_id, parsed_at, path, string_agg(j, ',' ORDER BY i) AS j FROM fn GROUP BY 1, 2, 3),
+cl AS (SELECT file_id, parsed_at, path, unnest(classes) AS c, generate_subscripts(classes, 1) AS i FROM parsed),
+me AS (SELECT file_id, parsed_at, path, i, k, {_FN_SQL} AS j FROM (SELECT file_id, parsed_at, path, i, unnest(c.methods) AS f, generate_subscripts(c.methods, 1) AS k FROM cl) WHERE NOT (f.name LIKE '\\_\\_%' ESCAPE '\\' AND f.name LIKE '%\\_\\_' ESCAPE '\\' AND f.name <> '__init__')),
+ms AS (SELECT file_id, parsed_at, path, i, string_agg(j, ',' ORDER BY k) AS j FROM me GROUP BY 1, 2, 3, 4),
+cs AS (SELECT cl.file_id, cl.parsed_at, cl.path, string_agg('{{' || substr(concat(',"name":' || to_json(c.name), CASE WHEN len(c.bases) > 0 THEN ',"bases":' || to_json(c.bases) END, CASE WHEN len(c.decorators) > 0 THEN ',"decorators":' || to_json(list_transform(c.decorators, lambda q: q.name)) END,
+  CASE WHEN len(c.class_variables) > 0 THEN ',"vars":' || to_json(c.class_variables) END, ',"methods":[' || ms.j || ']'), 2) || '}}', ',' ORDER BY cl.i) AS j
+  FROM cl LEFT JOIN ms ON ms.file_id = cl.file_id AND ms.parsed_at IS NOT DISTINCT FROM cl.parsed_at AND ms.path IS NOT DISTINCT FROM cl.path AND ms.i = cl.i GROUP BY 1, 2, 3),
+im AS (SELECT file_id, parsed_at, path, list(m ORDER BY i) AS m FROM (SELECT file_id, parsed_at, path, m, min(i) AS i FROM (SELECT file_id, parsed_at, path, unnest(imports).module AS m, generate_subscripts(imports, 1) AS i FROM parsed) WHERE length(m) > 0 GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3),
+t AS (SELECT p.file_id, p.parsed_at, p.path, '{{' || substr(concat(',"path":' || to_json(p.path), ',"lang":' || to_json(p.language), ',"lines":' || p.total_lines, CASE WHEN p.has_entry_point THEN ',"entry_point":true' END, ',"imports":' || to_json(im.m), ',"classes":[' || cs.j || ']', ',"functions":[' || fs.j || ']'), 2) || '}}' AS payload
+  FROM parsed p LEFT JOIN fs ON fs.file_id = p.file_id AND fs.parsed_at IS NOT DISTINCT FROM p.parsed_at AND fs.path IS NOT DISTINCT FROM p.path LEFT JOIN cs ON cs.file_id = p.file_id AND cs.parsed_at IS NOT DISTINCT FROM p.parsed_at AND cs.path IS NOT DISTINCT FROM p.path
+  LEFT JOIN im ON im.file_id = p.file_id AND im.parsed_at IS NOT DISTINCT FROM p.parsed_at AND im.path IS NOT DISTINCT FROM p.path WHERE NOT (len(functions) = 0 AND len(classes) = 0 AND total_lines < 20)),
+z AS (SELECT *, list_sum(list_transform(string_split(json_pretty(CAST(payload AS JSON)), chr(10)), lambda x: length(x) - (length(x) - length(ltrim(x))) // 2 + 3)) - 1 + 5 * length(regexp_replace(payload, '[\\x00-\\x7f]', '', 'g')) AS n FROM t)
+SELECT file_id, epoch_us(parsed_at) AS parsed_us, path, payload, CAST(n AS BIGINT) AS json_size, CAST(n // 4 AS BIGINT) AS tokens FROM z"""
+
+
+@query(_FILE_SQL)
 def q38_compressed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = compress.json_sizes(compress.files(table(spark, sf_dir, "parsed"), ("file_id", "parsed_at")))
-    return c.select("file_id", "parsed_at", "path", F.to_json("payload").alias("payload"), "json_size", compress.estimate_tokens(F.col("json_size")).alias("tokens"))
+    return c.select("file_id", F.unix_micros("parsed_at").alias("parsed_us"), "path", F.to_json("payload").alias("payload"), "json_size", compress.estimate_tokens(F.col("json_size")).alias("tokens"))
 
 
-@query()
+@query(f"""WITH p AS ({SQL["q22_prompt_text"]}), s AS (SELECT * FROM (VALUES {", ".join(f"({i}, {_quoted(s.name)})" for i, s in enumerate(config.SECTIONS))}) AS v(o, name))
+SELECT project, CAST(o AS BIGINT) AS sec_ord, name, CAST(length('Nothing to report in this section; the payload has ' || length(user_prompt) || ' characters.') AS BIGINT) AS length FROM p, s""")
 def q39_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stub's answers to the prompts of q22, checked and formatted into sections."""
     out = model.generate_all(q22_prompt_text(spark, sf_dir), config.Model())
