@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import difflib
 import functools
+import math
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
@@ -25,7 +26,7 @@ from siltstone.session import ship, written
 THRESHOLD = 0.85
 RULE = "\n\n---\n\n"
 #: Length of the grams and places of their counts; what rounding may take from a bound.
-GRAM, WIDTH, SLACK = 4, 8192, 1e-4
+GRAM, WIDTH, SLACK = 4, 4096, 1e-4
 #: Texts and characters of a block, about.
 BLOCK, BLOCK_CHARS = 1000, 8_000_000
 
@@ -45,12 +46,12 @@ def ratio(a: str, b: str, threshold: float = 0.0) -> float:
 def grams(text: str) -> np.ndarray:
     """Counts of the 4-grams of a text, the repeats of one told apart, in WIDTH places.
 
-    The product of two texts' counts is at least the number of 4-grams that they share.
+    The sum of the smaller of two texts' counts is at least the number of 4-grams that they share.
     """
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     n = len(c) - GRAM + 1
     if n <= 0:
-        return np.zeros(WIDTH, np.float32)
+        return np.zeros(WIDTH, np.uint32)
     k = np.zeros(n, np.uint64)
     for i in range(GRAM):
         k = k * np.uint64(1000003) + c[i : i + n]
@@ -58,7 +59,7 @@ def grams(text: str) -> np.ndarray:
     at = np.arange(n)
     first = np.maximum.accumulate(np.where(np.r_[True, k[1:] != k[:-1]], at, 0))
     k = (k + (at - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xFF51AFD7ED558CCD)
-    return np.bincount((k >> np.uint64(40)).astype(np.int64) % WIDTH, minlength=WIDTH).astype(np.float32)
+    return np.bincount((k >> np.uint64(40)).astype(np.int64) % WIDTH, minlength=WIDTH).astype(np.uint32)
 
 
 def anchors(text: str) -> int:
@@ -79,20 +80,20 @@ def similar(texts: Sequence[str], pairs: Sequence[tuple[np.ndarray, np.ndarray]]
     """
     size = np.array([len(x) for x in texts], np.float64)
     found = np.array([anchors(x) for x in texts], np.float64)
-    counts = np.stack([grams(x) for x in texts])
+    counts = functools.lru_cache(maxsize=2048)(lambda i: grams(texts[i]))
     thirds = functools.lru_cache(maxsize=256)(lambda i: Counter(texts[i][k : k + 3] for k in range(len(texts[i]) - 2)))
     for left, right in pairs:
-        for at in range(0, len(right), 256):
-            part = right[at : at + 256]
-            total = size[left][:, None] + size[part][None]
+        match, last = difflib.SequenceMatcher(None), -1
+        for j in map(int, right):
+            # Lengths first; only the pairs that they allow are counted.
+            total = size[left] + size[j]
             m = threshold * total / 2
-            k = np.minimum(found[part][None], total - 2 * m) + 1
-            shared = counts[left] @ counts[part].T
-            maybe = (np.minimum(size[left][:, None], size[part][None]) > m - SLACK) & (shared * (1 + SLACK) + SLACK >= m - (GRAM - 1) * k)
-            match, last = difflib.SequenceMatcher(None), -1
-            for y, x in zip(*np.nonzero(maybe.T)):
-                i, j = int(left[x]), int(part[y])
-                if i == j or not before(i, j) or (thirds(i) & thirds(j)).total() + SLACK < m[x, y] - 2 * k[x, y]:
+            k = np.minimum(found[j], total - 2 * m) + 1
+            for x in np.flatnonzero(np.minimum(size[left], size[j]) > m - SLACK):
+                i = int(left[x])
+                if i == j or not before(i, j) or np.minimum(counts(i), counts(j)).sum() + SLACK < m[x] - (GRAM - 1) * k[x]:
+                    continue
+                if (thirds(i) & thirds(j)).total() + SLACK < m[x] - 2 * k[x]:
                     continue
                 if j != last:
                     match.set_seq2(texts[j])
@@ -110,12 +111,20 @@ def similar_pairs(versions: DataFrame, by: Sequence[str], threshold: float = THR
     of bounded size, and each pair of blocks is judged by itself.
     """
     ship(versions.sparkSession)
-    texts = versions.where(F.col("content").isNotNull()).groupBy(*by, "h").agg(F.min("o").alias("first"), F.max("o").alias("last"), F.first("content").alias("c"))
-    lengths = versions.where(F.col("content").isNotNull()).groupBy(*by, "h").agg(F.max(F.length("content")).alias("n"))
+    some = versions.where(F.col("content").isNotNull())
+    # Without their contents: which texts have another one of a length that the threshold allows.
+    texts = some.groupBy(*by, "h").agg(F.min("o").alias("first"), F.max("o").alias("last"), F.max(F.length("content")).alias("n"))
+    # Lengths lie in bands as wide as the threshold allows, so a partner is in the same band or the next one.
+    texts = texts.withColumn("band", F.floor(F.log(F.col("n") + 1) / math.log((2 - threshold) / threshold + SLACK)))
+    around = texts.groupBy(*by, "band").agg(F.count("*").alias("k")).select(*by, F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "k")
+    around = around.groupBy(*by, "band").agg(F.sum("k").alias("k")).where("k > 1").select(*by, "band")
+    texts = texts.join(around, [*by, "band"], "left_semi")
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_CHARS)).cast("int")
-    groups = lengths.groupBy(*by).agg(F.count("*").alias("texts"), blocks.alias("blocks")).where("texts > 1").drop("texts")
+    groups = texts.groupBy(*by).agg(blocks.alias("blocks"))
     own = texts.join(groups, list(by)).withColumn("own", F.pmod("h", F.col("blocks").cast("long")).cast("int"))
-    cells = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other"))
+    # The contents travel twice: to their hash, where copies become one, and to their cells.
+    whole = some.select(*by, "h", F.col("content").alias("c")).join(own, [*by, "h"]).groupBy(*by, "h").agg(F.first("c").alias("c"), *[F.first(x).alias(x) for x in ("first", "last", "own", "blocks")])
+    cells = whole.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other"))
     cells = cells.select(*by, "p", "q", "own", "h", "first", "last", "c")
     names = [*by, "h1", "h2", "first1", "last2", "similarity"]
     order = cells.schema["first"].dataType.simpleString()
@@ -140,35 +149,43 @@ def versions(sections: DataFrame, by: Sequence[str]) -> DataFrame:
     return sections.withColumn("group_key", group_key()).select(*by, "group_key", order.alias("o"), "doc_id", "heading", "section_id", "content", F.xxhash64("content", F.length("content")).alias("h"))
 
 
-def kept_versions(sections: DataFrame, by: Sequence[str] = ("project",), threshold: float | None = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """((by, group_key, strategy, n_versions, ...latest), (by, group_key, o, doc_id, content)): groups, and versions that stay.
+def kept_versions(v: DataFrame, g: Sequence[str], threshold: float | None = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """((g, strategy, n_versions, first_ord, last), (g, o, h)): the groups of versions(), and the places of the versions that stay.
 
     A version stays if no later one is similar; the last one always stays. threshold None takes
-    only equal texts as similar.
+    only equal texts as similar. No contents are in either.
     """
-    g = [*by, "group_key"]
-    v = versions(sections, by)
     order = F.struct("o", "h")
-    heads = v.groupBy(*g).agg(F.count("*").alias("n_versions"), F.min("o").alias("first_ord"), F.max_by(F.struct("heading", "section_id", "content", "doc_id", "o", "h"), order).alias("last"))
+    places = v.select(*g, "o", "h", "heading", "section_id")
+    heads = places.groupBy(*g).agg(F.count("*").alias("n_versions"), F.min("o").alias("first_ord"), F.max_by(F.struct("heading", "section_id", "o", "h"), order).alias("last"))
     # What is similar to the text h1: itself, and the second texts of its pairs.
-    same = v.select(*g, F.col("h").alias("h1"), F.col("h").alias("h2")).distinct()
+    same = places.select(*g, F.col("h").alias("h1"), F.col("h").alias("h2")).distinct()
     alike = same if threshold is None else same.unionByName(written(similar_pairs(v, g, threshold).select(*g, "h1", "h2"), "similar"))
-    latest = v.groupBy(*g, F.col("h").alias("h2")).agg(F.max("o").alias("last_o"))
+    latest = places.groupBy(*g, F.col("h").alias("h2")).agg(F.max("o").alias("last_o"))
     later = alike.join(latest, [*g, "h2"]).groupBy(*g, F.col("h1").alias("h")).agg(F.max("last_o").alias("later"))
-    stays = v.join(later, [*g, "h"]).where(F.col("later") <= F.col("o")).select(*g, "o", "doc_id", "content")
+    stays = places.join(later, [*g, "h"]).where(F.col("later") <= F.col("o")).select(*g, "o", "h")
     to_last = alike.join(heads.select(*g, F.col("last.h").alias("h2")), [*g, "h2"]).select(*g, F.col("h1").alias("h"), F.lit(True).alias("near"))
-    judged = v.join(to_last, [*g, "h"], "left").groupBy(*g).agg(F.bool_and(F.coalesce("near", F.lit(False))).alias("all_near"))
-    heads = heads.join(judged, g).withColumn("strategy", F.when(F.col("all_near"), "latest").otherwise("accumulated"))
+    judged = places.join(to_last, [*g, "h"], "left").groupBy(*g).agg(F.bool_and(F.coalesce("near", F.lit(False))).alias("all_near"))
+    heads = heads.join(judged, list(g)).withColumn("strategy", F.when(F.col("all_near"), "latest").otherwise("accumulated"))
     return heads.select(*g, "strategy", "n_versions", "first_ord", "last"), stays
 
 
 def merged(sections: DataFrame, by: Sequence[str] = ("project",), threshold: float | None = THRESHOLD) -> DataFrame:
-    """(by, group_key, heading, section_id, strategy, n_versions, content, first_ord): one section for each group."""
+    """(by, group_key, heading, section_id, strategy, n_versions, content, first_ord): one section for each group.
+
+    Of one text at one place, delivered repeatedly, the content has one.
+    """
     g = [*by, "group_key"]
-    heads, stays = kept_versions(sections, by, threshold)
-    part = F.concat(F.lit("*["), F.col("doc_id"), F.lit("]*\n\n"), F.col("content"))
-    text = stays.groupBy(*g).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", part.alias("p")))), lambda x: x["p"]), RULE).alias("all"))
-    return heads.join(text, g).select(*g, "last.heading", "last.section_id", "strategy", "n_versions", F.when(F.col("strategy") == "latest", F.col("last.content")).otherwise(F.col("all")).alias("content"), "first_ord")
+    v = versions(sections, by)
+    heads, stays = kept_versions(v, g, threshold)
+    # The contents meet the places that stay in the one shuffle that brings a group together.
+    places = stays.join(heads.select(*g, "strategy", F.struct("last.o", "last.h").alias("_last")), g).where((F.col("strategy") != "latest") | (F.struct("o", "h") == F.col("_last"))).select(*g, "o", "h", "strategy")
+    nothing = F.lit(None).cast("string")
+    both = v.select(*g, "o", "h", nothing.alias("strategy"), "doc_id", "content").unionByName(places.select(*g, "o", "h", "strategy", nothing.alias("doc_id"), nothing.alias("content")))
+    each = both.repartition(*g).groupBy(*g, "o", "h").agg(F.max("strategy").alias("strategy"), F.max(F.struct("doc_id", "content")).alias("_v")).where("strategy is not null")
+    part = F.when(F.col("strategy") == "latest", F.col("_v.content")).otherwise(F.concat(F.lit("*["), F.col("_v.doc_id"), F.lit("]*\n\n"), F.col("_v.content")))
+    text = each.groupBy(*g).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "h", part.alias("p")))), lambda x: x["p"]), RULE).alias("content"))
+    return heads.join(text, g).select(*g, "last.heading", "last.section_id", "strategy", "n_versions", "content", "first_ord")
 
 
 def merged_document(sections: DataFrame, by: Sequence[str] = ("project",), threshold: float | None = THRESHOLD) -> DataFrame:
