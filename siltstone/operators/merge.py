@@ -28,7 +28,7 @@ RULE = "\n\n---\n\n"
 #: Length of the grams and places of their counts; what rounding may take from a bound.
 GRAM, WIDTH, SLACK = 4, 4096, 1e-4
 #: Texts and characters of a block, about.
-BLOCK, BLOCK_CHARS = 1000, 8_000_000
+BLOCK, BLOCK_CHARS, TILE = 1000, 8_000_000, 64
 
 
 def ratio(a: str, b: str, threshold: float = 0.0) -> float:
@@ -46,12 +46,12 @@ def ratio(a: str, b: str, threshold: float = 0.0) -> float:
 def grams(text: str) -> np.ndarray:
     """Counts of the 4-grams of a text, the repeats of one told apart, in WIDTH places.
 
-    The sum of the smaller of two texts' counts is at least the number of 4-grams that they share.
+    The product of two texts' counts is at least the number of 4-grams that they share.
     """
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     n = len(c) - GRAM + 1
     if n <= 0:
-        return np.zeros(WIDTH, np.uint32)
+        return np.zeros(WIDTH, np.float32)
     k = np.zeros(n, np.uint64)
     for i in range(GRAM):
         k = k * np.uint64(1000003) + c[i : i + n]
@@ -59,7 +59,7 @@ def grams(text: str) -> np.ndarray:
     at = np.arange(n)
     first = np.maximum.accumulate(np.where(np.r_[True, k[1:] != k[:-1]], at, 0))
     k = (k + (at - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xFF51AFD7ED558CCD)
-    return np.bincount((k >> np.uint64(40)).astype(np.int64) % WIDTH, minlength=WIDTH).astype(np.uint32)
+    return np.bincount((k >> np.uint64(40)).astype(np.int64) % WIDTH, minlength=WIDTH).astype(np.float32)
 
 
 def anchors(text: str) -> int:
@@ -80,20 +80,27 @@ def similar(texts: Sequence[str], pairs: Sequence[tuple[np.ndarray, np.ndarray]]
     """
     size = np.array([len(x) for x in texts], np.float64)
     found = np.array([anchors(x) for x in texts], np.float64)
-    counts = functools.lru_cache(maxsize=2048)(lambda i: grams(texts[i]))
+    counts = np.stack([grams(x) for x in texts])
     thirds = functools.lru_cache(maxsize=256)(lambda i: Counter(texts[i][k : k + 3] for k in range(len(texts[i]) - 2)))
+    span = (2 - threshold) / threshold + SLACK
     for left, right in pairs:
+        # In the order of lengths a tile only meets the texts whose lengths the threshold allows.
+        left, right = left[np.argsort(size[left], kind="stable")], right[np.argsort(size[right], kind="stable")]
+        sizes = size[left]
         match, last = difflib.SequenceMatcher(None), -1
-        for j in map(int, right):
-            # Lengths first; only the pairs that they allow are counted.
-            total = size[left] + size[j]
+        for at in range(0, len(right), TILE):
+            part = right[at : at + TILE]
+            own = left[np.searchsorted(sizes, size[part[0]] / span - SLACK) : np.searchsorted(sizes, size[part[-1]] * span + SLACK, "right")]
+            total = size[own][:, None] + size[part][None]
             m = threshold * total / 2
-            k = np.minimum(found[j], total - 2 * m) + 1
-            for x in np.flatnonzero(np.minimum(size[left], size[j]) > m - SLACK):
-                i = int(left[x])
-                if i == j or not before(i, j) or np.minimum(counts(i), counts(j)).sum() + SLACK < m[x] - (GRAM - 1) * k[x]:
+            k = np.minimum(found[part][None], total - 2 * m) + 1
+            shared = counts[own] @ counts[part].T
+            maybe = (np.minimum(size[own][:, None], size[part][None]) > m - SLACK) & (shared * (1 + SLACK) + SLACK >= m - (GRAM - 1) * k)
+            for y, x in zip(*np.nonzero(maybe.T)):
+                i, j = int(own[x]), int(part[y])
+                if i == j or not before(i, j) or np.minimum(counts[i], counts[j]).sum() * (1 + SLACK) + SLACK < m[x, y] - (GRAM - 1) * k[x, y]:
                     continue
-                if (thirds(i) & thirds(j)).total() + SLACK < m[x] - 2 * k[x]:
+                if (thirds(i) & thirds(j)).total() + SLACK < m[x, y] - 2 * k[x, y]:
                     continue
                 if j != last:
                     match.set_seq2(texts[j])
@@ -176,7 +183,7 @@ def merged(sections: DataFrame, by: Sequence[str] = ("project",), threshold: flo
     Of one text at one place, delivered repeatedly, the content has one.
     """
     g = [*by, "group_key"]
-    v = versions(sections, by)
+    v = written(versions(sections, by), "versions")
     heads, stays = kept_versions(v, g, threshold)
     # The contents meet the places that stay in the one shuffle that brings a group together.
     places = stays.join(heads.select(*g, "strategy", F.struct("last.o", "last.h").alias("_last")), g).where((F.col("strategy") != "latest") | (F.struct("o", "h") == F.col("_last"))).select(*g, "o", "h", "strategy")
