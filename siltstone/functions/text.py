@@ -5,28 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The languages of file endings, and those that count as code.
-ENDINGS = {
-    "python": ".py",
-    "javascript": ".js .jsx .mjs .cjs",
-    "typescript": ".ts .tsx",
-    "java": ".java",
-    "go": ".go",
-    "rust": ".rs",
-    "ruby": ".rb",
-    "php": ".php",
-    "c": ".c .h",
-    "cpp": ".cpp .hpp .cc .hh .cxx",
-    "yaml": ".yaml .yml",
-    "json": ".json",
-    "toml": ".toml",
-    "markdown": ".md",
-    "sql": ".sql",
-    "html": ".html .htm",
-    "css": ".css .scss .sass .less",
-}
+# The language of each file ending, and the languages that count as code.
+LANGUAGE_OF = {
+    ".py": "python",
+    ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript",
+    ".ts": "typescript", ".tsx": "typescript",
+    ".java": "java",
+    ".go": "go",
+    ".rs": "rust",
+    ".rb": "ruby",
+    ".php": "php",
+    ".c": "c", ".h": "c",
+    ".cpp": "cpp", ".hpp": "cpp", ".cc": "cpp", ".hh": "cpp", ".cxx": "cpp",
+    ".yaml": "yaml", ".yml": "yaml",
+    ".json": "json",
+    ".toml": "toml",
+    ".md": "markdown",
+    ".sql": "sql",
+    ".html": "html", ".htm": "html",
+    ".css": "css", ".scss": "css", ".sass": "css", ".less": "css",
+}
 CODE = ("python", "javascript", "typescript", "java", "go", "rust", "ruby", "php", "c", "cpp")
-LANGUAGE_OF = {e: k for k, v in ENDINGS.items() for e in v.split()}
 #: Python's white space, as a character class of Java.
 BLANK = r"[\s\x1c-\x1f\x85\xa0  -     　]"
 

@@ -263,21 +263,28 @@ def q16_unknown_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.unknown_paths(table(spark, sf_dir, "documents"), ["doc_id"], table(spark, sf_dir, "files").select("path"))
 
 
-_DOUBT = ("unless", "who", "open", "maybe")
+#: Frequent words of the documents, since those of doubt are rare there.
+_DOUBT = ("unless", "who", "open", "maybe", "the", "of", "der", "und", "la")
 
 
-@query(f"SELECT doc_id, len(regexp_extract_all(text, '(?i)\\b({'|'.join(_DOUBT)})\\b')) AS hedges FROM documents WHERE text IS NOT NULL")
+def _count_sql(words: tuple[str, ...]) -> str:
+    return f"len(regexp_extract_all(text, '(?i)\\b({'|'.join(words)})\\b'))"
+
+
+@query(f"SELECT doc_id, {_count_sql(validate.HEDGING)} AS hedges, {_count_sql(_DOUBT)} AS frequent FROM documents WHERE text IS NOT NULL")
 def q17_hedging_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", T.hedging_count(F.col("text"), _DOUBT).alias("hedges"))
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    return d.select("doc_id", T.hedging_count(F.col("text"), validate.HEDGING).alias("hedges"), T.hedging_count(F.col("text"), _DOUBT).alias("frequent"))
 
 
 @query(f"""WITH {_HEADS}, a AS (SELECT d.doc_id, length({_STRIP % "coalesce(d.text, '')"}) < 50 AS short, hs, d.text FROM documents d LEFT JOIN hd ON hd.doc_id = d.doc_id),
 m AS (SELECT a.*, CASE WHEN short THEN 1 ELSE (SELECT count(*) FROM {_EXPECTED} WHERE len(list_filter(a.hs, lambda x: contains(x, lower(section)) OR contains(lower(section), x))) = 0)
-  + CASE WHEN regexp_matches(text, '(?m)^#') THEN 0 ELSE 1 END END AS w FROM a)
+  + CASE WHEN regexp_matches(text, '(?m)^#') THEN 0 ELSE 1 END + CASE WHEN {_count_sql(_DOUBT)} > 10 THEN 1 ELSE 0 END + coalesce(u.n, 0) END AS w FROM a LEFT JOIN (SELECT doc_id, count(*) AS n FROM ({SQL["q16_unknown_paths"]}) GROUP BY 1) u ON u.doc_id = a.doc_id)
 SELECT doc_id, CAST(w AS BIGINT) AS warnings, CAST(CASE WHEN short THEN 1 ELSE 0 END AS BIGINT) AS errors, NOT short AS is_valid FROM m""")
 def q18_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return validate.results(docs, ["doc_id"], validate.warnings(docs, ["doc_id"], _NAMES))
+    found = validate.warnings(docs, ["doc_id"], _NAMES, table(spark, sf_dir, "files").select("path"), hedging=_DOUBT)
+    return validate.results(docs, ["doc_id"], found)
 
 
 @query("SELECT source, CAST(sum(coalesce(length(text), 0) // 4) AS BIGINT) AS tokens FROM documents GROUP BY 1")
