@@ -38,6 +38,12 @@ def p1_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_members(table(spark, sf_dir, "sections"))
 
 
+SQL["p1_members"] = f"""WITH pr AS ({SQL["p1_found"]}), l AS (SELECT k, count(*) AS links FROM (SELECT section_a AS k FROM pr UNION ALL SELECT section_b FROM pr) GROUP BY 1),
+t AS (SELECT section_key AS k, array_to_string(list_sort(regexp_extract_all(lower(concat_ws(chr(10), heading, content)), '[\\p{{L}}\\p{{N}}]+')), ' ') AS t FROM (SELECT *, row_number() OVER (PARTITION BY section_key ORDER BY loaded_at DESC NULLS LAST) AS r FROM sections WHERE section_key IS NOT NULL) WHERE r = 1),
+c AS (SELECT k, min(k) OVER (PARTITION BY t) AS class, count(*) OVER (PARTITION BY t) AS copies FROM t WHERE t <> '')
+SELECT c.k AS section_key, class, copies, links FROM c JOIN l ON l.k = c.k"""
+
+
 @query
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return handwritten.not_handwritten(table(spark, sf_dir, "files"))
@@ -138,3 +144,6 @@ def p10_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["p10_found"] = lookalike.pairs_sql()
+SQL["p10_members"] = lookalike.pairs_sql().split("\nSELECT a.doc_id")[0] + """, n AS (SELECT doc_id, form, min(doc_id) OVER (PARTITION BY form) AS class, count(*) OVER (PARTITION BY form) AS docs, count(*) OVER (PARTITION BY form, text) AS copies FROM d),
+s AS (SELECT form, count(DISTINCT text) AS spellings FROM d GROUP BY 1)
+SELECT doc_id, class, spellings, docs - copies AS links FROM n JOIN s ON s.form = n.form WHERE spellings > 1"""
