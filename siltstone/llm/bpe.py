@@ -23,7 +23,8 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import map_batches
@@ -152,14 +153,14 @@ class Prefixes:
 
 
 @functools.lru_cache(4)
-def vocabulary(path: str) -> Vocabulary:
-    lines = Path(path).read_bytes().splitlines()
-    return Vocabulary({base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())})
+def vocabulary(file: bytes) -> Vocabulary:
+    """The vocabulary of the contents of its file."""
+    return Vocabulary({base64.b64decode(a): int(b) for a, b in (x.split() for x in file.splitlines() if x.strip())})
 
 
 class Encoder:
-    def __init__(self, path: str) -> None:
-        self.v = vocabulary(path)
+    def __init__(self, file: bytes) -> None:
+        self.v = vocabulary(file)
         self.pieces = regex.compile(PATTERN).findall
         self.kept: dict[str, list[int]] = {}
 
@@ -183,8 +184,13 @@ class Encoder:
 
 
 @functools.lru_cache(4)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(file: bytes) -> Encoder:
+    return Encoder(file)
+
+
+def shipped(spark: SparkSession, path: str) -> Broadcast:
+    """The file of a vocabulary, read by the driver and sent with the job; a megabyte or so."""
+    return spark.sparkContext.broadcast(Path(path).read_bytes())
 
 
 def vocabulary_path(name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> str:
@@ -193,11 +199,11 @@ def vocabulary_path(name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> str
 
 def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
     """(key, ids): one row for each row of documents, in no order; no shuffle."""
-    path = vocabulary_path(name, folder)
+    file = shipped(documents.sparkSession, vocabulary_path(name, folder))
     src = documents.select(key, text)
 
     def make():  # noqa: ANN202
-        enc = encoder(path).encode
+        enc = encoder(file.value).encode
 
         def batch(b: pa.RecordBatch) -> pa.RecordBatch:
             ids = [enc(t) for t in b.column(1).to_pylist()]
@@ -212,11 +218,11 @@ def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", name:
 
 def sizes(documents: DataFrame, key: str = "doc_id", text: str = "text", name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
     """(key, n_tokens): the number of ids of each text; the ids don't leave the Python worker."""
-    path = vocabulary_path(name, folder)
+    file = shipped(documents.sparkSession, vocabulary_path(name, folder))
     src = documents.select(key, text)
 
     def make():  # noqa: ANN202
-        enc = encoder(path).encode
+        enc = encoder(file.value).encode
 
         def batch(b: pa.RecordBatch) -> pa.RecordBatch:
             n = pa.array([len(enc(t)) for t in b.column(1).to_pylist()], pa.int64())
@@ -229,10 +235,10 @@ def sizes(documents: DataFrame, key: str = "doc_id", text: str = "text", name: s
 
 def round_trip(documents: DataFrame, key: str = "doc_id", text: str = "text", name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
     """(documents, same), one row: the texts, and those whose ids give their bytes back; null counts as empty."""
-    path = vocabulary_path(name, folder)
+    file = shipped(documents.sparkSession, vocabulary_path(name, folder))
 
     def make():  # noqa: ANN202
-        enc = encoder(path)
+        enc = encoder(file.value)
 
         def batch(b: pa.RecordBatch) -> pa.RecordBatch:
             same = [b"".join(map(enc.v.token.__getitem__, enc.encode(t))) == (t or "").encode() for t in b.column(0).to_pylist()]

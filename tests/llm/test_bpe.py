@@ -27,14 +27,14 @@ def texts():
 
 
 def test_as_reference(reference):
-    enc = bpe.encoder(PATH)
+    enc = bpe.encoder(Path(PATH).read_bytes())
     for x in texts():
         assert enc.encode(x) == reference(x)
     assert enc.encode(None) == []
 
 
 def test_appends_and_edits():
-    v = bpe.vocabulary(PATH)
+    v = bpe.vocabulary(Path(PATH).read_bytes())
     rnd = random.Random(2)
     for _ in range(60):
         p = bpe.Prefixes(v)
