@@ -46,6 +46,10 @@ class Store:
         """Snapshots of any projects at once; a project's snapshot is written over if it is saved again, others aren't touched."""
         out = rows.select("path", "hash", "size", "lines", "project", "snapshot_id")
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project", "snapshot_id").parquet(f"{self.root}/snapshot")
+        self.save_headers(headers)
+
+    def save_headers(self, headers: DataFrame) -> None:
+        """Headers (project, snapshot_id, taken_at, doc_id) are appended; the one saved last holds."""
         headers.select(*[c.split()[0] for c in HEADER.split(", ")]).coalesce(1).write.mode("append").parquet(f"{self.root}/snapshots")
 
     def headers(self) -> DataFrame:

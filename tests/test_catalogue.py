@@ -4,7 +4,7 @@ from pathlib import Path
 
 import pytest
 
-from siltstone.plans import catalogue
+from siltstone.plans import catalogue, reports  # noqa: F401
 
 DATA = Path("/root/testdata/sf0.001")
 duckdb = pytest.importorskip("duckdb")
