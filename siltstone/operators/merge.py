@@ -182,8 +182,11 @@ def merged(sections: DataFrame, by: Sequence[str] = ("project",), threshold: flo
 
     Of one text at one place, delivered repeatedly, the content has one.
     """
-    g = [*by, "group_key"]
-    v = written(versions(sections, by), "versions")
+    return _merged(written(versions(sections, by), "versions"), [*by, "group_key"], threshold)
+
+
+def _merged(v: DataFrame, g: Sequence[str], threshold: float | None) -> DataFrame:
+    """merged() of versions() that are a table."""
     heads, stays = kept_versions(v, g, threshold)
     # The contents meet the places that stay in the one shuffle that brings a group together.
     places = stays.join(heads.select(*g, "strategy", F.struct("last.o", "last.h").alias("_last")), g).where((F.col("strategy") != "latest") | (F.struct("o", "h") == F.col("_last"))).select(*g, "o", "h", "strategy")
@@ -197,8 +200,9 @@ def merged(sections: DataFrame, by: Sequence[str] = ("project",), threshold: flo
 
 def merged_document(sections: DataFrame, by: Sequence[str] = ("project",), threshold: float | None = THRESHOLD) -> DataFrame:
     """(by, document): the merged sections of each project as one text, groups by their first appearance."""
-    docs = sections.groupBy(*by).agg(F.count_distinct("doc_id").alias("n_docs"))
-    blocks = merged(sections, by, threshold).select(*by, F.struct("first_ord", F.concat(F.lit("## "), F.col("heading"), F.lit("\n\n"), F.col("content"), F.lit("\n")).alias("b")).alias("x"))
+    v = written(versions(sections, by), "versions")
+    docs = v.groupBy(*by).agg(F.count_distinct("doc_id").alias("n_docs"))
+    blocks = _merged(v, [*by, "group_key"], threshold).select(*by, F.struct("first_ord", F.concat(F.lit("## "), F.col("heading"), F.lit("\n\n"), F.col("content"), F.lit("\n")).alias("b")).alias("x"))
     text = blocks.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda y: y["b"]), "\n").alias("body"))
     head = F.concat(F.lit("# Project Documentation (Merged from "), F.col("n_docs").cast("string"), F.lit(" snapshots)\n\n"))
     return docs.join(text, list(by)).select(*by, F.concat(head, F.col("body")).alias("document"))

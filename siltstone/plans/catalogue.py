@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from siltstone import config, model
 from siltstone.functions import text as T
 from siltstone.operators import budget, classify, compress, diff, graph, merge, merkle_diff, prompt, sections, structure, validate
-from siltstone.session import table
+from siltstone.session import table, written
 from siltstone.sources import patterns, scan, store
 from siltstone.streaming import deferral
 
@@ -369,7 +369,7 @@ def q26_merged_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def q24_similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Different texts of a group that are similar: the first place of the earlier one and the last place of the later one."""
-    pairs = merge.similar_pairs(merge.versions(_sections(spark, sf_dir), ["project"]), ["project", "group_key"])
+    pairs = merge.similar_pairs(written(merge.versions(_sections(spark, sf_dir), ["project"]), "versions"), ["project", "group_key"])
     return pairs.select("project", "group_key", F.col("first1.doc_ord").alias("doc_a"), F.col("first1.sec_ord").alias("sec_a"), F.col("last2.doc_ord").alias("doc_b"), F.col("last2.sec_ord").alias("sec_b"), "similarity")
 
 
