@@ -28,7 +28,7 @@ RULE = "\n\n---\n\n"
 #: Length of the grams and places of their counts; what rounding may take from a bound.
 GRAM, WIDTH, SLACK = 4, 4096, 1e-4
 #: Texts and characters of a block, about.
-BLOCK, BLOCK_CHARS, TILE = 1000, 8_000_000, 64
+BLOCK, BLOCK_CHARS, TILE = 2500, 8_000_000, 64
 
 
 def ratio(a: str, b: str, threshold: float = 0.0) -> float:
