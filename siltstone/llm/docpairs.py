@@ -21,7 +21,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm import syntax
@@ -309,40 +309,34 @@ def _python(text: str) -> Iterator[Symbol]:
         stack.append((indent, None))
 
 
-#: Without these there is no documentation in a file.
-_MARKS = {k: re.compile(v) for k, v in {"python": "[\"']", "go": "//", "rust": "///", "javascript": r"/\*\*", "typescript": r"/\*\*", "java": r"/\*\*", "c": r"/\*\*"}.items()}
 SYMBOL = "struct<container:string,name:string,line_start:bigint,has_body:boolean,parameters:array<string>,signature:string,docstring:string,trivial:boolean>"
 FIELDS = ("container", "name", "line_start", "has_body", "parameters", "signature", "docstring", "trivial")
 _TYPE = pa.struct([("container", pa.string()), ("name", pa.string()), ("line_start", pa.int64()), ("has_body", pa.bool_()), ("parameters", pa.list_(pa.string())), ("signature", pa.string()), ("docstring", pa.string()), ("trivial", pa.bool_())])
 _LANGUAGES = frozenset(DECLARED) | {"python"}
 
 
-def of_file(content: bytes | None, extension: str | None, documented: bool) -> list[dict]:
+def of_file(content: bytes | None, extension: str | None, texts: bool) -> list[dict]:
     language = syntax.LANGUAGE.get((extension or "").lower())
     if not content or language not in _LANGUAGES:
         return []
-    text = syntax.decode(content)
-    if documented and not _MARKS[language].search(text):
-        return []
-    found = []
-    for s in symbols(language, text):
-        dull = trivial(s[6], s[1])
-        if not documented or not dull:
-            found.append(dict(zip(FIELDS, (*s, dull))))
+    found = [
+        dict(zip(FIELDS, (container, name, line, body, parameters if texts else None, signature, doc if texts else None, trivial(doc, name))))
+        for container, name, line, body, parameters, signature, doc in symbols(language, syntax.decode(content))
+    ]
     # Only a file that gives something has to be parsed.
     return found if found and syntax.valid(content, extension) else []
 
 
-def symbol_table(files: DataFrame, key: str = "file_id", at: str = "scanned_at", documented: bool = False) -> DataFrame:
+def symbol_table(files: DataFrame, key: str = "file_id", at: str = "scanned_at", texts: bool = True) -> DataFrame:
     """(key, project, language, path, the fields of a symbol): one row for each function of each file that parses.
 
-    documented: only functions with documentation of their own that isn't trivial.
+    texts=False: parameters and docstring are null, since they need not travel.
     """
     src = files.where(F.col(key).isNotNull()).select(key, at, "project", "path", "extension", "content")
 
     def make():  # noqa: ANN202
         def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-            found = [of_file(c, e, documented) for c, e in zip(b.column(5).to_pylist(), b.column(4).to_pylist())]
+            found = [of_file(c, e, texts) for c, e in zip(b.column(5).to_pylist(), b.column(4).to_pylist())]
             kind = [syntax.LANGUAGE.get((e or "").lower()) for e in b.column(4).to_pylist()]
             return pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(kind, pa.string()), pa.array(found, pa.list_(_TYPE))], names=[key, at, "project", "path", "language", "symbols"])
 
@@ -356,26 +350,37 @@ def symbol_table(files: DataFrame, key: str = "file_id", at: str = "scanned_at",
 
 
 def documented(files: DataFrame, key: str = "file_id", at: str = "scanned_at") -> DataFrame:
-    """(key, line_start, name) of the functions with documentation."""
-    return symbol_table(files, key, at, documented=True).select(key, "line_start", "name").distinct()
+    """(key, line_start, name) of the functions with documentation: where the description of each pair stands."""
+    return pairs(files, key, at, texts=False).select(key, "line_start", "name").distinct()
 
 
-def pairs(files: DataFrame, key: str = "file_id", at: str = "scanned_at") -> DataFrame:
+def pairs(files: DataFrame, key: str = "file_id", at: str = "scanned_at", texts: bool = True) -> DataFrame:
     """(key, line_start, name, container, parameters, docstring, defined_in, defined_at): code and description.
 
     A documented symbol without a body is joined with the definitions of its qualified name in
     its project: with that of its signature, else with the only one there is; where there is
-    neither, it stands alone. A definition stands for itself.
+    neither, it stands alone. A definition stands for itself. Each symbol goes one of these ways,
+    by inner and anti joins: an outer join would be left out of the plan of documented().
     """
-    table = symbol_table(files, key, at)
+    table = symbol_table(files, key, at, texts)
     names = ["project", "language", "container", "name"]
     bodies = table.where("has_body").groupBy(*names, "signature").agg(F.min(F.struct(F.col(key).alias("k"), F.col("line_start").alias("l"))).alias("d"))
-    only = bodies.groupBy(*names).agg(F.count("*").alias("n"), F.min("d").alias("one")).where("n = 1").drop("n")
+    only = bodies.groupBy(*names).agg(F.count("*").alias("n"), F.min("d").alias("d")).where("n = 1").drop("n")
     said = table.where("not trivial")
-    out = [key, "line_start", "name", "container", "parameters", "docstring"]
-    own = said.where("has_body").select(*out, F.col(key).alias("defined_in"), F.col("line_start").alias("defined_at"))
-    declared = said.where("not has_body").join(bodies, [*names, "signature"], "left").join(only, names, "left").withColumn("_d", F.coalesce("d", "one"))
-    return own.unionByName(declared.select(*out, F.col("_d.k").alias("defined_in"), F.col("_d.l").alias("defined_at")))
+    declared = said.where("not has_body")
+    unsigned = declared.join(bodies, [*names, "signature"], "left_anti")
+    t = dict(table.dtypes)
+
+    def ends(rows: DataFrame, k: Column, line: Column) -> DataFrame:
+        return rows.select(key, "line_start", "name", "container", "parameters", "docstring", k.cast(t[key]).alias("defined_in"), line.cast("bigint").alias("defined_at"))
+
+    ways = [
+        ends(said.where("has_body"), F.col(key), F.col("line_start")),
+        ends(declared.join(bodies, [*names, "signature"]), F.col("d.k"), F.col("d.l")),
+        ends(unsigned.join(only, names), F.col("d.k"), F.col("d.l")),
+        ends(unsigned.join(only, names, "left_anti"), F.lit(None), F.lit(None)),
+    ]
+    return functools.reduce(DataFrame.unionByName, ways)
 
 
 @functools.lru_cache(1)

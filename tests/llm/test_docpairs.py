@@ -71,3 +71,23 @@ def test_beyond_former_bounds():
 def test_flat_keeps_length_and_lines():
     t = "f(a(b(c(d(\ne)))))\n{ g(h(i(j()))) }"
     assert len(D.flat(t)) == len(t) and D.flat(t).count("\n") == 2 and D.flat("f(a(b(c)))") == "f(a(b(c)))"
+
+
+def test_found_by_the_join(spark):
+    """p5_found gives where the descriptions of p5_pairs stand: one table of all symbols, one join with the definitions."""
+    t = datetime(2025, 1, 1)
+    header = f"/** {DOC} */\nint f(int a);\n/** {DOC} */\nint g(long a);\n/** {DOC} */\nint h(int a);\n/** {DOC} */\nint lone(int a);\n/** {DOC} */\nint own(void) {{ return 1; }}\nint bare(int a);\n".encode()
+    source = b"int f(int x) { return x; }\nint g(int x) { return x; }\nint h(char x) { return x; }\nint h(long x) { return x; }\nint bare(int x) { return x; }\n"
+    rows = [(1, "p", "a.h", header, ".h", t), (2, "p", "b.c", source, ".c", t), (3, "p", "c.c", b"int lone(int x) { return x; }\nint broken(", ".c", t), (4, None, "a.h", header, ".h", t), (5, None, "b.c", source, ".c", t)]
+    # Of two deliveries of one time the one with more symbols counts, documented or not.
+    rows += [(6, "p", "d.py", f'def one():\n    """{DOC}"""\n'.encode(), ".py", t), (6, "p", "d.py", b"def two():\n    pass\ndef three():\n    pass\n", ".py", t)]
+    d = spark.createDataFrame(rows, "file_id long, project string, path string, content binary, extension string, scanned_at timestamp")
+    places = {(2, "f"), (4, "g"), (6, "h"), (8, "lone"), (10, "own")}
+    found = D.documented(d)
+    assert sorted(tuple(r) for r in found.collect()) == sorted((k, *x) for k in (1, 4) for x in places)
+    got = {(r.file_id, r.name): (r.defined_in, r.defined_at, r.parameters, r.docstring) for r in D.pairs(d).collect()}
+    a = (["a"], DOC)
+    assert {k[1]: v for k, v in got.items() if k[0] == 1} == {"f": (2, 1, *a), "g": (2, 2, *a), "h": (None, None, *a), "lone": (None, None, *a), "own": (1, 10, ["void"], DOC)}
+    assert {k[1]: v[:2] for k, v in got.items() if k[0] == 4} == {"f": (None, None), "g": (None, None), "h": (None, None), "lone": (None, None), "own": (4, 10)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" in plan and "Join LeftAnti" in plan
